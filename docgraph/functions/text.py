@@ -10,6 +10,7 @@ from functools import cache
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Unicode spellings of Python's \w and \s for Java regexes.
 WORD = r"\p{L}\p{N}_"
@@ -47,7 +48,20 @@ def _changed_class(form: str) -> str:
     return "[" + "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in spans) + "]"
 
 
-@F.pandas_udf("string")
+@cache
+def _other_than_stable(form: str) -> str:
+    """Short class for a first look: anything but the common letters ``form`` keeps."""
+    spans: list[list[int]] = []
+    for cp in [*range(0x300), *range(0x1EA0, 0x1EFA), *range(0x2010, 0x2028)]:
+        if unicodedata.normalize(form, chr(cp)) == chr(cp):
+            if spans and spans[-1][1] == cp - 1:
+                spans[-1][1] = cp
+            else:
+                spans.append([cp, cp])
+    return "[^" + "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in spans) + "]"
+
+
+@F.pandas_udf(T.StringType())
 def _normalize_form(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for text, form in parts:
         yield pd.Series(
@@ -57,7 +71,7 @@ def _normalize_form(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd
 
 
 def _normal_form(col: Column, form: str) -> Column:
-    needs = col.rlike(_changed_class(form))
+    needs = col.rlike(_other_than_stable(form)) & col.rlike(_changed_class(form))
     return F.coalesce(_normalize_form(F.when(needs, col), F.lit(form)), col)
 
 
@@ -121,12 +135,12 @@ def search_form(normalized: Column) -> Column:
 
 def slug(col: Column, joiner: str = " ") -> Column:
     """H4: accent-free key with every other character run turned into ``joiner``."""
-    return F.trim(F.lit(joiner), F.regexp_replace(fold(deaccent(col)), "[^a-z0-9]+", joiner))
+    return F.trim(F.regexp_replace(fold(deaccent(col)), "[^a-z0-9]+", joiner), F.lit(joiner))
 
 
 def canonical_name(col: Column, *, unicode_form: bool = True) -> Column:
     base = nfkc(col) if unicode_form else col
-    trimmed = F.trim(F.lit(" ,.;"), collapse(base))
+    trimmed = F.trim(collapse(base), F.lit(" ,.;"))
     return strip(F.regexp_replace(trimmed, r"\s*\([A-ZĐ]{2,12}\)\s*$", ""))
 
 
@@ -156,7 +170,7 @@ def _before_last_blank(col: Column) -> Column:
 
 def display(col: Column, limit: int = 240) -> Column:
     """H9: one-line display text cut at a word."""
-    text = F.trim(F.lit(" ,;"), collapse(col))
+    text = F.trim(collapse(col), F.lit(" ,;"))
     cut = F.concat(_before_last_blank(F.substring(text, 1, limit)), F.lit("..."))
     return F.when(F.length(text) <= limit, text).otherwise(cut)
 
@@ -345,9 +359,14 @@ SENSITIVE_PARTS = (
 
 def sanitize_metadata(entries: Column) -> Column:
     """H22 on a map<string,string>: redact, cut keys to 128 and values to 1024."""
-    cut = F.transform_keys(entries, lambda k, v: F.substring(k, 1, 128))
+    cut = F.transform(
+        F.map_entries(entries), lambda e: F.struct(F.substring(e["key"], 1, 128).alias("key"), e["value"].alias("value"))
+    )
+    keys = F.transform(cut, lambda e: e["key"])
+    # Of keys that became equal the last one stays.
+    kept = F.filter(cut, lambda e, i: ~F.array_contains(F.slice(keys, i + 2, F.size(keys)), e["key"]))
     return F.transform_values(
-        cut,
+        F.map_from_entries(kept),
         lambda k, v: F.when(contains_any(fold(k), SENSITIVE_PARTS), "[REDACTED]").otherwise(
             F.substring(v, 1, 1024)
         ),

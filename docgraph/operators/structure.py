@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from docgraph.functions.headings import LEVELS, classify
 from docgraph.functions.text import SPACE, strip
-from docgraph.operators.ordered import carry_last, row_index, running_sum
+from docgraph.operators.ordered import carry_last, row_index
+from docgraph.session import cut_lineage
 
 DEPTH = range(8)
 PAGES_PER_SEGMENT = 64
@@ -30,14 +31,11 @@ def order_blocks(blocks: DataFrame, pages_per_segment: int = PAGES_PER_SEGMENT)
 
 
 def classify_blocks(blocks: DataFrame) -> DataFrame:
-    """H24 over all documents.  Only the first eight blocks may be titles, so the
-    dense position is capped by a ranked page count rather than counted in full."""
+    """H24 over all documents, written once: every scan below reads its result."""
     ordered = blocks if "ord" in blocks.columns else order_blocks(blocks)
     placed = row_index(ordered, ["document_id"], "seg", "ord", "position")
-    heading = classify(F.col("text"), F.col("position"), F.col("block_type"))
-    return placed.withColumn("h", heading).select(
-        *placed.columns, F.col("h.section_type"), F.col("h.label"), F.col("h.title"), F.col("h.level")
-    )
+    h = classify(F.col("text"), F.col("position"), F.col("block_type"))
+    return cut_lineage(placed.withColumn("h", h).select(*placed.columns, "h.*"))
 
 
 def section_id(document: str = "document_id", block: str = "block_id") -> F.Column:
@@ -47,16 +45,15 @@ def section_id(document: str = "document_id", block: str = "block_id") -> F.Colu
 def parse_sections(classified: DataFrame) -> DataFrame:
     """One row per heading with parent, range and path."""
     keys = ["document_id"]
-    seen = classified.where(strip(F.col("text")) != "")
-    last_block = F.struct("ord", "block_id", "page_index")
-    seen = carry_last(seen, keys, "seg", "ord", {"before": last_block}, inclusive=False)
-    ends = seen.groupBy(*keys).agg(F.max(last_block).alias("doc_end"))
-    heads = seen.where("level is not null").withColumn("section_id", section_id())
-    me = F.struct("ord", F.col("section_id").alias("id"), F.col("section_type").alias("sectionType"), "label", "title")
-    heads = carry_last(
-        heads, keys, "seg", "ord",
-        {f"up{k}": F.when(F.col("level") == k, me) for k in DEPTH}, inclusive=False,
+    seen = classified.where(strip(F.col("text")) != "").drop("text")
+    me = F.struct("ord", section_id().alias("id"), F.col("section_type").alias("sectionType"), "label", "title")
+    place = F.struct("ord", "block_id", "page_index")
+    ends = seen.groupBy(*keys).agg(F.max(place).alias("doc_end"))
+    seen = carry_last(
+        seen, keys, "seg", "ord",
+        {"before": place, **{f"up{k}": F.when(F.col("level") == k, me) for k in DEPTH}}, inclusive=False,
     )
+    heads = cut_lineage(seen.where("level is not null").withColumn("section_id", section_id()))
     heads = carry_last(
         heads, keys, "seg", "ord",
         {f"stop{k}": F.when(F.col("level") <= k, F.col("before")) for k in DEPTH},

@@ -133,23 +133,27 @@ _UNITS = """
             UNION ALL SELECT * FROM whole))"""
 _PACK = """
     folded AS (
-      SELECT document_id, root_ord, unit_ord, n, 0::BIGINT AS at, []::BIGINT[] AS cur, []::BIGINT[] AS toks, NULL::BIGINT[] AS done
+      SELECT document_id, root_ord, unit_ord, n, 0::BIGINT AS a0, []::BIGINT[] AS cur, []::BIGINT[] AS toks, NULL::BIGINT[] AS done
       FROM units WHERE pos = 0
       UNION ALL
-      SELECT f.document_id, f.root_ord, f.unit_ord, f.n, f.at + 1,
-        CASE WHEN f.at = f.n THEN [] WHEN len(f.cur) > 0 AND list_sum(f.toks) + u.tokens > {cap}
-             THEN list_append(f.cur[keep:], f.at) ELSE list_append(f.cur, f.at) END,
-        CASE WHEN f.at = f.n THEN [] WHEN len(f.cur) > 0 AND list_sum(f.toks) + u.tokens > {cap}
+      SELECT f.document_id, f.root_ord, f.unit_ord, f.n, f.a0 + 1,
+        CASE WHEN f.a0 = f.n THEN [] WHEN len(f.cur) > 0 AND list_sum(f.toks) + u.tokens > {cap}
+             THEN list_append(f.cur[keep:], f.a0) ELSE list_append(f.cur, f.a0) END,
+        CASE WHEN f.a0 = f.n THEN [] WHEN len(f.cur) > 0 AND list_sum(f.toks) + u.tokens > {cap}
              THEN list_append(f.toks[keep:], u.tokens) ELSE list_append(f.toks, u.tokens) END,
-        CASE WHEN len(f.cur) > 0 AND (f.at = f.n OR list_sum(f.toks) + u.tokens > {cap}) THEN f.cur END
-      FROM (SELECT *, coalesce(list_max(list_filter(range(1, len(toks) + 1), i -> list_sum(toks[i:]) >= {overlap})), 1) AS keep
+        CASE WHEN len(f.cur) > 0 AND (f.a0 = f.n OR list_sum(f.toks) + u.tokens > {cap}) THEN f.cur END
+      FROM (SELECT *, coalesce(list_max(list_filter(range(1, len(toks) + 1), lambda i: list_sum(toks[i:]) >= {overlap})), 1) AS keep
             FROM folded) f
-      LEFT JOIN units u ON u.document_id = f.document_id AND u.root_ord = f.root_ord AND u.unit_ord = f.unit_ord AND u.pos = f.at
-      WHERE f.at <= f.n),
+      LEFT JOIN units u ON u.document_id = f.document_id AND u.root_ord = f.root_ord AND u.unit_ord = f.unit_ord AND u.pos = f.a0
+      WHERE f.a0 <= f.n),
     parts AS (SELECT document_id, root_ord, unit_ord, done[1] AS part_start, done[-1] AS part_end FROM folded WHERE done IS NOT NULL)"""
 
 
-@query("E7_chunk_units", with_views("sections", "WITH " + _UNITS.format(cap=_E8[0]) + """
+def _limits(sql: str) -> str:
+    return sql.replace("{cap}", str(_E8[0])).replace("{overlap}", str(_E8[1]))
+
+
+@query("E7_chunk_units", with_views("sections", "WITH " + _limits(_UNITS) + """
     SELECT document_id, root_ord, unit_ord, count(*) AS blocks, CAST(sum(tokens) AS BIGINT) AS tokens FROM units GROUP BY 1, 2, 3"""))
 def _(t):
     u = chunking.chunk_units(_classified(t), _E8[0])
@@ -158,19 +162,17 @@ def _(t):
     )
 
 
-@query("E8_packed_chunks", with_views("sections", "RECURSIVE_BODY WITH " + _UNITS.format(cap=_E8[0]) + "," + _PACK.format(cap=_E8[0], overlap=_E8[1]) + """
-    SELECT p.document_id, p.root_ord, p.unit_ord, p.part_start, p.part_end,
+@query("E8_packed_chunks", with_views("sections", "RECURSIVE_BODY WITH " + _limits(_UNITS) + "," + _limits(_PACK) + """
+    SELECT p.document_id, p.root_ord, p.unit_ord, count(*) AS blocks,
       string_agg(trim(u.text), chr(10) ORDER BY u.pos) FILTER (trim(u.text) <> '') AS content,
       CAST(sum(u.tokens) AS BIGINT) AS token_count, min_by(u.block_id, u.pos) AS start_block_id, max_by(u.block_id, u.pos) AS end_block_id
     FROM parts p JOIN units u ON u.document_id = p.document_id AND u.root_ord = p.root_ord AND u.unit_ord = p.unit_ord
       AND u.pos BETWEEN p.part_start AND p.part_end
-    GROUP BY 1, 2, 3, 4, 5"""))
+    GROUP BY 1, 2, 3, p.part_start, p.part_end"""))
 def _(t):
     c = chunking.build_chunks(_classified(t), *_E8)
     return c.select(
-        "document_id", "root_ord", "unit_ord",
-        (F.col("part_end") - F.size("bounding_boxes") + 1).alias("part_start"), "part_end",
-        "content", "token_count", "start_block_id", "end_block_id",
+        "document_id", "root_ord", "unit_ord", F.size("bounding_boxes").cast("long").alias("blocks"), "content", "token_count", "start_block_id", "end_block_id",
     )
 
 
@@ -194,16 +196,16 @@ def _(t):
 
 @query("E10_character_split", """
     WITH RECURSIVE cut AS (
-      SELECT doc_id, text, 0 AS at, 0 AS piece, CASE WHEN length(text) <= 1800 THEN length(text)
+      SELECT doc_id, text, 0 AS a0, 0 AS piece, CASE WHEN length(text) <= 1800 THEN length(text)
           WHEN 1801 - strpos(reverse(substr(text, 1, 1800)), ' ') > 900 AND strpos(reverse(substr(text, 1, 1800)), ' ') > 0
           THEN 1800 - strpos(reverse(substr(text, 1, 1800)), ' ') ELSE 1800 END AS stop FROM documents
       UNION ALL
       SELECT doc_id, text, n, piece + 1, CASE WHEN n + 1800 >= length(text) THEN length(text)
           WHEN b > 0 AND 1800 - b > 900 THEN n + 1800 - b ELSE n + 1800 END
-      FROM (SELECT *, greatest(stop - 250, at + 1) AS n, strpos(reverse(substr(text, greatest(stop - 250, at + 1) + 1, 1800)), ' ') AS b
+      FROM (SELECT *, greatest(stop - 250, a0 + 1) AS n, strpos(reverse(substr(text, greatest(stop - 250, a0 + 1) + 1, 1800)), ' ') AS b
             FROM cut WHERE stop < length(text)))
     SELECT doc_id AS document_id, CAST(piece AS BIGINT) AS piece,
-      CASE WHEN length(text) <= 1800 THEN text ELSE regexp_replace(substr(text, at + 1, stop - at), '^\\s+|\\s+$', '', 'g') END AS text
+      CASE WHEN length(text) <= 1800 THEN text ELSE regexp_replace(substr(text, a0 + 1, stop - a0), '^\\s+|\\s+$', '', 'g') END AS text
     FROM cut""")
 def _(t):
     d = t.documents.select(F.col("doc_id").alias("document_id"), "text")
@@ -259,7 +261,7 @@ def _(t):
 
 def _tables(t: Tables) -> DataFrame:
     """A price table per order: its document is the customer, its pages the article's."""
-    rows = t.lineitem.groupBy("l_orderkey").agg(
+    rows = views.lines(t).groupBy("l_orderkey").agg(
         F.array_sort(F.collect_list(F.expr(
             "struct(l_linenumber n, array(cast(l_linenumber as string), cast(cast(l_quantity as int) as string)) r)"
         ))).alias("r")
@@ -278,10 +280,10 @@ _TABLES_SQL = """tabs AS (
       2 + o_orderkey // 1000 + CASE WHEN o_orderkey % 9 = 0 THEN 500 ELSE 0 END AS page_end,
       CASE WHEN o_orderkey % 2 = 0 THEN 'Bảng ' || o_orderkey || chr(10) ELSE '' END || 'STT | Số lượng' || chr(10) || r AS content
     FROM orders JOIN (SELECT l_orderkey, string_agg(l_linenumber || ' | ' || CAST(l_quantity AS INT), chr(10) ORDER BY l_linenumber) AS r
-                      FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey)"""
+                      FROM lines GROUP BY 1) ON o_orderkey = l_orderkey)"""
 
 
-@query("C7_table_section", with_views("sections", "WITH " + _TABLES_SQL + """
+@query("C7_table_section", with_views("lines sections", "WITH " + _TABLES_SQL + """
     SELECT t.document_id, t.table_id, min(s.ord) AS section_ord FROM tabs t LEFT JOIN sections s
       ON s.document_id = t.document_id AND s.section_type = 'CLAUSE' AND s.page_index BETWEEN t.page_start AND t.page_end GROUP BY 1, 2"""))
 def _(t):
@@ -292,7 +294,7 @@ def _(t):
     return structure.table_sections(_tables(t), s).select("document_id", "table_id", F.col("section_id").alias("section_ord"))
 
 
-@query("C8_table_anchors", with_views("legal_blocks", "WITH " + _TABLES_SQL + """
+@query("C8_table_anchors", with_views("lines legal_blocks", "WITH " + _TABLES_SQL + """
     SELECT t.document_id, t.table_id, coalesce(min_by(b.block_id, b.o), any_value(f.block_id)) AS start_block_id,
       coalesce(max_by(b.block_id, b.o), any_value(f.block_id)) AS end_block_id
     FROM tabs t LEFT JOIN (SELECT *, page_index * 4294967296 + order_index AS o FROM legal_blocks) b
@@ -328,7 +330,7 @@ def _(t):
     )
 
 
-@query("E13_table_chunks", with_views("legal_blocks", "WITH " + _TABLES_SQL + """
+@query("E13_table_chunks", with_views("lines legal_blocks", "WITH " + _TABLES_SQL + """
     SELECT document_id, table_id, content, n + row_number() OVER (PARTITION BY document_id ORDER BY table_id) - 1 AS order_index,
       len(regexp_extract_all(content, '[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_\\s]')) AS token_count
     FROM tabs JOIN (SELECT document_id, count(*) AS n FROM legal_blocks GROUP BY 1) USING (document_id)"""))
@@ -366,12 +368,12 @@ def _(t):
 
 
 @query("D5_mean_confidence", with_views("legal_blocks", """
-    SELECT document_id, page_index, round(avg(confidence), 6) AS chunk_confidence,
-      round(coalesce(avg(confidence), 0), 6) AS page_confidence FROM legal_blocks GROUP BY 1, 2"""))
+    SELECT document_id, page_index, round(avg(confidence), 9) AS chunk_confidence,
+      round(coalesce(avg(confidence), 0), 9) AS page_confidence FROM legal_blocks GROUP BY 1, 2"""))
 def _(t):
     return views.legal_blocks(t).groupBy("document_id", "page_index").agg(
-        F.round(F.avg("confidence"), 6).alias("chunk_confidence"),
-        F.round(F.coalesce(F.avg("confidence"), F.lit(0.0)), 6).alias("page_confidence"),
+        F.round(F.avg("confidence"), 9).alias("chunk_confidence"),
+        F.round(F.coalesce(F.avg("confidence"), F.lit(0.0)), 9).alias("page_confidence"),
     )
 
 

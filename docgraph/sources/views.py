@@ -25,6 +25,15 @@ def blocks(t: Tables) -> DataFrame:
     )
 
 
+def lines(t: Tables) -> DataFrame:
+    """Line items, one row per order and line number (the given key repeats)."""
+    return t.lineitem.groupBy("l_orderkey", "l_linenumber").agg(
+        F.sum("l_quantity").alias("l_quantity"),
+        *[F.max(c).alias(c) for c in (
+            "l_partkey", "l_suppkey", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")],
+    )
+
+
 def legal_blocks(t: Tables) -> DataFrame:
     """V2: a regulation text per customer; orders are articles, line items clauses."""
     head = t.customer.selectExpr(
@@ -46,7 +55,7 @@ def legal_blocks(t: Tables) -> DataFrame:
         "(o_orderkey % 1000) * 64 order_index", "concat('Điều ', o_orderkey, '. ', o_orderpriority) text",
     )
     items = (
-        t.lineitem.join(t.orders, F.expr("l_orderkey = o_orderkey"))
+        lines(t).join(t.orders, F.expr("l_orderkey = o_orderkey"))
         .selectExpr(
             "o_custkey c_custkey", "1 + o_orderkey div 1000 page_index",
             "(o_orderkey % 1000) * 64 + 4 * l_linenumber base",
@@ -125,8 +134,8 @@ def kg_nodes(t: Tables) -> DataFrame:
         f"{none} amount", f"{none} value", f"{none} resolved", f"{none} target_type",
         "'MEDIUM' importance", "0.9D confidence", "c_custkey document_id",
     )
-    lines = t.lineitem.join(t.orders, F.expr("l_orderkey = o_orderkey"))
-    deadlines = lines.selectExpr(
+    pairs = lines(t).join(t.orders, F.expr("l_orderkey = o_orderkey"))
+    deadlines = pairs.selectExpr(
         "l_orderkey", "date_format(l_shipdate, 'yyyy-MM') m", "o_custkey"
     ).distinct().selectExpr(
         "concat('deadline-', l_orderkey, '-', m) node_id", "'DEADLINE' type", "concat('Tháng ', m) name",
@@ -145,7 +154,7 @@ def kg_nodes(t: Tables) -> DataFrame:
         f"{none} amount", f"{none} value", f"{none} resolved", f"{none} target_type",
         "'LOW' importance", "0.7D confidence", "-1L document_id",
     )
-    refs = lines.where("l_returnflag = 'R'").selectExpr(
+    refs = pairs.where("l_returnflag = 'R'").selectExpr(
         "concat('ref-', l_orderkey, '-', l_linenumber) node_id", "'LEGAL_REFERENCE' type",
         "concat('Luật số ', l_partkey % 20) name", f"{none} amount", f"{none} value",
         "if(l_partkey % 3 = 0, 'false', 'true') resolved", "if(l_partkey % 2 = 0, 'FORM', 'LAW') target_type",
@@ -183,7 +192,7 @@ def kg_edges(t: Tables) -> DataFrame:
         "concat('fund-', p_size) target_node_id", "'HAS_FUNDING_SOURCE' type", "'LOW' importance",
         "0.7D confidence", "-1L document_id",
     )
-    lines = t.lineitem.join(t.orders, F.expr("l_orderkey = o_orderkey")).selectExpr(
+    pairs = lines(t).join(t.orders, F.expr("l_orderkey = o_orderkey")).selectExpr(
         "o_custkey", "explode(filter(array("
         " struct('HAS_DEADLINE' type, concat('task-', l_orderkey) s, concat('deadline-', l_orderkey, '-',"
         "   date_format(l_shipdate, 'yyyy-MM')) d, 'dl' k),"
@@ -198,7 +207,7 @@ def kg_edges(t: Tables) -> DataFrame:
         "), e -> e is not null)) e",
         "l_orderkey", "l_linenumber", "l_discount",
     )
-    items = lines.selectExpr(
+    items = pairs.selectExpr(
         "concat('e-', e.k, '-', l_orderkey, '-', l_linenumber) edge_id", "e.s source_node_id",
         "e.d target_node_id", "e.type type",
         "case when l_discount > 0.085 then 'CRITICAL' when l_discount > 0.065 then 'HIGH' else 'MEDIUM' end importance",
@@ -351,7 +360,11 @@ VIEWS_SQL: dict[str, tuple[tuple[str, ...], str]] = {
                0.5 + ((document_id * 7 + pos * 13) % 50) / 100.0 AS confidence
         FROM (SELECT doc_id AS document_id, lang, unnest(l) AS line, unnest(range(len(l))) AS pos
               FROM (SELECT doc_id, lang, string_split(text, chr(10)) AS l FROM documents))"""),
-    "legal_blocks": ((), """
+    "lines": ((), """
+        SELECT l_orderkey, l_linenumber, sum(l_quantity) AS l_quantity, max(l_partkey) AS l_partkey, max(l_suppkey) AS l_suppkey,
+          max(l_discount) AS l_discount, max(l_tax) AS l_tax, max(l_returnflag) AS l_returnflag,
+          max(l_linestatus) AS l_linestatus, max(l_shipdate) AS l_shipdate FROM lineitem GROUP BY 1, 2"""),
+    "legal_blocks": (("lines",), """
         SELECT d AS document_id, p AS page_index, o AS order_index,
                'b-' || d || '-' || p || '-' || o AS block_id, t AS text,
                CASE WHEN o % 7 = 3 THEN NULL ELSE 0.5 + (o % 50) / 100.0 END AS confidence,
@@ -369,11 +382,11 @@ VIEWS_SQL: dict[str, tuple[tuple[str, ...], str]] = {
                  'Điều ' || o_orderkey || '. ' || o_orderpriority FROM orders
           UNION ALL SELECT o_custkey, 1 + o_orderkey // 1000, (o_orderkey % 1000) * 64 + 4 * l_linenumber,
                  l_linenumber || '. Số lượng ' || CAST(l_quantity AS INT) || ' đơn vị, thời hạn '
-                 || CAST(l_quantity AS INT) || ' ngày' FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+                 || CAST(l_quantity AS INT) || ' ngày' FROM lines JOIN orders ON l_orderkey = o_orderkey
           UNION ALL SELECT o_custkey, 1 + o_orderkey // 1000, (o_orderkey % 1000) * 64 + 4 * l_linenumber + 1,
-                 'a) Hoàn trả cho bên giao' FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag = 'R'
+                 'a) Hoàn trả cho bên giao' FROM lines JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag = 'R'
           UNION ALL SELECT o_custkey, 1 + o_orderkey // 1000, (o_orderkey % 1000) * 64 + 4 * l_linenumber + 2,
-                 'Nội dung tiếp theo của lô ' || l_partkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+                 'Nội dung tiếp theo của lô ' || l_partkey FROM lines JOIN orders ON l_orderkey = o_orderkey
                  WHERE l_linestatus = 'O')"""),
     "headings": (("legal_blocks",), """
         SELECT *, page_index * 4294967296 + order_index AS ord,
@@ -467,7 +480,7 @@ VIEWS_SQL: dict[str, tuple[tuple[str, ...], str]] = {
                 FROM changes WHERE change_type <> 'UNCHANGED' GROUP BY 1) m
           JOIN reg_versions v USING (version_id) JOIN projects p ON p.workspace_id = v.workspace_id)
         WHERE score >= 0.20"""),
-    "kg_nodes": ((), f"""
+    "kg_nodes": (("lines",), f"""
         SELECT 'task-' || o_orderkey AS node_id, 'TASK' AS type, 'Nhiệm vụ ' || o_orderkey AS name, {_N} AS amount,
           {_N} AS value, {_N} AS resolved, {_N} AS target_type,
           CASE o_orderkey % 5 WHEN 0 THEN 'CRITICAL' WHEN 1 THEN 'HIGH' ELSE 'MEDIUM' END AS importance,
@@ -476,15 +489,15 @@ VIEWS_SQL: dict[str, tuple[tuple[str, ...], str]] = {
         UNION ALL SELECT 'dossier-' || c_custkey, 'DOSSIER', 'Hồ sơ ' || c_custkey, NULL, NULL, NULL, NULL, 'MEDIUM', 0.9, c_custkey FROM customer
         UNION ALL SELECT 'deadline-' || l_orderkey || '-' || m, 'DEADLINE', 'Tháng ' || m, NULL,
           CASE WHEN l_orderkey % 2 = 0 THEN m ELSE '' END, NULL, NULL, 'MEDIUM', 0.82, o_custkey
-          FROM (SELECT DISTINCT l_orderkey, strftime(l_shipdate, '%Y-%m') AS m, o_custkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
+          FROM (SELECT DISTINCT l_orderkey, strftime(l_shipdate, '%Y-%m') AS m, o_custkey FROM lines JOIN orders ON l_orderkey = o_orderkey)
         UNION ALL SELECT 'budget-' || p_partkey, 'BUDGET', 'Ngân sách ' || (p_partkey % 50),
           CASE WHEN p_partkey % 10 = 0 THEN NULL WHEN p_partkey % 10 = 1 THEN '' ELSE CAST(CAST(floor(p_retailprice) AS INT) AS VARCHAR) END,
           NULL, NULL, NULL, CASE WHEN p_size > 40 THEN 'CRITICAL' ELSE 'LOW' END, 0.6 + (p_size % 40) / 100.0, -1 FROM part
         UNION ALL SELECT 'fund-' || s_suppkey, 'FUNDING_SOURCE', s_name, NULL, NULL, NULL, NULL, 'LOW', 0.7, -1 FROM supplier
         UNION ALL SELECT 'ref-' || l_orderkey || '-' || l_linenumber, 'LEGAL_REFERENCE', 'Luật số ' || (l_partkey % 20), NULL, NULL,
           CASE WHEN l_partkey % 3 = 0 THEN 'false' ELSE 'true' END, CASE WHEN l_partkey % 2 = 0 THEN 'FORM' ELSE 'LAW' END,
-          'MEDIUM', 0.9, o_custkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag = 'R'"""),
-    "kg_edges": ((), """
+          'MEDIUM', 0.9, o_custkey FROM lines JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag = 'R'"""),
+    "kg_edges": (("lines",), """
         SELECT 'e-lead-' || o_orderkey AS edge_id, 'agency-' || o_custkey AS source_node_id, 'task-' || o_orderkey AS target_node_id,
           'LEADS' AS type, 'HIGH' AS importance, 0.78 AS confidence, o_custkey AS document_id FROM orders WHERE substr(o_orderpriority, 1, 1) IN ('1', '2')
         UNION ALL SELECT 'e-assign-' || o_orderkey, 'agency-' || o_custkey, 'task-' || o_orderkey, 'ASSIGNS_RESPONSIBILITY', 'MEDIUM', 0.72, o_custkey
@@ -496,11 +509,11 @@ VIEWS_SQL: dict[str, tuple[tuple[str, ...], str]] = {
           CASE WHEN l_discount > 0.085 THEN 'CRITICAL' WHEN l_discount > 0.065 THEN 'HIGH' ELSE 'MEDIUM' END,
           round(1 - 4 * l_discount, 4), o_custkey
         FROM (
-          SELECT 'HAS_DEADLINE' AS type, 'task-' || l_orderkey AS s, 'deadline-' || l_orderkey || '-' || strftime(l_shipdate, '%Y-%m') AS d, 'dl' AS k, * FROM lineitem
-          UNION ALL SELECT 'HAS_BUDGET', 'task-' || l_orderkey, 'budget-' || l_partkey, 'bg', * FROM lineitem WHERE l_linenumber <= 2
-          UNION ALL SELECT 'REFERENCES', 'task-' || l_orderkey, 'ref-' || l_orderkey || '-' || l_linenumber, 'rf', * FROM lineitem WHERE l_returnflag = 'R' AND l_tax > 0.02
-          UNION ALL SELECT 'LEADS', 'agency-s' || l_suppkey, 'task-' || l_orderkey, 'ld', * FROM lineitem WHERE l_returnflag = 'R' AND l_linenumber = 1
-          UNION ALL SELECT 'ASSIGNS_RESPONSIBILITY', 'agency-' || l_suppkey, 'task-' || l_orderkey, 'as', * FROM lineitem WHERE l_linestatus = 'F' AND l_linenumber = 2
+          SELECT 'HAS_DEADLINE' AS type, 'task-' || l_orderkey AS s, 'deadline-' || l_orderkey || '-' || strftime(l_shipdate, '%Y-%m') AS d, 'dl' AS k, * FROM lines
+          UNION ALL SELECT 'HAS_BUDGET', 'task-' || l_orderkey, 'budget-' || l_partkey, 'bg', * FROM lines WHERE l_linenumber <= 2
+          UNION ALL SELECT 'REFERENCES', 'task-' || l_orderkey, 'ref-' || l_orderkey || '-' || l_linenumber, 'rf', * FROM lines WHERE l_returnflag = 'R' AND l_tax > 0.02
+          UNION ALL SELECT 'LEADS', 'agency-s' || l_suppkey, 'task-' || l_orderkey, 'ld', * FROM lines WHERE l_returnflag = 'R' AND l_linenumber = 1
+          UNION ALL SELECT 'ASSIGNS_RESPONSIBILITY', 'agency-' || l_suppkey, 'task-' || l_orderkey, 'as', * FROM lines WHERE l_linestatus = 'F' AND l_linenumber = 2
         ) JOIN orders ON l_orderkey = o_orderkey"""),
     "job_events": ((), """
         SELECT 'job-' || user_id || '-' || strftime(ts, '%m%d') AS job_id, user_id AS document_id, event_id AS seq, ts,
@@ -590,6 +603,6 @@ def with_views(names: str, body: str) -> str:
     recursive = "RECURSIVE " if "RECURSIVE_BODY" in body else ""
     body = body.replace("RECURSIVE_BODY", "").strip()
     parts = ", ".join(f"{n} AS MATERIALIZED ({VIEWS_SQL[n][1]})" for n in order)
-    if body.startswith("WITH "):
-        return f"WITH {recursive}{parts}, {body[5:]}"
+    if body.split()[0] == "WITH":
+        return f"WITH {recursive}{parts}, {body[4:]}"
     return f"WITH {recursive}{parts} {body}"
