@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-SUBJECTS = ("structure", "regulatory")
+SUBJECTS = ("structure", "regulatory", "graph")
 
 
 def all_queries():
