@@ -39,9 +39,7 @@ def workflow_status(steps: DataFrame) -> DataFrame:
     failed, review = F.col("status") == "FAILED", F.col("status").isin("NEEDS_REVIEW", "SKIPPED")
     return steps.groupBy("workflow_id").agg(
         F.count("*").alias("steps"), F.count_if(failed).alias("failed"), F.count_if(review).alias("review"),
-        F.listagg("error", F.lit("; ")).alias("errors") if False else F.array_join(
-            F.array_sort(F.collect_set("error")), "; "
-        ).alias("errors"),
+        F.array_join(F.array_sort(F.collect_set("error")), "; ").alias("errors"),
     ).withColumn(
         "status",
         F.when(F.col("failed") > 0, "FAILED").when(F.col("review") > 0, "NEEDS_REVIEW").otherwise("COMPLETED"),
@@ -53,7 +51,7 @@ def attempt_telemetry(runs: DataFrame) -> DataFrame:
     return runs.groupBy("model").agg(
         F.count("*").alias("attempts"),
         F.avg(F.col("is_fallback").cast("double")).alias("fallback_share"),
-        F.count_if("failed").alias("failures"),
+        F.count_if(F.col("failed")).alias("failures"),
         F.avg("latency_ms").alias("mean_latency_ms"),
         F.max("latency_ms").alias("max_latency_ms"),
         F.percentile_approx("latency_ms", 0.95).alias("p95_latency_ms"),

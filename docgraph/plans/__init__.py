@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-SUBJECTS = ("structure", "regulatory", "graph")
+SUBJECTS = ("structure", "regulatory", "graph", "retrieval")
 
 
 def all_queries():

@@ -328,20 +328,20 @@ def _(t):
 
 
 _QUESTIONS = """qs AS (
-    SELECT item_id % 3 AS document_id, 'c-' || item_id || '-0' AS question_id, item_id AS nth, 'flag-' || (item_id % 7) AS issue_type,
-      CASE WHEN item_id % 2 = 0 THEN 'HIGH' ELSE 'LOW' END AS severity,
+    SELECT item_id % 13 AS document_id, 'c-' || item_id || '-0' AS question_id, item_id AS nth, 'flag-' || (item_id % 7) AS issue_type,
+      CASE WHEN item_id % 4 = 0 THEN 'HIGH' ELSE 'LOW' END AS severity,
       CASE WHEN item_id % 11 = 0 THEN 'Nội dung' ELSE 'thời hạn ' || item_id END AS subject, 'Vì sao thời gian ' || item_id AS question FROM benchmark)"""
 
 
 def _question_inputs(t):
     q = t.benchmark.selectExpr(
-        "item_id % 3 document_id", "concat('c-', item_id, '-0') question_id", "item_id nth",
-        "concat('flag-', item_id % 7) issue_type", "if(item_id % 2 = 0, 'HIGH', 'LOW') severity",
+        "item_id % 13 document_id", "concat('c-', item_id, '-0') question_id", "item_id nth",
+        "concat('flag-', item_id % 7) issue_type", "if(item_id % 4 = 0, 'HIGH', 'LOW') severity",
         "if(item_id % 11 = 0, 'Nội dung', concat('thời hạn ', item_id)) related_subject",
         "concat('Vì sao thời gian ', item_id) question", "'thời' reason",
     )
     f = t.benchmark.selectExpr("item_id").distinct().selectExpr(
-        "item_id % 3 document_id", "concat('flag-', item_id % 7) issue_type", "concat('f-', item_id) flag_id",
+        "item_id % 13 document_id", "concat('flag-', item_id % 7) issue_type", "concat('f-', item_id) flag_id",
         "if(item_id % 4 = 0, 'HIGH', 'LOW') severity", "item_id",
     )
     checks = _checks(t).where("citation_id like '%-0'").withColumn("owner_id", F.col("citation_id"))
@@ -351,7 +351,7 @@ def _question_inputs(t):
 
 @query("I14_valid_questions", with_views("citation_checks", "WITH " + _QUESTIONS + """,
     picked AS (SELECT * FROM qs QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY nth) <= 5),
-    worst AS (SELECT item_id % 3 AS document_id, 'flag-' || (item_id % 7) AS issue_type, bool_or(item_id % 4 = 0) AS high FROM benchmark GROUP BY 1, 2)
+    worst AS (SELECT item_id % 13 AS document_id, 'flag-' || (item_id % 7) AS issue_type, bool_or(item_id % 4 = 0) AS high FROM benchmark GROUP BY 1, 2)
     SELECT p.document_id, p.question_id, p.severity FROM picked p JOIN worst w USING (document_id, issue_type) JOIN citation_checks c ON c.citation_id = p.question_id
     WHERE p.severity = CASE WHEN w.high THEN 'HIGH' ELSE 'LOW' END AND c.issues = '' AND p.subject <> 'Nội dung' """))
 def _(t):
@@ -368,7 +368,7 @@ def _(t):
 
 
 @query("C21_question_flag_severity", with_views("lines", "WITH " + _QUESTIONS + """,
-    worst AS (SELECT item_id % 3 AS document_id, 'flag-' || (item_id % 7) AS issue_type, bool_or(item_id % 4 = 0) AS high FROM benchmark GROUP BY 1, 2)
+    worst AS (SELECT item_id % 13 AS document_id, 'flag-' || (item_id % 7) AS issue_type, bool_or(item_id % 4 = 0) AS high FROM benchmark GROUP BY 1, 2)
     SELECT question_id, severity = CASE WHEN high THEN 'HIGH' ELSE 'LOW' END AS agrees FROM qs JOIN worst USING (document_id, issue_type)"""))
 def _(t):
     q, f, *_ = _question_inputs(t)
@@ -418,10 +418,8 @@ def _(t):
         FROM labels JOIN documents USING (doc_id)) AS f1 FROM citation_checks"""))
 def _(t):
     rated = t.labels.join(t.documents.select("doc_id", "n_chars"), "doc_id").agg(
-        F.count_if("quality = 1 and n_chars >= 500").alias("tp"), F.count_if("quality = 1").alias("p"),
-        F.count_if("n_chars >= 500").alias("c"),
-    ) if False else t.labels.join(t.documents.select("doc_id", "n_chars"), "doc_id").selectExpr(
-        "count_if(quality = 1 and n_chars >= 500) tp", "count_if(quality = 1) p", "count_if(n_chars >= 500) c"
+        F.count_if(F.expr("quality = 1 and n_chars >= 500")).alias("tp"), F.count_if(F.expr("quality = 1")).alias("p"),
+        F.count_if(F.expr("n_chars >= 500")).alias("c"),
     )
     kpi = _checks(t).agg(
         F.count("*").alias("citations"), F.round(F.avg(F.when(F.size("issues") == 0, 1.0).otherwise(0.0)), 6).alias("valid_share")
