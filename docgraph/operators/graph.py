@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docgraph.functions import text as X
+from docgraph.session import cut_lineage
 from docgraph.operators.ordered import first_per_key, running_sum, top_per_key
 
 MAX_PROVISIONS, MAX_FACTS = 80, 40
@@ -295,7 +296,8 @@ def citation_issues(elements: DataFrame, checks: DataFrame) -> DataFrame:
 
 
 def keep_valid(nodes: DataFrame, edges: DataFrame, issues: DataFrame) -> tuple[DataFrame, DataFrame]:
-    bad = issues.select("element_type", F.col("element_id").alias("bad_id")).distinct()
+    # The rejected ids are written once; three joins below read them.
+    bad = cut_lineage(issues.select("element_type", F.col("element_id").alias("bad_id")).distinct())
     good_nodes = nodes.join(bad.where("element_type = 'NODE'"), F.col("node_id") == F.col("bad_id"), "left_anti")
     good_edges = edges.join(bad.where("element_type = 'EDGE'"), F.col("edge_id") == F.col("bad_id"), "left_anti")
     return good_nodes, induced(good_nodes, good_edges)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-SUBJECTS = ("structure", "regulatory", "graph", "retrieval")
+SUBJECTS = ("structure", "regulatory", "graph", "retrieval", "governance", "streaming")
 
 
 def all_queries():
