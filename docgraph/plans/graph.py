@@ -63,6 +63,23 @@ def _(t):
     return kept.join(counts, ["issue_type", "source_node_id", "target_node_id"]).select("issue_type", "flag_id", "merged")
 
 
+def _count_sql() -> str:
+    from docgraph.plans.registry import SQL  # the rules above, each with its own SQL
+
+    bodies = []
+    for name, sql in SQL.items():
+        if name[0] == "R" and name[1].isdigit() and not name.startswith("R15"):
+            rule = name.split("_", 1)[1].upper()
+            bodies.append(f"SELECT '{rule}' AS issue_type, count(*) AS n FROM ({sql[sql.index('SELECT ' + chr(39) + R.SEVERITY[rule]):]})")
+    return with_views("kg_nodes kg_edges", " UNION ALL ".join(bodies))
+
+
+@query("R15_all_flags", _count_sql())
+def _(t):
+    flags = R.evaluate(views.kg_nodes(t), views.kg_edges(t))
+    return flags.groupBy("issue_type").agg(F.count("*").alias("n"))
+
+
 @query("D20_flag_counters", with_views("kg_nodes kg_edges", """
     SELECT 'MULTIPLE_LEAD_AGENCIES' AS issue_type, count(*) AS flags, CAST(sum(n) AS BIGINT) AS edges FROM
       (SELECT count(*) AS n FROM kg_edges WHERE type = 'LEADS' GROUP BY target_node_id HAVING count(*) > 1)

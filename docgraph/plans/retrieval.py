@@ -427,13 +427,32 @@ def _(t):
 
 
 @query("H40_box_from_polygon", """
-    SELECT vec_id, round(least(embedding[1], embedding[3], embedding[5]), 6) AS x1, round(greatest(embedding[2], embedding[4], embedding[6]), 6) AS y2 FROM embeddings""")
+    SELECT vec_id, round(CAST(least(embedding[1], embedding[3], embedding[5]) AS DOUBLE), 6) AS x1, round(CAST(greatest(embedding[2], embedding[4], embedding[6]) AS DOUBLE), 6) AS y2 FROM embeddings""")
 def _(t):
     polygon = F.expr("array(slice(embedding, 1, 2), slice(embedding, 3, 2), slice(embedding, 5, 2))")
     box = X.bbox_of(F.expr("cast(array() as array<float>)"), polygon)
     return t.embeddings.select("vec_id", F.round(box["x1"].cast("double"), 6).alias("x1"), F.round(box["y2"].cast("double"), 6).alias("y2"))
 
 
+@query("U3_model_gateway", """
+    SELECT doc_id, length(text) AS n FROM documents""")
+def _(t):
+    from docgraph.functions.providers import structured
+
+    # A stand-in model: answers in a fenced block with the length of the prompt.
+    answers = structured(t.documents, "text", lambda prompts: ["```json\n{\"n\": %d}\n```" % len(p) for p in prompts], "n bigint")
+    return answers.select("doc_id", F.col("parsed.n").alias("n"))
+
+
+@query("U6_chunk_reader", with_views("chunks", """
+    SELECT chunk_id, pdf_page_end FROM chunks WHERE lang = 'en'"""))
+def _(t):
+    from docgraph.functions.providers import register_views
+
+    register_views({"chunk_reader": views.doc_chunks(t)})
+    return t.spark.sql("SELECT chunk_id, pdf_page_end FROM chunk_reader WHERE lang = 'en'")
+
+
 @query("B9_model_payload", """
     SELECT doc_id, '{"chunkId":"ck-' || doc_id || '","documentId":' || doc_id || ',"article":"Điều ' || (1 + doc_id % 2) || '","pageStart":0}' AS payload FROM documents""")
 def _(t):

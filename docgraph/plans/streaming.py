@@ -18,9 +18,9 @@ class StreamTables(Tables):
     def __getattr__(self, name: str):
         if name.startswith("_"):
             raise AttributeError(name)
-        path = f"{self.folder}/{name}.parquet"
-        schema = self.spark.read.parquet(path).schema
-        return self.spark.readStream.schema(schema).parquet(path)
+        schema = self.spark.read.parquet(f"{self.folder}/{name}.parquet").schema
+        # The glob lets the source take a single file as well as a folder of files.
+        return self.spark.readStream.schema(schema).parquet(f"{self.folder}/{name}.parque[t]")
 
 
 def _stream(t: Tables) -> StreamTables:
@@ -132,7 +132,7 @@ def _(t):
 
 @query("S6_result_expiry_stream", "SELECT event_id FROM events")
 def _(t):
-    saved = _stream(t).events.selectExpr("user_id query_id", "event_id", "ts")
+    saved = _stream(t).events.selectExpr("user_id query_id", "event_id", "cast(ts as timestamp) ts")
     path = files.fresh_path(t.spark, "s6")
     S.run_to_table(S.live_stream(saved), path)
     return t.spark.read.parquet(f"{path}/data").select("event_id")

@@ -251,9 +251,8 @@ def audit_events(t: Tables) -> DataFrame:
 
 def citations(t: Tables) -> DataFrame:
     """V9: benchmark passages cited from documents, with wrong pages and documents mixed in."""
-    marked = t.benchmark.crossJoin(
-        F.broadcast(t.documents.agg(F.count("*").alias("n_docs")))
-    )
+    total = t.documents.agg(F.count("*").alias("n_docs")).withColumn("one", F.lit(1))
+    marked = t.benchmark.withColumn("one", F.lit(1)).join(F.broadcast(total), "one")
     cited = marked.selectExpr(
         "item_id", "text quote", "explode(sequence(0L, 4L)) i", "n_docs",
     )

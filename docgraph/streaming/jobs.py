@@ -55,12 +55,45 @@ NEW_JOB = ("UPLOADED", 0, "UPLOADED")
 JOB_OUTPUT = "job_id string, seq bigint, outcome string, status string, progress bigint"
 
 
-def _job_rows(key: str, state, events: pd.DataFrame):
-    rows = []
-    for e in events.sort_values("seq").itertuples():
-        state, outcome = job_step(state, e)
-        rows.append((key, int(e.seq), outcome, state[0], int(state[1])))
-    return state, pd.DataFrame(rows, columns=["job_id", "seq", "outcome", "status", "progress"])
+def _job_row(key: str, state, e):
+    state, outcome = job_step(state, e)
+    return state, (key, int(e.seq), outcome, state[0], int(state[1]))
+
+
+def _fold(rows: pd.DataFrame, key, state, step, columns: list[str]):
+    out = []
+    for e in rows.itertuples():
+        state, row = step(key, state, e)
+        out.append(row)
+    return state, pd.DataFrame(out, columns=columns)
+
+
+def _names(schema: str) -> list[str]:
+    return [part.split()[0] for part in schema.split(",")]
+
+
+def fold_sorted(events: DataFrame, keys: list[str], order: list[str], start, step, schema: str) -> DataFrame:
+    """Runs ``step(key, state, row)`` over the ordered rows of every key.
+
+    Spark brings each key's rows together in order; the task walks through them
+    in Arrow batches holding one state, so memory does not grow with a key, and
+    many small keys share a batch.
+    """
+    columns = _names(schema)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, state = None, start
+        for batch in batches:
+            out = []
+            for e in batch.itertuples(index=False):
+                own = tuple(getattr(e, k) for k in keys)
+                if own != key:
+                    key, state = own, start
+                state, row = step(own[0], state, e)
+                out.append(row)
+            yield pd.DataFrame(out, columns=columns)
+
+    return events.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
 
 
 class JobProcessor(StatefulProcessor):
@@ -69,8 +102,7 @@ class JobProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         state = tuple(self.state.get()) if self.state.exists() else NEW_JOB
-        events = pd.concat(list(rows))
-        state, out = _job_rows(key[0], state, events)
+        state, out = _fold(pd.concat(list(rows)).sort_values("seq"), key[0], state, _job_row, _names(JOB_OUTPUT))
         self.state.update(state)
         yield out
 
@@ -85,29 +117,24 @@ def job_states(events: DataFrame) -> DataFrame:
 
 def job_states_batch(events: DataFrame) -> DataFrame:
     """S1 on a finished log."""
-    fold = lambda frame: _job_rows(frame["job_id"].iloc[0], NEW_JOB, frame)[1]
-    return events.groupBy("job_id").applyInPandas(fold, JOB_OUTPUT)
+    return fold_sorted(events, ["job_id"], ["seq"], NEW_JOB, _job_row, JOB_OUTPUT)
 
 
 LOGIN_OUTPUT = "user_id bigint, event_id bigint, outcome string, failures bigint"
 
 
-def _login_rows(key: int, state, events: pd.DataFrame):
+def _login_row(key: int, state, e):
     """Five failures in a row lock for fifteen minutes; locked attempts do not count."""
-    failures, locked_until = state
-    rows = []
-    for e in events.sort_values(["ts", "event_id"]).itertuples():
-        if locked_until is not None and locked_until > e.ts:
-            outcome = "RATE_LIMITED"
-        elif e.ok:
-            failures, locked_until, outcome = 0, None, "SUCCESS"
-        else:
-            failures, outcome = failures + 1, "INVALID_CREDENTIALS"
-            if failures >= LOGIN_MAX_FAILURES:
-                failures, outcome = 0, "LOCKED"
-                locked_until = e.ts + timedelta(minutes=LOGIN_LOCK_MINUTES)
-        rows.append((int(key), int(e.event_id), outcome, int(failures)))
-    return (failures, locked_until), pd.DataFrame(rows, columns=["user_id", "event_id", "outcome", "failures"])
+    failures, until = state
+    if until is not None and until > e.ts:
+        outcome = "RATE_LIMITED"
+    elif e.ok:
+        failures, until, outcome = 0, None, "SUCCESS"
+    elif failures + 1 >= LOGIN_MAX_FAILURES:
+        failures, until, outcome = 0, e.ts + timedelta(minutes=LOGIN_LOCK_MINUTES), "LOCKED"
+    else:
+        failures, outcome = failures + 1, "INVALID_CREDENTIALS"
+    return (failures, until), (int(key), int(e.event_id), outcome, int(failures))
 
 
 class LoginProcessor(StatefulProcessor):
@@ -119,7 +146,8 @@ class LoginProcessor(StatefulProcessor):
         if self.state.exists():
             failures, until = self.state.get()
             state = (failures, pd.Timestamp(until) if until is not None else None)
-        state, out = _login_rows(key[0], state, pd.concat(list(rows)))
+        events = pd.concat(list(rows)).sort_values(["ts", "event_id"])
+        state, out = _fold(events, key[0], state, _login_row, _names(LOGIN_OUTPUT))
         until = state[1].to_pydatetime() if state[1] is not None else None
         self.state.update((state[0], until))
         yield out
@@ -151,8 +179,8 @@ def login_outcomes_batch(events: DataFrame) -> DataFrame:
         F.col("last_failure") + F.expr(f"interval {LOGIN_LOCK_MINUTES} minutes") <= F.col("ts")
     )
     runs = carry_last(timed, ["user_id"], "day", "at", {"run": F.when(F.col("ok") & calm, F.col("event_id"))})
-    fold = lambda frame: _login_rows(frame["user_id"].iloc[0], (0, None), frame)[1]
-    return runs.select("user_id", "event_id", "ts", "ok", "run").groupBy("user_id", "run").applyInPandas(fold, LOGIN_OUTPUT)
+    runs = runs.select("user_id", "event_id", "ts", "ok", F.coalesce("run", F.lit(-1)).alias("run"))
+    return fold_sorted(runs, ["user_id", "run"], ["ts", "event_id"], (0, None), _login_row, LOGIN_OUTPUT)
 
 
 class RotationProcessor(StatefulProcessor):
