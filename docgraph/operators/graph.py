@@ -120,7 +120,7 @@ def extract(chunks: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFra
         articles.where("art is not null").select("document_id", "art_key", "chunk_order", "chunk_id", "line", "art", "content"),
         ["document_id", "art_key"], [F.col("chunk_order")],
     )
-    provisions = top_per_key(firsts, ["document_id"], ["chunk_order"], MAX_PROVISIONS)
+    provisions = cut_lineage(top_per_key(firsts, ["document_id"], ["chunk_order"], MAX_PROVISIONS))
     title = F.when(F.startswith(X.fold(F.col("line")), X.fold(F.col("art"))), F.col("line")).otherwise(F.col("art"))
     provisions = provisions.withColumn("title", X.display(title))
     provision_nodes = provisions.select(
@@ -146,7 +146,8 @@ def extract(chunks: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFra
         X.quote(F.col("m.full")).alias("quote"), F.create_map(F.lit("sourceLabel"), F.col("m.label")).alias("properties"),
     )
 
-    facts = sentence_facts(parented)
+    # Written once: six node and edge branches read the facts.
+    facts = cut_lineage(sentence_facts(parented))
     at = F.struct(F.col("chunk_order").alias("o"), F.col("s"), F.col("i")).alias("at")
     said = X.quote(F.col("sentence")).alias("quote")
     no_props = F.create_map().cast("map<string,string>").alias("properties")

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from docgraph.functions import text as X
 from docgraph.operators.ordered import top_per_key
 from docgraph.operators.vectors import keyword_score
+from docgraph.session import cut_lineage
 
 PHRASE_BONUS = 0.15
 ON_FAILURE = 0.7
@@ -43,7 +44,8 @@ def lexical_scores(chunks: DataFrame, questions: DataFrame) -> DataFrame:
     question tokens in one equi join and are summed per pair on the map side.
     """
     asked = query_tokens(questions)
-    tf = token_frequencies(chunks, asked)
+    # Written once: document frequencies and pair scores both read the postings.
+    tf = cut_lineage(token_frequencies(chunks, asked))
     total = chunks.agg(F.count("*").alias("total")).withColumn("one", F.lit(1))
     df = document_frequencies(tf)
     weights = asked.join(df, "token", "left").withColumn("one", F.lit(1)).join(F.broadcast(total), "one").select(

@@ -26,8 +26,8 @@ def cosine(a: Column, b: Column) -> Column:
     return dot / F.when(denominator == 0, 1.0).otherwise(denominator)
 
 
-def hash_components(texts: DataFrame, key: str, text: str, model: str, dimension: int = DIMENSION) -> DataFrame:
-    """H14 as rows (key, dim, value), unit length per key.
+def _hash_sums(texts: DataFrame, key: str, text: str, model: str, dimension: int) -> DataFrame:
+    """Signed token counts per key and dimension.
 
     Equal tokens are counted before anything is hashed or shuffled by dimension.
     """
@@ -39,16 +39,29 @@ def hash_components(texts: DataFrame, key: str, text: str, model: str, dimension
         key, (number(1, 8) % dimension).alias("dim"),
         F.when(number(9, 2) % 2 == 0, F.col("n")).otherwise(-F.col("n")).alias("v"),
     )
-    summed = placed.groupBy(key, "dim").agg(F.sum("v").cast("double").alias("v")).where("v <> 0")
-    norms = summed.groupBy(key).agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
-    return summed.join(norms, key).select(key, "dim", (F.col("v") / F.col("norm")).alias("value"))
+    return placed.groupBy(key, "dim").agg(F.sum("v").cast("double").alias("v")).where("v <> 0")
+
+
+def hash_parts(texts: DataFrame, key: str, text: str, model: str, dimension: int = DIMENSION) -> DataFrame:
+    """The components of a key in one row: at most ``dimension`` of them, and their norm."""
+    summed = _hash_sums(texts, key, text, model, dimension)
+    return summed.groupBy(key).agg(
+        F.collect_list(F.struct(F.col("dim").cast("int").alias("dim"), "v")).alias("parts"),
+        F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"),
+    )
+
+
+def hash_components(texts: DataFrame, key: str, text: str, model: str, dimension: int = DIMENSION) -> DataFrame:
+    """H14 as rows (key, dim, value), unit length per key."""
+    parts = hash_parts(texts, key, text, model, dimension).select(key, "norm", F.explode("parts").alias("p"))
+    return parts.select(key, F.col("p.dim").cast("long").alias("dim"), (F.col("p.v") / F.col("norm")).alias("value"))
 
 
 def hash_vectors(texts: DataFrame, key: str, text: str, model: str, dimension: int = DIMENSION) -> DataFrame:
     """H14 as one dense array per key; a text without tokens gets zeros."""
-    parts = hash_components(texts, key, text, model, dimension)
-    maps = parts.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct(F.col("dim").cast("int"), "value"))).alias("m"))
-    value = lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)).cast("float")
+    parts = hash_parts(texts, key, text, model, dimension)
+    maps = parts.select(key, "norm", F.map_from_entries("parts").alias("m"))
+    value = lambda i: F.coalesce(F.try_element_at("m", i) / F.col("norm"), F.lit(0.0)).cast("float")
     return texts.select(key).join(maps, key, "left").select(
         key, F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), value).alias("vector")
     )

@@ -76,7 +76,7 @@ def _count_sql() -> str:
 
 @query("R15_all_flags", _count_sql())
 def _(t):
-    flags = R.evaluate(views.kg_nodes(t), views.kg_edges(t))
+    flags = R.evaluate(t.stored("kg_nodes", views.kg_nodes), t.stored("kg_edges", views.kg_edges))
     return flags.groupBy("issue_type").agg(F.count("*").alias("n"))
 
 
@@ -169,7 +169,8 @@ _REMAPPED = _MERGED + """,
 
 
 def _remapped(t):
-    _, mapping = G.merge_nodes(G.normalize_nodes(views.kg_nodes(t)), ["document_id"])
+    nodes = cut_lineage(G.normalize_nodes(views.kg_nodes(t)).select("document_id", "node_id", "name", "type", "normalized_key", "confidence", "importance"))
+    _, mapping = G.merge_nodes(nodes, ["document_id"])
     return G.remap_edges(views.kg_edges(t), mapping, ["document_id"])
 
 
@@ -502,7 +503,7 @@ def _(t):
       good AS (SELECT node_id FROM kg_nodes WHERE importance NOT IN ('HIGH', 'CRITICAL') OR confidence >= 0.7)
     SELECT edge_id FROM kg_edges WHERE edge_id NOT IN (SELECT edge_id FROM bad) AND source_node_id IN (SELECT node_id FROM good) AND target_node_id IN (SELECT node_id FROM good)"""))
 def _(t):
-    n, e = views.kg_nodes(t), views.kg_edges(t)
+    n, e = t.stored("kg_nodes", views.kg_nodes), t.stored("kg_edges", views.kg_edges)
     elements = n.selectExpr("'NODE' element_type", "node_id element_id", "importance", "confidence").unionByName(
         e.selectExpr("'EDGE' element_type", "edge_id element_id", "importance", "confidence")
     )

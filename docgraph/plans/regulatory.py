@@ -16,12 +16,16 @@ from docgraph.sources import views
 from docgraph.sources.views import with_views
 
 
+def _stored(t):
+    return t.stored("reg_versions", views.reg_versions)
+
+
 def _versions(t):
-    return R.previous_versions(views.reg_versions(t))
+    return R.previous_versions(_stored(t))
 
 
 def _located(t):
-    v = views.reg_versions(t)
+    v = _stored(t)
     return R.locate(R.facts(v), structure.legal_locations(v))
 
 
@@ -33,7 +37,7 @@ def _changes(t, located=True):
 
 def _impacts(t):
     # Locations do not enter the score.
-    return R.impacts(views.reg_versions(t), cut_lineage(_changes(t, False)), views.projects(t))
+    return R.impacts(_stored(t), cut_lineage(_changes(t, False)), views.projects(t))
 
 
 @query("C10_previous_version", with_views("reg_facts", """
@@ -180,7 +184,7 @@ def _(t):
     FROM impacts i JOIN changes c USING (version_id) WHERE c.change_type <> 'UNCHANGED'"""))
 def _(t):
     changes, p = cut_lineage(_changes(t, False)), views.projects(t)
-    found = R.impacts(views.reg_versions(t), changes, p)
+    found = R.impacts(_stored(t), changes, p)
     areas = R.affected_areas(found, changes, p).join(changes.select("change_id", "fact_key"), "change_id")
     return areas.join(found.select("impact_id", "version_id", "project_id"), "impact_id").select(
         "version_id", "project_id", "fact_key", "change_type", "action", "project_section"
@@ -221,7 +225,7 @@ def _(t):
     LEFT JOIN (SELECT version_id, count(*) AS n FROM impacts GROUP BY 1) i USING (version_id)"""))
 def _(t):
     changes, p = cut_lineage(_changes(t, False)), views.projects(t)
-    found = R.impacts(views.reg_versions(t), changes, p)
+    found = R.impacts(_stored(t), changes, p)
     evidence = R.impact_evidence(R.affected_areas(found, changes, p), found, p)
     return R.verify(_versions(t), changes, evidence, found)
 
@@ -232,9 +236,9 @@ def _(t):
     LEFT JOIN (SELECT version_id, min(score) AS m FROM impacts GROUP BY 1) i USING (version_id)"""))
 def _(t):
     changes = cut_lineage(_changes(t, False))
-    found = R.impacts(views.reg_versions(t), changes, views.projects(t))
+    found = R.impacts(_stored(t), changes, views.projects(t))
     low = lambda df, c, n: df.groupBy("version_id").agg(F.min(c).alias(n))
-    joined = views.reg_versions(t).select("version_id").join(low(changes, "confidence", "a"), "version_id", "left").join(
+    joined = _stored(t).select("version_id").join(low(changes, "confidence", "a"), "version_id", "left").join(
         low(found, "score", "b"), "version_id", "left")
     return joined.select(
         "version_id", F.coalesce("a", F.lit(0.0)).alias("diff_confidence"), F.coalesce("b", F.lit(0.0)).alias("impact_confidence")

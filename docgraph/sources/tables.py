@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
+from docgraph.session import cut_lineage
+
+TEXT_TABLES = ("documents", "pages", "conversations")
+
 
 class Tables:
     """``Tables(spark, folder).orders`` reads ``folder/orders.parquet``."""
@@ -11,8 +17,27 @@ class Tables:
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark = spark
         self.folder = folder
+        self._stored: dict[str, DataFrame] = {}
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return spread(df) if name in TEXT_TABLES else df
+
+    def stored(self, name: str, build: Callable[[Tables], DataFrame]) -> DataFrame:
+        """``build(self)`` written once and read by every later use of this object."""
+        if name not in self._stored:
+            self._stored[name] = cut_lineage(build(self))
+        return self._stored[name]
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deals the rows of a table of few files out to all cores.
+
+    Text work is heavy per byte, and a table of one or two files feeds as many
+    tasks.  A table with at least as many files as cores is left alone, so large
+    inputs are never shuffled for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
