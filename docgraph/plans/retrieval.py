@@ -9,6 +9,7 @@ from docgraph.operators import retrieval as Q
 from docgraph.operators import vectors as V
 from docgraph.operators.ordered import top_per_key
 from docgraph.plans.registry import query
+from docgraph.session import cut_lineage
 from docgraph.sources import views
 from docgraph.sources.views import with_views
 
@@ -226,7 +227,8 @@ def _(t):
     SELECT item_id AS question_id, round(greatest(0, least(1, m)), 4) AS confidence, citations, CASE WHEN m < 0.5 THEN 'LOW_CONFIDENCE_SOURCE' ELSE 'SUPPORTED' END AS answer_status
     FROM (SELECT item_id, avg(rs) FILTER (rk <= 5) AS m, count(*) FILTER (trim(d.text) <> '') AS citations FROM items JOIN documents d USING (doc_id) GROUP BY 1)""")
 def _(t):
-    items = _reranked(t).join(_chunks(t).select("chunk_id", "document_id", "content"), "chunk_id")
+    # The kept hits, at most fifteen per question, feed both reports.
+    items = cut_lineage(_reranked(t)).join(_chunks(t).select("chunk_id", "document_id", "content"), "chunk_id")
     found = Q.conflicts(items.withColumn("topic", F.lit("Điều 1")), _questions(t))
     return Q.answer_status(items, found, _questions(t))
 
