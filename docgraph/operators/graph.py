@@ -38,29 +38,31 @@ TEMPORAL = ("thời hạn", "thời hiệu", "trong vòng", "chậm nhất", "k
 def _facts_of(sentence: Column) -> Column:
     """Facts of a sentence in order of extraction: assignment, references, durations."""
     bare = F.regexp_replace(sentence, r"[ .;]+$", "")
-    actor = F.regexp_extract(bare, ASSIGNMENT, 1)
     row = lambda kind, a, b, c: F.struct(
         F.lit(kind).alias("kind"), a.alias("a"), b.alias("b"), c.alias("c")
     )
     none = F.lit(None).cast("string")
+    # A plain look for the words comes first; few sentences reach the long patterns.
+    folded = X.fold(sentence)
+    part = lambda g: F.regexp_extract(bare, ASSIGNMENT, g)
     assigned = F.when(
-        actor != "",
-        F.array(
-            row(
-                "ASSIGN", F.trim(actor, F.lit(" ,;:.0123456789)")), F.regexp_extract(bare, ASSIGNMENT, 2),
-                F.trim(F.regexp_extract(bare, ASSIGNMENT, 3), F.lit(" ,;:.")),
-            )
-        ),
+        X.contains_any(folded, ("trách nhiệm", "chủ trì", "thực hiện")) & bare.rlike(ASSIGNMENT),
+        F.array(row("ASSIGN", F.trim(part(1), F.lit(" ,;:.0123456789)")), part(2), F.trim(part(3), F.lit(" ,;:.")))),
     )
-    whole = lambda pattern, g: F.regexp_extract_all(sentence, F.lit(pattern), F.lit(g))
-    refs = F.zip_with(
-        whole(REFERENCE, 0), F.arrays_zip(whole(REFERENCE, 1).alias("k"), whole(REFERENCE, 2).alias("n")),
-        lambda full, kn: row("REFERENCE", F.trim(full, F.lit(" ,.;")), kn["k"], kn["n"]),
+    whole = lambda pattern: F.regexp_extract_all(sentence, F.lit(pattern), F.lit(0))
+    refs = F.when(
+        folded.contains("số"),
+        F.transform(
+            whole(REFERENCE),
+            lambda full: row(
+                "REFERENCE", F.trim(full, F.lit(" ,.;")), F.regexp_extract(full, REFERENCE, 1), F.regexp_extract(full, REFERENCE, 2)
+            ),
+        ),
     )
-    timed = X.contains_any(X.fold(sentence), TEMPORAL)
-    spans = F.when(timed, F.transform(whole(DURATION, 0), lambda d: row("DURATION", d, none, none)))
+    timed = X.contains_any(folded, TEMPORAL)
+    spans = F.when(timed, F.transform(whole(DURATION), lambda d: row("DURATION", d, none, none)))
     empty = F.array().cast("array<struct<kind:string,a:string,b:string,c:string>>")
-    return F.concat(F.coalesce(assigned, empty), refs, F.coalesce(spans, empty))
+    return F.concat(*[F.coalesce(part, empty) for part in (assigned, refs, spans)])
 
 
 def sentence_facts(chunks: DataFrame, cap: int = MAX_FACTS) -> DataFrame:
@@ -75,7 +77,9 @@ def sentence_facts(chunks: DataFrame, cap: int = MAX_FACTS) -> DataFrame:
         "document_id", "chunk_order", "chunk_id", "parent_id",
         F.posexplode(F.regexp_extract_all(X.strip(F.col("content")), F.lit(SENTENCE), F.lit(0))).alias("s", "sentence"),
     ).withColumn("sentence", X.strip(F.col("sentence"))).where("sentence <> ''")
-    found = found.withColumn("facts", _facts_of(F.col("sentence"))).where("size(facts) > 0")
+    # One-element transform: the facts are found once, not again for the filter.
+    bound = F.transform(F.array("sentence"), _facts_of)
+    found = cut_lineage(found.withColumn("facts", F.get(bound, 0)).where("size(facts) > 0"))
     placed = found.withColumns(
         {"place": F.struct("chunk_order", "s"), "seg": F.expr("chunk_order div 256"), "n": F.size("facts")}
     )
