@@ -11,6 +11,7 @@ from docgraph.operators import rules as R
 from docgraph.plans.registry import query
 from docgraph.session import cut_lineage
 from docgraph.sources import views
+from docgraph.sources.tables import spread
 from docgraph.sources.views import with_views
 
 
@@ -214,7 +215,7 @@ _CHUNKS = """cks AS (
 
 
 def _graph_chunks(t):
-    return t.orders.selectExpr(
+    return spread(t.orders).selectExpr(
         "o_custkey document_id", "o_orderkey chunk_order", "concat('k-', o_orderkey) chunk_id", "cast(null as string) article",
         "concat('Điều ', o_orderkey % 100, '. ', o_orderpriority, '\n',"
         " if(o_orderkey % 3 = 0, concat('Bộ số ', o_orderkey % 9, ' chủ trì công việc ', o_orderkey, '; '), ''),"
