@@ -130,10 +130,10 @@ def _(t):
 
 
 @query("H12_family_key", with_views("reg_versions", """
-    SELECT version_id, family_id || '-qd-ubnd-quy-dinh-so-' || family_id || '-nam' AS family_key
-    FROM reg_versions WHERE family_id NOT BETWEEN 1900 AND 2099"""))
+    SELECT version_id, CASE WHEN family_id BETWEEN 1900 AND 2099 THEN 'qd-ubnd-quy-dinh-so-nam'
+      ELSE family_id || '-qd-ubnd-quy-dinh-so-' || family_id || '-nam' END AS family_key FROM reg_versions"""))
 def _(t):
-    v = views.reg_versions(t).where("family_id not between 1900 and 2099")
+    v = views.reg_versions(t)
     key = X.family_key(F.col("title"), F.col("document_number"), F.lit(None).cast("string"))
     return v.select("version_id", key.alias("family_key"))
 
