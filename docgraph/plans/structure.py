@@ -218,24 +218,30 @@ def _(t):
     fold AS (
       SELECT document_id, 0::BIGINT AS pos, 0::BIGINT AS part, w AS cur, run FROM items WHERE pos = 0
       UNION ALL
-      SELECT f.document_id, i.pos, CASE WHEN i.run <> f.run OR f.cur + i.w > 602 THEN f.part + 1 ELSE f.part END,
-        CASE WHEN i.run <> f.run OR f.cur + i.w > 602 THEN i.w ELSE f.cur + i.w END, i.run
+      SELECT f.document_id, i.pos, CASE WHEN i.run <> f.run OR f.cur + i.w > 40002 THEN f.part + 1 ELSE f.part END,
+        CASE WHEN i.run <> f.run OR f.cur + i.w > 40002 THEN i.w ELSE f.cur + i.w END, i.run
       FROM fold f JOIN items i ON i.document_id = f.document_id AND i.pos = f.pos + 1)
     SELECT f.document_id || '.docx' AS file_name, f.part + 1 AS sequence,
       f.document_id || '.docx:chunk-' || lpad(CAST(f.part + 1 AS VARCHAR), greatest(4, length(CAST(f.part + 1 AS VARCHAR)))::INT, '0') AS chunk_id,
       any_value(i.article) AS article, string_agg(i.text, chr(10) || chr(10) ORDER BY i.pos) AS text
     FROM fold f JOIN items i ON i.document_id = f.document_id AND i.pos = f.pos
-    WHERE f.document_id NOT IN (SELECT document_id FROM blocks WHERE length(text) > 600) GROUP BY f.document_id, f.part"""))
+    GROUP BY f.document_id, f.part"""))
 def _(t):
-    # Files with a line above the limit are covered by E10; the SQL side cannot split them.
-    b = _line_blocks(t).selectExpr(
-        "document_id", "concat(document_id, '.docx') file_name", "seg", "ord", "text", "order_index",
+    # The limit is above the longest line, which the SQL side cannot split.
+    return chunking.file_chunks(_file_blocks(t), 40_000, 100).select("file_name", "sequence", "chunk_id", "article", "text")
+
+
+def _file_blocks(t: Tables) -> DataFrame:
+    return _line_blocks(t).selectExpr(
+        "concat(document_id, '.docx') file_name", "seg", "ord", "text",
         "case when (order_index div 7) % 2 = 0 then concat('Điều ', order_index div 7) end article",
         "cast(null as string) clause",
     )
-    long_files = b.where("length(text) > 600").select("document_id").distinct()
-    b = b.join(long_files, "document_id", "left_anti")
-    return chunking.file_chunks(b, 600, 100).select("file_name", "sequence", "chunk_id", "article", "text")
+
+
+@query("E11_file_chunks_default_limits")
+def _(t):
+    return chunking.file_chunks(_file_blocks(t)).select("file_name", "sequence", "chunk_id", "article", "text")
 
 
 @query("E12_model_batches", with_views("blocks", """RECURSIVE_BODY WITH
