@@ -67,73 +67,117 @@ class ByteBpe:
         if late or len(rank_of) < len(merges):
             raise ValueError("a merge comes before the merges of its parts; merging all places at once would differ")
         self.pattern = regex.compile(PIECES)
-        self.known: dict[str, np.ndarray] = {}
-
-    def encode_pieces(self, pieces: list[bytes]) -> list[np.ndarray]:
-        """Token ids of each piece; a piece has at least one byte."""
+        lengths = np.array([len(b) for b in self.bytes_of])
+        self.byte_starts = np.concatenate([[0], np.cumsum(lengths)])
+        self.all_bytes = np.frombuffer(b"".join(self.bytes_of), np.uint8)
+        self.forget()
+
+    def forget(self) -> None:
+        """Empties the store of encoded pieces, but for the added tokens."""
+        self.place = Places((i,) for i in self.special.values())
+        self.tokens = np.array([*self.special.values()], np.uint32)
+        self.starts = np.arange(len(self.tokens) + 1)
+
+    def ranked(self, symbols: np.ndarray, piece: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank and merged symbol of the pairs that begin at places ``at``; ``NONE`` where there is no such merge."""
+        after = np.minimum(at + 1, len(symbols) - 1)
+        keys = symbols[at] * self.size + symbols[after]
+        found = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
+        hit = (self.pair_keys[found] == keys) & (piece[at] == piece[after]) & (after > at)
+        return np.where(hit, self.pair_ranks[found], NONE), self.pair_made[found]
+
+    def encode_pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of all pieces in one array, and how many each has."""
         lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
         symbols = self.byte_id[np.frombuffer(b"".join(pieces), np.uint8)]
         piece = np.repeat(np.arange(len(pieces)), lengths)
-        out: list = [None] * len(pieces)
+        rank, made = self.ranked(symbols, piece, np.arange(len(symbols)))
+        ended: list[tuple[np.ndarray, np.ndarray]] = []
         while len(symbols):
-            same = piece[1:] == piece[:-1]
-            keys = symbols[:-1] * self.size + symbols[1:]
-            at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
-            hit = same & (self.pair_keys[at] == keys)
-            rank = np.append(np.where(hit, self.pair_ranks[at], NONE), NONE)
-            starts = np.flatnonzero(np.append(True, ~same))
-            best = np.minimum.reduceat(rank, starts)
-            local = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(symbols))))
-            done = best == NONE
-            if done.any():
-                ends = np.append(starts[1:], len(symbols))
-                for s, e in zip(starts[done].tolist(), ends[done].tolist()):
-                    out[piece[s]] = symbols[s:e].astype(np.uint32)
-            here = np.flatnonzero((rank == best[local]) & (rank != NONE))
-            if not len(here):
-                break
+            starts = np.flatnonzero(np.append(True, piece[1:] != piece[:-1]))
+            sizes = np.diff(np.append(starts, len(symbols)))
+            best = np.repeat(np.minimum.reduceat(rank, starts), sizes)
+            live = best != NONE
+            ended.append((piece[~live], symbols[~live]))
+            here = np.flatnonzero((rank == best) & live)
             # Of overlapping places (as in a run of one letter) every second one merges, from the left.
             fresh = np.ones(len(here), bool)
             fresh[1:] = np.diff(here) != 1
             run_start = np.maximum.accumulate(np.where(fresh, np.arange(len(here)), 0))
             here = here[(np.arange(len(here)) - run_start) % 2 == 0]
-            symbols[here] = self.pair_made[at[here]]
-            keep = ~done[local]
-            keep[here + 1] = False
-            symbols, piece = symbols[keep], piece[keep]
-        return out
-
-    def learn(self, pieces: set[str]) -> None:
-        new = [p for p in pieces if p not in self.known]
-        if len(self.known) + len(new) > ROOM:
-            self.known = {}
-            new = list(pieces)
-        step = 20_000
-        for i in range(0, len(new), step):
-            some = new[i : i + step]
-            self.known.update(zip(some, self.encode_pieces([p.encode() for p in some])))
+            symbols[here] = made[here]
+            stale = np.zeros(len(symbols), bool)
+            stale[here] = True
+            stale[np.maximum(here - 1, 0)] = True
+            live[here + 1] = False
+            symbols, piece, rank, made, stale = symbols[live], piece[live], rank[live], made[live], stale[live]
+            at = np.flatnonzero(stale)
+            if len(at):
+                rank[at], made[at] = self.ranked(symbols, piece, at)
+        of, tokens = (np.concatenate(x) for x in zip(*ended)) if ended else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        return tokens[np.argsort(of, kind="stable")].astype(np.uint32), np.bincount(of, minlength=len(pieces))
+
+    def learn(self) -> None:
+        """Encodes the pieces that have got a place since the last time."""
+        new = self.place.new
+        parts, counts = [self.tokens], [np.diff(self.starts)]
+        for i in range(0, len(new), 50_000):
+            tokens, n = self.encode_pieces([p.encode() for p in new[i : i + 50_000]])
+            parts.append(tokens)
+            counts.append(n)
+        self.place.new = []
+        self.tokens = np.concatenate(parts)
+        self.starts = np.concatenate([[0], np.cumsum(np.concatenate(counts))])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text as unsigned 32-bit integers; strings of added tokens get their own ids."""
-        parts = [self.parts(t) for t in texts]
-        self.learn({p for part in parts for p in part if type(p) is str})
-        known = self.known
-        empty = np.zeros(0, np.uint32)
-        return [np.concatenate([known[p] if type(p) is str else p for p in part]) if part else empty for part in parts]
+        if len(self.place) > ROOM:
+            self.forget()
+        places = [np.fromiter(map(self.place.__getitem__, part), np.int64, len(part)) for part in map(self.parts, texts)]
+        self.learn()
+        at = np.concatenate(places) if places else np.zeros(0, np.int64)
+        counts = np.diff(self.starts)[at]
+        tokens = self.tokens[ranges(self.starts[at], counts)]
+        ends = np.concatenate([[0], np.cumsum(counts)])[np.concatenate([[0], np.cumsum([len(p) for p in places])]).astype(np.int64)]
+        return [tokens[a:b] for a, b in zip(ends[:-1], ends[1:])]
 
     def parts(self, text: str) -> list:
+        """Pieces of a text; an added token is the tuple of its id."""
         if self.special_pattern is None or not self.special_pattern.search(text):
             return self.pattern.findall(text)
         out, at = [], 0
         for m in self.special_pattern.finditer(text):
             out += self.pattern.findall(text[at : m.start()])
-            out.append(np.array([self.special[m[0]]], np.uint32))
+            out.append((self.special[m[0]],))
             at = m.end()
         return out + self.pattern.findall(text[at:])
 
-    def decode(self, ids: np.ndarray) -> str:
-        """Text of the ids; bytes that are no UTF-8 become U+FFFD."""
-        return b"".join(map(self.bytes_of.__getitem__, ids.tolist())).decode("utf-8", "replace")
+    def decode(self, ids: list[np.ndarray]) -> list[str]:
+        """Text of each list of ids; bytes that are no UTF-8 become U+FFFD."""
+        flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
+        counts = np.diff(self.byte_starts)[flat]
+        data = self.all_bytes[ranges(self.byte_starts[flat], counts)].tobytes()
+        ends = np.concatenate([[0], np.cumsum(counts)])[np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int64)]
+        return [data[a:b].decode("utf-8", "replace") for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+
+
+class Places(dict):
+    """Numbers for pieces in the order in which they are first asked for."""
+
+    def __init__(self, first):
+        super().__init__((p, i) for i, p in enumerate(first))
+        self.new: list[str] = []
+
+    def __missing__(self, piece):
+        value = self[piece] = len(self)
+        self.new.append(piece)
+        return value
+
+
+def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The numbers start, start + 1, ... of all ranges one after the other."""
+    before = np.cumsum(counts) - counts
+    return np.repeat(starts - before, counts) + np.arange(int(counts.sum()))
 
 
 @lru_cache(2)
@@ -169,11 +213,12 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             ids, texts = batch["id"].to_pylist(), [t or "" for t in batch["text"].to_pylist()]
             for a, b in slices([len(t) for t in texts], BATCH_CHARS):
                 tokens = bpe.encode(texts[a:b])
+                decoded = bpe.decode(tokens)
                 columns = {
                     "id": pa.array(ids[a:b], pa.int64()),
                     "n_tokens": pa.array([len(t) for t in tokens], pa.int64()),
                     "ids_sha256": [hashlib.sha256(t.astype("<u4").tobytes()).hexdigest() for t in tokens],
-                    "decoded_sha256": [hashlib.sha256(bpe.decode(t).encode()).hexdigest() for t in tokens],
+                    "decoded_sha256": [hashlib.sha256(t.encode()).hexdigest() for t in decoded],
                 }
                 if with_ids:
                     columns["ids"] = pa.array([t.astype(np.int32) for t in tokens], pa.list_(pa.int32()))

@@ -32,6 +32,14 @@ def hash_words(words: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, words)), ">u8").astype(np.uint64)
 
 
+class Numbering(dict):
+    """Numbers keys in the order in which they are first asked for."""
+
+    def __missing__(self, key):
+        value = self[key] = len(self)
+        return value
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection on 64-bit values that spreads every bit."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -51,12 +59,11 @@ def prefix_sums(df: DataFrame, keys: list[str], order: str, value: str, name: st
     cut = df.withColumn("_piece", F.floor(F.col(order) / piece))
     sums = cut.groupBy(*keys, "_piece").agg(F.sum(value).alias("_sum"))
     w = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(*keys, "_piece", F.coalesce(F.sum("_sum").over(w), F.lit(0)).alias("_before"))
+    sums = sums.select(*[F.col(k).alias(f"_key_{k}") for k in keys], F.col("_piece").alias("_of"), F.coalesce(F.sum("_sum").over(w), F.lit(0)).alias("_before"))
     inner = Window.partitionBy(*keys, "_piece").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     cut = cut.withColumn("_inside", F.coalesce(F.sum(value).over(inner), F.lit(0)))
-    match = [cut[k].eqNullSafe(sums[k]) for k in [*keys, "_piece"]]
-    joined = cut.join(sums, match)
-    return joined.select(*[cut[c] for c in df.columns], (F.col("_inside") + F.col("_before")).alias(name))
+    match = [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys] + [F.col("_piece") == F.col("_of")]
+    return cut.join(sums, match).select(*df.columns, (F.col("_inside") + F.col("_before")).alias(name))
 
 
 def slices(sizes: list[int], most: int):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docgraph.llm import bpe, quality, simhash, substring_dedup
+from docgraph.llm import bpe, metric_search, mixing, pii, quality, sharding, simhash, substring_dedup, token_files, toxicity
 
 QUERIES = {}
 SQL = {}
@@ -55,11 +55,76 @@ def op2(spark, folder):
     return bpe.encode_decode(table(spark, folder, "documents"), with_ids=False)
 
 
+OP3 = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM pairs
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
+
+
+@register("op3_mtree_top_k", OP3)
+def op3(spark, folder):
+    return metric_search.top_inner_products(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@register("op4_pii_weak_supervision")
+def op4(spark, folder):
+    found = pii.find(table(spark, folder, "documents"))
+    of = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+    counts = [of(k).alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
+    return found.select("row.doc_id", *counts, F.sha2(pii.listing(F.col("base")), 256).alias("base_sha256"), pii.listing(F.col("spans")).alias("spans"))
+
+
+@register("op5_toxicity_cnn")
+def op5(spark, folder):
+    docs = table(spark, folder, "documents")
+    model = toxicity.classifier(docs, table(spark, folder, "labels"))
+    found = toxicity.score(docs, model)
+    return found.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+
+
+@register("op6_rans_token_files")
+def op6(spark, folder):
+    return token_files.round_trip(table(spark, folder, "documents"))
+
+
 @register("op7_simhash_covering")
 def op7(spark, folder):
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
 
+OP8 = """
+WITH d AS (
+  SELECT doc_id, coalesce(strlen(text), 0) AS bytes, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h FROM documents
+), nodes AS (
+  SELECT depth, h >> (60 - depth) AS prefix, sum(bytes) <= 1048576 OR min(h) = max(h) AS fits
+  FROM d, generate_series(0, 60) AS g(depth) GROUP BY 1, 2
+), placed AS (
+  SELECT d.doc_id, d.bytes, d.h, min(depth) AS depth FROM d, nodes WHERE fits AND prefix = d.h >> (60 - depth) GROUP BY ALL
+)
+SELECT doc_id, bytes::BIGINT AS bytes, substr(lpad(to_binary(h), 60, '0'), 1, depth::INT) AS shard, depth::INT AS depth, 0::BIGINT AS page FROM placed
+"""
+
+
+@register("op8_extendible_sharding", OP8)
+def op8(spark, folder):
+    return sharding.assign(table(spark, folder, "documents"))
+
+
+@register("op9_source_mix")
+def op9(spark, folder):
+    mix = mixing.plan_mix(table(spark, folder, "documents"))
+    return mix.rows.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
 @register("op10_compression_bands")
 def op10(spark, folder):
     return quality.quality(table(spark, folder, "documents"))
