@@ -181,15 +181,17 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     mix = plan_mix(docs, id_col, text_col, source_col, **options)
     taken = mix.segments.join(mix.slots.groupBy("s", "block", "pass").count().drop("count"), ["s", "block"])
-    copies = taken.groupBy(*KEY, "nth", "pass").agg(F.array_sort(F.collect_list(F.struct("first", "words"))).alias("_cut"), F.sum("words").alias("_n"))
-    copies = copies.select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("source").alias("_source"), "_cut", "_n")
+    copies = taken.groupBy(*KEY, "nth", "pass").agg(F.array_sort(F.collect_list(F.struct("first", "words"))).alias("cut"), F.sum("words").alias("n"))
+    copies = copies.select(F.col("id").alias("of_id"), F.col("text_hash").alias("of_hash"), F.col("source").alias("of_source"), "cut", "n")
     # Rows that are equal in id, text and source share their copies.
-    texts = docs.withColumn("_text_hash", F.xxhash64(text_col)).dropDuplicates([id_col, "_text_hash", source_col])
-    match = texts[id_col].eqNullSafe(copies["_id"]) & (texts["_text_hash"] == copies["_hash"]) & texts[source_col].eqNullSafe(copies["_source"])
-    words = F.regexp_extract_all(text_col, F.lit(WORD), F.lit(0))
-    some = F.array_join(F.flatten(F.transform("_cut", lambda g: F.slice(words, (g["first"] + 1).cast("int"), g["words"].cast("int")))), " ")
-    text = F.when(F.regexp_count(text_col, F.lit(WORD)) == F.col("_n"), F.col(text_col)).otherwise(some)
-    out = texts.join(copies, match).withColumn(text_col, text)
-    if chars_col in docs.columns:
-        out = out.withColumn(chars_col, F.length(text_col).cast(docs.schema[chars_col].dataType))
-    return out.select(*docs.columns)
+    whole = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(source_col).alias("source"))
+    whole = whole.dropDuplicates(KEY)
+    match = F.col("id").eqNullSafe(F.col("of_id")) & (F.col("text_hash") == F.col("of_hash")) & F.col("source").eqNullSafe(F.col("of_source"))
+    text = F.col("row")[text_col]
+    words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+    some = F.array_join(F.flatten(F.transform("cut", lambda g: F.slice(words, (g["first"] + 1).cast("int"), g["words"].cast("int")))), " ")
+    # Left unchanged if all words are taken.
+    text = F.when(F.regexp_count(text, F.lit(WORD)) == F.col("n"), text).otherwise(some)
+    out = whole.join(copies, match).withColumn("mixed", text)
+    columns = [F.col("mixed").alias(c) if c == text_col else F.length("mixed").cast(docs.schema[c].dataType).alias(c) if c == chars_col else F.col("row")[c].alias(c) for c in docs.columns]
+    return out.select(*columns)

@@ -40,7 +40,7 @@ LOOSE_PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++[\x20]?[(\[]at[)\]][\x20]?[A-Za-z0-9-]++(?:[\x20]?(?:[(\[]dot[)\]]|\.)[\x20]?[A-Za-z0-9-]++){1,4}",
     "ip": r"(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])",
     "card": r"(?<![0-9])(?<![0-9][\x20-])3[47][0-9]{2}[\x20-]?[0-9]{6}[\x20-]?[0-9]{5}(?![\x20-]?[0-9])",
-    "phone": r"(?<![0-9A-Za-z+(.-])(?<![0-9][\x20])\(?[2-9][0-9]{2}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![\x20.-]?[0-9A-Za-z])",
+    "phone": r"(?<![0-9A-Za-z+(.-])(?<![0-9][\x20])\(?[2-9][0-9]{2}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9A-Za-z]|[\x20.-][0-9])",
 }
 TOP_DOMAINS = "com org net edu gov int info biz io eu de fr es it nl uk us ca ch at be pl pt se dk no fi ie ru jp cn in br mx au".split()
 ISSUERS = r"^(?:4|5[1-5]|2[2-7]|3[47]|35|6011|65)"

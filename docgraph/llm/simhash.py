@@ -185,6 +185,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
     Rows without an id cannot be told apart and all stay.
     """
     found = near_duplicates(docs.where(F.col(id_col).isNotNull()), id_col, text_col, radius)
-    kept = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_kept_id")).distinct()
-    of_kept = docs.join(kept, docs[id_col] == F.col("_kept_id")).drop("_kept_id").dropDuplicates([id_col])
+    kept = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("kept_id")).distinct()
+    whole = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("own_id"))
+    of_kept = whole.join(kept, F.col("own_id") == F.col("kept_id")).dropDuplicates(["own_id"]).select("row.*")
     return of_kept.unionByName(docs.where(F.col(id_col).isNull()))

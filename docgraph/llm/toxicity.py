@@ -32,9 +32,9 @@ FILTERS = 8
 WIDTHS = (1, 2, 3)
 CUT = 0.3
 #: Bound of the labelled rows that are sent to the driver to fit the model.
-SAMPLE_ROWS = 6_000
+SAMPLE_ROWS = 8_000
 #: A feature is kept if it is met in so many sampled texts.
-LEAST_TEXTS = 3
+LEAST_TEXTS = 2
 FUNCTION_WORDS = {
     "en": "the of and to in that is for with was".split(), "fr": "le les des et du une dans est que pour".split(),
     "de": "der die und das den von mit ist nicht ein".split(), "es": "el los de que y las una por con para".split(),
