@@ -276,10 +276,16 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def classifier(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Cnn:
-    """Fitted on the labelled rows that are not held out."""
-    known = labels.where(F.col("toxic").isNotNull() & ~held_out(id_col)).groupBy(id_col).agg(F.max("toxic").alias("_toxic"))
-    return fit(docs.select(id_col, text_col).join(known, id_col).select(F.col(text_col).alias("text"), F.col("_toxic").alias("toxic")))
+def classifier(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> Cnn:
+    """Fitted on labelled rows that are not held out: the ``sample_rows`` ids with the smallest hash.
+
+    The sample of labels is bounded, so it is sent to all tasks, and no text is shuffled to meet it.
+    """
+    known = labels.where(F.col("toxic").isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
+    known = known.groupBy(F.col(id_col).alias("of")).agg(F.max("toxic").alias("toxic"))
+    known = known.orderBy(F.xxhash64("of"), "of").limit(sample_rows)
+    texts = docs.select(F.col(id_col).alias("of"), F.col(text_col).alias("text"))
+    return fit(texts.join(F.broadcast(known), "of"), sample_rows=sample_rows)
 
 
 def without_toxic(docs: DataFrame, model: Cnn, text_col: str = "text") -> DataFrame:
