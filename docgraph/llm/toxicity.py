@@ -32,7 +32,7 @@ FILTERS = 8
 WIDTHS = (1, 2, 3)
 CUT = 0.3
 #: Bound of the labelled rows that are sent to the driver to fit the model.
-SAMPLE_ROWS = 8_000
+SAMPLE_ROWS = 6_000
 #: A feature is kept if it is met in so many sampled texts.
 LEAST_TEXTS = 2
 FUNCTION_WORDS = {
