@@ -195,6 +195,7 @@ def insert_absent(new: DataFrame, existing: DataFrame, keys: list[str], order: l
     return first_per_key(new.join(existing.select(*keys), keys, "left_anti"), keys, order)
 
 
-def pending_jobs(jobs: DataFrame, limit: int = 100) -> DataFrame:
-    """B11, S5."""
-    return jobs.where("status = 'UPLOADED'").orderBy("created_at", "job_id").limit(limit)
+def pending_jobs(jobs: DataFrame, limit: int | None = None) -> DataFrame:
+    """Uploaded jobs that wait; with ``limit`` the oldest ones of them."""
+    waiting = jobs.where("status = 'UPLOADED'")
+    return waiting if limit is None else waiting.orderBy("created_at", "job_id").limit(limit)

@@ -135,11 +135,20 @@ def _(t):
     return contains_needle(t.part, ("p_name",), "a").orderBy("p_partkey").limit(6).select("p_partkey", "p_name")
 
 
-@query("B11_pending_jobs", with_views("job_events", """
+def _waiting(t, limit=None):
+    j = views.job_events(t).selectExpr("seq", "lpad(cast(seq as string), 20, '0') job_id", "ts created_at", "if(status = 'QUEUED', 'UPLOADED', status) status")
+    return G.pending_jobs(j, limit).select("seq")
+
+
+@query("B11_pending_jobs", with_views("job_events", "SELECT seq FROM job_events WHERE status = 'QUEUED'"))
+def _(t):
+    return _waiting(t)
+
+
+@query("B11_pending_jobs_oldest_100", with_views("job_events", """
     SELECT seq FROM job_events WHERE status = 'QUEUED' ORDER BY ts, seq LIMIT 100"""))
 def _(t):
-    j = views.job_events(t).selectExpr("seq", "cast(seq as string) job_id", "ts created_at", "if(status = 'QUEUED', 'UPLOADED', status) status")
-    return j.where("status = 'UPLOADED'").orderBy("created_at", "seq").limit(100).select("seq")
+    return _waiting(t, 100)
 
 
 _LATEST = "SELECT document_id, attempt, status, seq FROM job_events QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY attempt DESC, seq DESC) = 1"

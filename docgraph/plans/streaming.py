@@ -114,14 +114,23 @@ def _(t):
 
 
 @query("S5_recovery_sweep", with_views("job_events", """
-    SELECT seq FROM job_events WHERE current_step = 'UPLOADED' AND ts < TIMESTAMP '2024-01-15' ORDER BY ts, seq LIMIT 100"""))
+    SELECT seq FROM job_events WHERE current_step = 'UPLOADED'"""))
 def _(t):
     from docgraph.operators.governance import pending_jobs
 
-    j = views.job_events(t).where("ts < timestamp '2024-01-15'").selectExpr("seq", "lpad(cast(seq as string), 20, '0') job_id", "ts created_at", "if(current_step = 'UPLOADED', 'UPLOADED', status) status")
+    j = views.job_events(t).selectExpr("seq", "lpad(cast(seq as string), 20, '0') job_id", "ts created_at", "if(current_step = 'UPLOADED', 'UPLOADED', status) status")
     return pending_jobs(j).select("seq")
 
 
+@query("S5_recovery_sweep_oldest_100", with_views("job_events", """
+    SELECT seq FROM job_events WHERE current_step = 'UPLOADED' ORDER BY ts, seq LIMIT 100"""))
+def _(t):
+    from docgraph.operators.governance import pending_jobs
+
+    j = views.job_events(t).selectExpr("seq", "lpad(cast(seq as string), 20, '0') job_id", "ts created_at", "if(current_step = 'UPLOADED', 'UPLOADED', status) status")
+    return pending_jobs(j, limit=100).select("seq")
+
+
 @query("S6_result_expiry", """
     SELECT user_id AS query_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1
       AND ts + INTERVAL 48 HOUR > TIMESTAMP '2024-01-31'""")
@@ -130,12 +139,15 @@ def _(t):
     return S.live_results(saved, "2024-01-31 00:00:00", 48 * 3600).select("query_id", "event_id")
 
 
-@query("S6_result_expiry_stream", "SELECT event_id FROM events")
+@query("S6_result_expiry_stream", """
+    SELECT user_id AS query_id, event_id, CASE WHEN n > 1 THEN 'REPLACED' WHEN ts + INTERVAL 48 HOUR < (SELECT max(ts) FROM events) THEN 'EXPIRED' ELSE 'SAVED' END AS status
+    FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events)""")
 def _(t):
     saved = _stream(t).events.selectExpr("user_id query_id", "event_id", "cast(ts as timestamp) ts")
-    path = files.fresh_path(t.spark, "s6")
-    S.run_to_table(S.live_stream(saved), path)
-    return t.spark.read.parquet(f"{path}/data").select("event_id")
+    changes = _updates(S.result_changes(saved, 48 * 3600), t, "s6")
+    # The last thing said of a result: SAVED comes before REPLACED or EXPIRED.
+    order = F.when(F.col("change") == "SAVED", 0).otherwise(1)
+    return changes.groupBy("query_id", "event_id").agg(F.max_by("change", order).alias("status"))
 
 
 @query("A13_S7_audit_append", with_views("audit_events", """
@@ -149,22 +161,8 @@ def _(t):
 @query("S8_incremental_index", """
     SELECT doc_id, length(text) AS n FROM documents""")
 def _(t):
-    # Each micro-batch merges into the index by key, so a retried batch changes nothing.
-    from docgraph.operators.vectors import upsert
-
-    path = files.fresh_path(t.spark, "s8")
     rows = _stream(t).documents.selectExpr("doc_id", "cast(length(text) as bigint) n")
-    spark = t.spark
-    empty = spark.createDataFrame([], "doc_id bigint, n bigint")
-
-    def write(batch, number):
-        old = empty if number == 0 else spark.read.parquet(f"{path}/index/v{number - 1}")
-        upsert(old, batch.withColumn("at", F.lit(number)), ["doc_id"], "at").write.mode("overwrite").parquet(f"{path}/index/v{number}")
-        spark.range(1).select(F.lit(number).alias("version")).write.mode("overwrite").parquet(f"{path}/current")
-
-    S.run_batches(rows, path, write, "append")
-    version = spark.read.parquet(f"{path}/current").first()["version"]
-    return spark.read.parquet(f"{path}/index/v{version}")
+    return S.merge_into_buckets(rows, files.fresh_path(t.spark, "s8"), "doc_id", 8)
 
 
 @query("S9_cancel_deleted", with_views("job_events", """

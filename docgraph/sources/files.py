@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,5 +70,4 @@ def rewrite_documents(derived: DataFrame, path: str, partition: str) -> None:
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
-    token = spark.range(1).select(F.expr("uuid()")).first()[0]
-    return f"{shared_dir(spark)}/{name}-{token}"
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

@@ -32,12 +32,17 @@ class Tables:
         return self._stored[name]
 
 
+#: Tables up to this size are dealt out to all cores when they come in few files.
+SPREAD_BYTES = 256 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Deals the rows of a table of few files out to all cores.
+    """Deals the rows of a small table of few files out to all cores.
 
     Text work is heavy per byte, and a table of one or two files feeds as many
-    tasks.  A table with at least as many files as cores is left alone, so large
-    inputs are never shuffled for this.
+    tasks.  The scan's size in bytes bounds what is shuffled for this; the files of
+    a larger table are split by the scan and left alone.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return df.repartition(cores) if size <= SPREAD_BYTES and len(df.inputFiles()) < cores else df

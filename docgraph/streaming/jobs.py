@@ -7,13 +7,16 @@ events in order.  Spark partitions, orders and stores the state.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from datetime import timedelta
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from docgraph.session import ROCKSDB
+
 # Allowed moves of a processing job.
 ALLOWED = {
     "UPLOADED": ("QUEUED", "FAILED", "CANCELLED"),
@@ -23,6 +26,7 @@ ALLOWED = {
 TERMINAL = ("COMPLETED", "FAILED", "CANCELLED", "NEEDS_REVIEW")
 LOGIN_MAX_FAILURES, LOGIN_LOCK_MINUTES = 5, 15
 RESULT_TTL_SECONDS = 1800
+SESSION_DAYS = 30
 
 
 def job_step(state: tuple[str, int, str], event) -> tuple[tuple[str, int, str], str]:
@@ -184,7 +188,10 @@ def login_outcomes_batch(events: DataFrame) -> DataFrame:
 
 
 class RotationProcessor(StatefulProcessor):
-    """S3: a hash that was rotated away and comes back revokes the family."""
+    """S3: a hash that was rotated away and comes back revokes the family.
+
+    A hash is remembered as long as a session may live, in event time; then its state goes.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.current = handle.getValueState("current", "token string, revoked boolean")
@@ -205,7 +212,11 @@ class RotationProcessor(StatefulProcessor):
             else:
                 outcome = "INVALID_REFRESH_TOKEN"
             out.append((key[0], int(e.seq), outcome))
+            last = e.ts.to_pydatetime()
         self.current.update((token, revoked))
+        for hashed, (at,) in list(self.used.iterator()):
+            if at.replace(tzinfo=None) < last - timedelta(days=SESSION_DAYS):
+                self.used.removeKey(tuple(hashed))
         yield pd.DataFrame(out, columns=["family_id", "seq", "outcome"])
 
     def close(self) -> None:
@@ -248,9 +259,59 @@ def live_results(saved: DataFrame, as_of: str, ttl_seconds: int = RESULT_TTL_SEC
     return last.select("query_id", "r.*", expires.alias("expires_at")).where(F.col("expires_at") > F.to_timestamp(F.lit(as_of)))
 
 
-def live_stream(saved: DataFrame, ttl_seconds: int = RESULT_TTL_SECONDS) -> DataFrame:
-    """S6 on a stream: the watermark drops the state of expired results."""
-    return saved.withWatermark("ts", f"{ttl_seconds} seconds").dropDuplicatesWithinWatermark(["query_id", "event_id"])
+class ResultProcessor(StatefulProcessor):
+    """The last result saved for a query; it ends when its time is over or a later save replaces it."""
+
+    def __init__(self, ttl_seconds: int):
+        self.ttl = timedelta(seconds=ttl_seconds)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("result", "event_id bigint, ts timestamp")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        last = tuple(self.last.get()) if self.last.exists() else None
+        out = []
+        for part in rows:
+            for e in part.sort_values(["ts", "event_id"]).itertuples():
+                at = e.ts.to_pydatetime()
+                if last is not None and (at, e.event_id) < (last[1], last[0]):
+                    out.append((int(key[0]), int(e.event_id), "LATE", at))
+                    continue
+                if last is not None:
+                    out.append((int(key[0]), int(last[0]), "REPLACED", at))
+                last = (int(e.event_id), at)
+                out.append((int(key[0]), last[0], "SAVED", at))
+        if last is not None:
+            self.last.update(last)
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(_millis(last[1] + self.ttl))
+        yield pd.DataFrame(out, columns=["query_id", "event_id", "change", "at"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        event_id, at = self.last.get()
+        self.last.clear()
+        yield pd.DataFrame([(int(key[0]), int(event_id), "EXPIRED", at + self.ttl)], columns=["query_id", "event_id", "change", "at"])
+
+    def close(self) -> None:
+        pass
+
+
+def _millis(at) -> int:
+    return int(pd.Timestamp(at).tz_localize("UTC").timestamp() * 1000)
+
+
+def result_changes(saved: DataFrame, ttl_seconds: int = RESULT_TTL_SECONDS) -> DataFrame:
+    """S6 on a stream: SAVED, REPLACED, EXPIRED and LATE for every result of (query_id, event_id, ts).
+
+    A result expires when the watermark passes its end; its state goes then.  A save
+    that comes after a later one of its query is LATE and changes nothing.
+    """
+    timed = saved.withWatermark("ts", "0 seconds")
+    return timed.groupBy("query_id").transformWithStateInPandas(
+        ResultProcessor(ttl_seconds), "query_id bigint, event_id bigint, change string, at timestamp", "Update", "EventTime"
+    )
 
 
 def audit_stream(events: DataFrame) -> DataFrame:
@@ -272,25 +333,79 @@ def cancel_deleted(jobs: DataFrame, deletions: DataFrame) -> DataFrame:
     ).drop("gone")
 
 
+STORE = "spark.sql.streaming.stateStore.providerClass"
+
+
+@contextmanager
+def rocksdb(spark: SparkSession):
+    """Queries started inside keep their state in RocksDB, which the stateful operators need; the session's own setting comes back."""
+    before = spark.conf.get(STORE, None)
+    spark.conf.set(STORE, ROCKSDB)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(STORE)
+        else:
+            spark.conf.set(STORE, before)
+
+
 def run_to_table(stream: DataFrame, path: str, mode: str = "append") -> None:
     """Runs all available input into a Parquet table, exactly once per checkpoint."""
-    query = (
-        stream.writeStream.format("parquet").option("checkpointLocation", f"{path}/_checkpoint")
-        .outputMode(mode).trigger(availableNow=True).start(f"{path}/data")
-    )
-    query.awaitTermination()
+    writer = stream.writeStream.format("parquet").option("checkpointLocation", f"{path}/_checkpoint").outputMode(mode).trigger(availableNow=True)
+    with rocksdb(stream.sparkSession):
+        writer.start(f"{path}/data").awaitTermination()
 
 
 def run_batches(stream: DataFrame, path: str, write, mode: str = "update") -> None:
     """Runs ``write(batch, batch_id)`` on every micro-batch of the available input."""
-    query = (
-        stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/_checkpoint")
-        .outputMode(mode).trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
+    writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/_checkpoint").outputMode(mode).trigger(availableNow=True)
+    with rocksdb(stream.sparkSession):
+        writer.start().awaitTermination()
 
 
 def run_updates(stream: DataFrame, path: str) -> DataFrame:
     """Update-mode output kept as one folder per batch id, so a retried batch replaces itself."""
     run_batches(stream, path, lambda batch, n: batch.write.mode("overwrite").parquet(f"{path}/data/batch={n}"))
     return stream.sparkSession.read.parquet(f"{path}/data").drop("batch")
+
+
+def merge_into_buckets(stream: DataFrame, path: str, key: str, buckets: int) -> DataFrame:
+    """Keeps the last row of every key; a micro-batch rewrites only the buckets it touches.
+
+    Bucket and version are folders.  A batch reads the newest version of each touched
+    bucket, merges by key and writes that bucket under its own batch id, so a retried
+    batch replaces itself and untouched buckets are neither read nor written.
+    """
+    from docgraph.operators.vectors import upsert
+
+    spark = stream.sparkSession
+    schema = stream.schema
+    data = f"{path}/index"
+
+    def newest(before: int | None) -> DataFrame | None:
+        known = spark.read.schema("bucket int, version bigint").parquet(f"{path}/versions/*")
+        known = known if before is None else known.where(F.col("version") < before)
+        return known.groupBy("bucket").agg(F.max("version").alias("version"))
+
+    def write(batch: DataFrame, number: int) -> None:
+        placed = batch.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+        touched = placed.select("bucket").distinct()
+        new = placed
+        if number:
+            old = spark.read.schema(f"{_ddl(schema)}, bucket int, version bigint").parquet(data)
+            old = old.join(newest(number).join(touched, "bucket"), ["bucket", "version"]).drop("version")
+            new = upsert(old, placed.withColumn("_at", F.lit(number)), [key], "_at").select(*schema.names, "bucket")
+        else:
+            new = new.dropDuplicates([key])
+        out = new.withColumn("version", F.lit(number).cast("bigint"))
+        out.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "version").parquet(data)
+        touched.withColumn("version", F.lit(number).cast("bigint")).write.mode("overwrite").parquet(f"{path}/versions/{number}")
+
+    run_batches(stream, path, write, "append")
+    rows = spark.read.schema(f"{_ddl(schema)}, bucket int, version bigint").parquet(data)
+    return rows.join(newest(None), ["bucket", "version"]).select(*schema.names)
+
+
+def _ddl(schema) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
