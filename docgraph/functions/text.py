@@ -168,9 +168,11 @@ def _before_last_blank(col: Column) -> Column:
     return F.regexp_replace(col, r"(?s)^(.*) .*$", "$1")
 
 
-def display(col: Column, limit: int = 240) -> Column:
-    """H9: one-line display text cut at a word."""
+def display(col: Column, limit: int | None = 240) -> Column:
+    """H9: one-line display text cut at a word; whole without a limit, as for names that identify."""
     text = F.trim(collapse(col), F.lit(" ,;"))
+    if limit is None:
+        return text
     cut = F.concat(_before_last_blank(F.substring(text, 1, limit)), F.lit("..."))
     return F.when(F.length(text) <= limit, text).otherwise(cut)
 
@@ -200,7 +202,7 @@ def family_key(title: Column, number: Column, explicit: Column) -> Column:
         F.concat_ws(" ", number, title), rf"(?<![{WORD}])(?:19|20)\d{{2}}(?![{WORD}])", ""
     )
     given = F.when(F.length(F.trim(explicit)) > 0, explicit)
-    return F.substring(slug(F.coalesce(given, unyeared), "-"), 1, 255)
+    return slug(F.coalesce(given, unyeared), "-")
 
 
 def stable_id(prefix: str, *parts: Column) -> Column:

@@ -92,14 +92,14 @@ def publication_gate(flags: DataFrame, checks: DataFrame, decisions: DataFrame)
 
 
 def valid_questions(
-    questions: DataFrame, flags: DataFrame, flag_citations: DataFrame, checks: DataFrame, keep: int = 5
+    questions: DataFrame, flags: DataFrame, flag_citations: DataFrame, checks: DataFrame, keep: int | None = None
 ) -> DataFrame:
-    """Of the first ``keep`` questions of a document, the ones that hold.
+    """The questions of a document that hold; with ``keep`` only its first ones are looked at.
 
     ``questions``: document_id, question_id, nth, issue_type, severity, related_subject, question, reason.
     ``flag_citations``: flag_id, chunk_id.  ``checks``: owner_id, chunk_id, issues.
     """
-    first = top_per_key(questions, ["document_id"], ["nth"], keep)
+    first = questions if keep is None else top_per_key(questions, ["document_id"], ["nth"], keep)
     issue = ["document_id", "issue_type"]
     worst = flags.groupBy(*issue).agg(X.rank_name(F.max(X.rank_of(F.col("severity")))).alias("worst"))
     backed = flags.join(flag_citations, "flag_id").select(*issue, "chunk_id").distinct().withColumn("known", F.lit(True))
@@ -155,11 +155,13 @@ def region_summary(touching: DataFrame, regions: DataFrame) -> DataFrame:
     )
 
 
-def evidence_chunks(chunks: DataFrame, cited: DataFrame, fallback: int = 12) -> DataFrame:
-    """C17: cited chunks of each document; a document without any gets its first ones."""
+def evidence_chunks(chunks: DataFrame, cited: DataFrame, fallback: int | None = None) -> DataFrame:
+    """C17: cited chunks of each document; a document without any gets all, or its ``fallback`` first ones."""
     named = chunks.join(cited.select("chunk_id").distinct(), "chunk_id", "left_semi")
     rest = chunks.join(named.select("document_id").distinct(), "document_id", "left_anti")
-    return named.unionByName(top_per_key(rest, ["document_id"], ["order_index"], fallback).drop("rank"))
+    if fallback is not None:
+        rest = top_per_key(rest, ["document_id"], ["order_index"], fallback).drop("rank")
+    return named.unionByName(rest)
 
 
 def citations_of(citations: DataFrame, owners: DataFrame) -> DataFrame:

@@ -9,7 +9,6 @@ from docgraph.functions import text as X
 from docgraph.session import cut_lineage
 from docgraph.operators.ordered import first_per_key, running_sum, top_per_key
 
-MAX_PROVISIONS, MAX_FACTS = 80, 40
 # Relation types that need a second look.
 COMPLEX_TYPES = (
     "ASSIGNS_RESPONSIBILITY", "GRANTS_AUTHORITY", "HAS_BUDGET", "HAS_DEADLINE", "REFERENCES", "REPEALS", "REPLACES",
@@ -22,12 +21,12 @@ METADATA = r"(?imu)^\s*(Người ký|Cơ quan)\s*:\s*([^\r\n]+)"
 SENTENCE = r"(?m)[^.!?;\n]+(?:[.!?;]|$)"
 ASSIGNMENT = (
     rf"(?iu)((?:Bộ|Sở|Ủy ban nhân dân|Uỷ ban nhân dân|UBND|Chính phủ|Thủ tướng Chính phủ|Văn phòng Chính phủ|"
-    rf"Hội đồng nhân dân|HĐND){END}.{{0,120}}?)\s+(có trách nhiệm|chịu trách nhiệm|chủ trì|tổ chức thực hiện|thực hiện)"
-    r"\s+(.{3,240})$"
+    rf"Hội đồng nhân dân|HĐND){END}.*?)\s+(có trách nhiệm|chịu trách nhiệm|chủ trì|tổ chức thực hiện|thực hiện)"
+    r"\s+(.{3,})$"
 )
 REFERENCE = (
     rf"(?iu){START}(Luật|Nghị định|Thông tư|Quyết định|Nghị quyết|Pháp lệnh)"
-    rf"(?:\s+[{X.WORD}À-ỹĐđ-]+){{0,12}}?\s+số\s+(\p{{Nd}}[{X.WORD}./-]*)"
+    rf"(?=\s)[\s{X.WORD}À-ỹĐđ-]*?\s+số\s+(\p{{Nd}}[{X.WORD}./-]*)"
 )
 DURATION = rf"(?iu){START}\p{{Nd}}{{1,3}}(?:[.,]\p{{Nd}}+)?\s*(?:ngày|tháng|năm|giờ|phút){END}"
 TEMPORAL = ("thời hạn", "thời hiệu", "trong vòng", "chậm nhất", "kể từ", "hoàn thành", "hết hạn")
@@ -65,10 +64,10 @@ def _facts_of(sentence: Column) -> Column:
     return F.concat(*[F.coalesce(part, empty) for part in (assigned, refs, spans)])
 
 
-def sentence_facts(chunks: DataFrame, cap: int = MAX_FACTS) -> DataFrame:
-    """Facts in reading order with the cap of E19.
+def sentence_facts(chunks: DataFrame, cap: int | None = None) -> DataFrame:
+    """Facts in reading order; all of them, or those within the cap of E19.
 
-    A sentence is read only while fewer than ``cap`` facts precede it; its
+    With a cap, a sentence is read only while fewer than ``cap`` facts precede it; its
     assignment then always counts, each reference and duration only while the
     count is below ``cap``.  So with n facts before the sentence, its first fact
     is kept when n < cap, a later one when n plus its place is below cap.
@@ -80,18 +79,21 @@ def sentence_facts(chunks: DataFrame, cap: int = MAX_FACTS) -> DataFrame:
     # One-element transform: the facts are found once, not again for the filter.
     bound = F.transform(F.array("sentence"), _facts_of)
     found = cut_lineage(found.withColumn("facts", F.get(bound, 0)).where("size(facts) > 0"))
-    placed = found.withColumns(
-        {"place": F.struct("chunk_order", "s"), "seg": F.expr("chunk_order div 256"), "n": F.size("facts")}
-    )
-    placed = running_sum(placed, ["document_id"], "seg", "place", {"before": F.col("n")}, inclusive=False)
-    placed = placed.where(F.col("before") < cap)
-    facts = placed.select("*", F.posexplode("facts").alias("i", "f")).where(
-        (F.col("before") + F.col("i") < cap) | ((F.col("i") == 0) & (F.col("f.kind") == "ASSIGN"))
-    )
+    if cap is None:
+        facts = found.select("*", F.posexplode("facts").alias("i", "f"))
+    else:
+        placed = found.withColumns(
+            {"place": F.struct("chunk_order", "s"), "seg": F.expr("chunk_order div 256"), "n": F.size("facts")}
+        )
+        placed = running_sum(placed, ["document_id"], "seg", "place", {"before": F.col("n")}, inclusive=False)
+        placed = placed.where(F.col("before") < cap)
+        facts = placed.select("*", F.posexplode("facts").alias("i", "f")).where(
+            (F.col("before") + F.col("i") < cap) | ((F.col("i") == 0) & (F.col("f.kind") == "ASSIGN"))
+        )
     first = F.get("facts", 0)
     return facts.select(
         "document_id", "chunk_id", "parent_id", "chunk_order", "s", "i", "sentence", "f.kind", "f.a", "f.b", "f.c",
-        F.when(first["kind"] == "ASSIGN", X.display(F.concat_ws(" ", first["b"], first["c"]))).alias("task"),
+        F.when(first["kind"] == "ASSIGN", X.display(F.concat_ws(" ", first["b"], first["c"]), None)).alias("task"),
     )
 
 
@@ -103,14 +105,16 @@ def edge_id(source: Column, target: Column, kind: Column) -> Column:
     return X.stable_id("local-edge", source, target, kind)
 
 
-def extract(chunks: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """I9.  ``chunks``: document_id, chunk_id, chunk_order, content, article, page.
+def extract(
+    chunks: DataFrame, documents: DataFrame, max_provisions: int | None = None, max_facts: int | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """I9, with all provisions and facts unless limits are given.  ``chunks``: document_id, chunk_id, chunk_order, content, article, page.
     ``documents``: document_id, name.  Returns nodes and edges, one row per mention."""
     filled = chunks.where(X.strip(F.coalesce("content", F.lit(""))) != "")
     counts = chunks.groupBy("document_id").agg(F.count("*").alias("n_chunks"))
     root_name = F.coalesce("name", F.concat(F.lit("Tài liệu "), F.col("document_id").cast("string")))
     root = documents.join(counts, "document_id", "left").select(
-        "document_id", F.lit("LEGAL_DOCUMENT").alias("type"), X.display(root_name).alias("name"),
+        "document_id", F.lit("LEGAL_DOCUMENT").alias("type"), X.display(root_name, None).alias("name"),
         F.lit(1.0).alias("confidence"), F.struct(F.lit(-1).cast("long").alias("o"), F.lit(0).alias("s"), F.lit(0).alias("i")).alias("at"),
         F.lit(None).cast("string").alias("chunk_id"), F.lit(None).cast("string").alias("quote"),
         F.create_map(F.lit("sourceChunkCount"), F.coalesce("n_chunks", F.lit(0)).cast("string"), F.lit("documentId"), F.col("document_id").cast("string")).alias("properties"),
@@ -124,9 +128,11 @@ def extract(chunks: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFra
         articles.where("art is not null").select("document_id", "art_key", "chunk_order", "chunk_id", "line", "art", "content"),
         ["document_id", "art_key"], [F.col("chunk_order")],
     )
-    provisions = cut_lineage(top_per_key(firsts, ["document_id"], ["chunk_order"], MAX_PROVISIONS))
+    if max_provisions is not None:
+        firsts = top_per_key(firsts, ["document_id"], ["chunk_order"], max_provisions)
+    provisions = cut_lineage(firsts)
     title = F.when(F.startswith(X.fold(F.col("line")), X.fold(F.col("art"))), F.col("line")).otherwise(F.col("art"))
-    provisions = provisions.withColumn("title", X.display(title))
+    provisions = provisions.withColumn("title", X.display(title, None))
     provision_nodes = provisions.select(
         "document_id", F.lit("LEGAL_PROVISION").alias("type"), F.col("title").alias("name"), F.lit(0.98).alias("confidence"),
         F.struct(F.col("chunk_order").alias("o"), F.lit(-2).alias("s"), F.lit(0).alias("i")).alias("at"), "chunk_id",
@@ -145,20 +151,20 @@ def extract(chunks: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFra
     ).select(
         "document_id", "root_id",
         F.when(X.fold(F.col("m.label")) == "cơ quan", "AGENCY").otherwise("PERSON").alias("type"),
-        X.display(F.trim("m.value", F.lit(" ,.;"))).alias("name"), F.lit(0.9).alias("confidence"),
+        X.display(F.trim("m.value", F.lit(" ,.;")), None).alias("name"), F.lit(0.9).alias("confidence"),
         F.struct(F.col("chunk_order").alias("o"), F.lit(-1).alias("s"), F.col("i")).alias("at"), "chunk_id",
         X.quote(F.col("m.full")).alias("quote"), F.create_map(F.lit("sourceLabel"), F.col("m.label")).alias("properties"),
     )
 
     # Written once: six node and edge branches read the facts.
-    facts = cut_lineage(sentence_facts(parented))
+    facts = cut_lineage(sentence_facts(parented, max_facts))
     at = F.struct(F.col("chunk_order").alias("o"), F.col("s"), F.col("i")).alias("at")
     said = X.quote(F.col("sentence")).alias("quote")
     no_props = F.create_map().cast("map<string,string>").alias("properties")
 
     def fact_nodes(kind: str, node_type: str, name: Column, confidence: float, props: Column) -> DataFrame:
         return facts.where(F.col("kind") == kind).select(
-            "document_id", F.lit(node_type).alias("type"), X.display(name).alias("name"),
+            "document_id", F.lit(node_type).alias("type"), X.display(name, None).alias("name"),
             F.lit(confidence).alias("confidence"), at, "chunk_id", said, props.alias("properties"),
         )
 
@@ -186,7 +192,7 @@ def extract(chunks: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFra
 
     facts_at = facts.withColumns({"at": at, "quote": said})
     task_id = node_id(F.lit("TASK"), F.col("task"))
-    actor_id = node_id(F.lit("AGENCY"), X.display(F.col("a")))
+    actor_id = node_id(F.lit("AGENCY"), X.display(F.col("a"), None))
     source = F.coalesce(F.when(F.col("task").isNotNull(), task_id), F.col("parent_id"))
     assigned, led = F.col("kind") == "ASSIGN", X.fold(F.col("b")) == "chủ trì"
     edges = edge(
@@ -198,10 +204,10 @@ def extract(chunks: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFra
     edges = edges.unionByName(edge(facts_at.where(assigned), actor_id, task_id, "ASSIGNS_RESPONSIBILITY", 0.72, True))
     edges = edges.unionByName(edge(facts_at.where(assigned & led), actor_id, task_id, "LEADS", 0.78, True))
     edges = edges.unionByName(
-        edge(facts_at.where("kind = 'REFERENCE'"), source, node_id(F.lit("LEGAL_REFERENCE"), X.display(F.col("a"))), "REFERENCES", 0.9, True)
+        edge(facts_at.where("kind = 'REFERENCE'"), source, node_id(F.lit("LEGAL_REFERENCE"), X.display(F.col("a"), None)), "REFERENCES", 0.9, True)
     )
     edges = edges.unionByName(
-        edge(facts_at.where("kind = 'DURATION'"), source, node_id(F.lit("DEADLINE"), X.display(F.col("a"))), "HAS_DEADLINE", 0.78, True)
+        edge(facts_at.where("kind = 'DURATION'"), source, node_id(F.lit("DEADLINE"), X.display(F.col("a"), None)), "HAS_DEADLINE", 0.78, True)
     )
     return nodes, edges.withColumn("edge_id", edge_id(F.col("source_node_id"), F.col("target_node_id"), F.col("type")))
 

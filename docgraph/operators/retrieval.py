@@ -101,7 +101,7 @@ def with_quotes(hits: DataFrame, chunks: DataFrame, questions: DataFrame) -> Dat
 
 
 def build_queries(questions: DataFrame) -> DataFrame:
-    """Up to three query texts per question.  ``questions``: question_id,
+    """The query texts of a question, its own first.  ``questions``: question_id,
     question, document_count."""
     q, low = F.col("question"), X.fold(F.col("question"))
     intent = X.question_intent(q, F.col("document_count"))
@@ -116,7 +116,7 @@ def build_queries(questions: DataFrame) -> DataFrame:
         )
     )
     return questions.select(
-        "question_id", intent.alias("intent"), F.posexplode(F.slice(texts, 1, 3)).alias("nth", "query_text")
+        "question_id", intent.alias("intent"), F.posexplode(texts).alias("nth", "query_text")
     )
 
 

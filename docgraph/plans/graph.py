@@ -237,12 +237,11 @@ def _extracted(t):
       SELECT c_custkey AS document_id, 'LEGAL_DOCUMENT' AS type, c_name AS name FROM customer
       UNION SELECT document_id, 'LEGAL_PROVISION', name FROM (
         SELECT document_id, min_by(split_part(content, chr(10), 1), chunk_order) AS name, min(chunk_order) AS o FROM cks GROUP BY document_id, chunk_order % 100)
-        QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY o) <= 80
       UNION SELECT document_id, 'PERSON', 'Ông ' || (chunk_order % 7) FROM cks WHERE chunk_order % 5 = 0
-      UNION SELECT document_id, 'AGENCY', 'Bộ số' FROM facts WHERE a = 1 AND before < 40
-      UNION SELECT document_id, 'TASK', 'chủ trì công việc ' || chunk_order FROM facts WHERE a = 1 AND before < 40
-      UNION SELECT document_id, 'LEGAL_REFERENCE', 'Luật Đầu tư số ' || (chunk_order % 50) || '/2019' FROM facts WHERE r = 1 AND before + a < 40
-      UNION SELECT document_id, 'DEADLINE', (chunk_order % 90 + 1) || ' ngày' FROM facts WHERE d = 1 AND before + a + r < 40)
+      UNION SELECT document_id, 'AGENCY', 'Bộ số' FROM facts WHERE a = 1
+      UNION SELECT document_id, 'TASK', 'chủ trì công việc ' || chunk_order FROM facts WHERE a = 1
+      UNION SELECT document_id, 'LEGAL_REFERENCE', 'Luật Đầu tư số ' || (chunk_order % 50) || '/2019' FROM facts WHERE r = 1
+      UNION SELECT document_id, 'DEADLINE', (chunk_order % 90 + 1) || ' ngày' FROM facts WHERE d = 1)
     SELECT document_id, type, min(name) AS name FROM names GROUP BY document_id, type, lower(name)"""))
 def _(t):
     n, _ = _extracted(t)
@@ -253,17 +252,16 @@ def _(t):
     facts AS (SELECT *, coalesce(sum(a + r + d) OVER (PARTITION BY document_id ORDER BY chunk_order ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
       FROM (SELECT document_id, chunk_order, (chunk_order % 3 = 0)::INT AS a, (chunk_order % 4 = 0)::INT AS r, (chunk_order % 2 = 0)::INT AS d FROM cks)),
     provisions AS (SELECT document_id, p, name, o FROM (
-        SELECT document_id, chunk_order % 100 AS p, min_by(split_part(content, chr(10), 1), chunk_order) AS name, min(chunk_order) AS o FROM cks GROUP BY 1, 2)
-        QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY o) <= 80),
+        SELECT document_id, chunk_order % 100 AS p, min_by(split_part(content, chr(10), 1), chunk_order) AS name, min(chunk_order) AS o FROM cks GROUP BY 1, 2)),
     parented AS (SELECT f.*, p.name IS NOT NULL AS has_p, p.p FROM facts f LEFT JOIN provisions p ON p.document_id = f.document_id AND p.p = f.chunk_order % 100),
     edges AS (
       SELECT document_id, 'CONTAINS' AS type, name AS a, '' AS b FROM provisions
       UNION SELECT document_id, 'APPROVES', 'Ông ' || (chunk_order % 7), '' FROM cks WHERE chunk_order % 5 = 0
-      UNION SELECT document_id, unnest(['ASSIGNS_RESPONSIBILITY', 'LEADS']), 'công việc', CAST(chunk_order AS VARCHAR) FROM facts WHERE a = 1 AND before < 40
+      UNION SELECT document_id, unnest(['ASSIGNS_RESPONSIBILITY', 'LEADS']), 'công việc', CAST(chunk_order AS VARCHAR) FROM facts WHERE a = 1
       UNION SELECT document_id, 'REFERENCES', CAST(CASE WHEN has_p THEN p END AS VARCHAR), CAST(chunk_order % 50 AS VARCHAR)
-        FROM parented WHERE r = 1 AND before + a < 40
+        FROM parented WHERE r = 1
       UNION SELECT document_id, 'HAS_DEADLINE', CAST(CASE WHEN has_p THEN p END AS VARCHAR), CAST(chunk_order % 90 AS VARCHAR)
-        FROM parented WHERE d = 1 AND before + a + r < 40)
+        FROM parented WHERE d = 1)
     SELECT document_id, type, count(*) AS n FROM edges GROUP BY 1, 2"""))
 def _(t):
     _, e = _extracted(t)
@@ -284,7 +282,7 @@ def _(t):
     UNION ALL SELECT 'DURATION', (chunk_order % 90 + 1) || ' ngày', chunk_order FROM cks WHERE chunk_order % 2 = 0"""))
 def _(t):
     c = _graph_chunks(t).withColumn("parent_id", F.lit("root"))
-    f = G.sentence_facts(c, 1 << 30)
+    f = G.sentence_facts(c)
     number = F.regexp_extract("sentence", r"^Bộ số \d+", 0)
     return f.select("kind", F.when(F.col("kind") == "ASSIGN", number).otherwise(F.col("a")).alias("value"), "chunk_order")
 
@@ -369,9 +367,8 @@ def _question_inputs(t):
 
 
 @query("I14_valid_questions", with_views("citation_checks", "WITH " + _QUESTIONS + """,
-    picked AS (SELECT * FROM qs QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY nth) <= 5),
     worst AS (SELECT item_id % 13 AS document_id, 'flag-' || (item_id % 7) AS issue_type, bool_or(item_id % 4 = 0) AS high FROM benchmark GROUP BY 1, 2)
-    SELECT p.document_id, p.question_id, p.severity FROM picked p JOIN worst w USING (document_id, issue_type) JOIN citation_checks c ON c.citation_id = p.question_id
+    SELECT p.document_id, p.question_id, p.severity FROM qs p JOIN worst w USING (document_id, issue_type) JOIN citation_checks c ON c.citation_id = p.question_id
     WHERE p.severity = CASE WHEN w.high THEN 'HIGH' ELSE 'LOW' END AND c.issues = '' AND p.subject <> 'Nội dung' """))
 def _(t):
     return C.valid_questions(*_question_inputs(t)).select("document_id", "question_id", "severity")
@@ -465,8 +462,7 @@ def _(t):
 
 @query("C17_evidence_chunks", with_views("citations blocks", """
     SELECT document_id, order_index FROM blocks b WHERE document_id IN (SELECT document_id FROM citations) AND page_index = 0
-    UNION ALL SELECT document_id, order_index FROM blocks WHERE document_id NOT IN (SELECT b.document_id FROM blocks b JOIN citations c ON b.document_id = c.document_id AND b.page_index = 0)
-      AND order_index < 12"""))
+    UNION ALL SELECT document_id, order_index FROM blocks WHERE document_id NOT IN (SELECT b.document_id FROM blocks b JOIN citations c ON b.document_id = c.document_id AND b.page_index = 0)"""))
 def _(t):
     chunks = views.blocks(t).select("document_id", "order_index", F.concat_ws("-", "document_id", "order_index").alias("chunk_id"), "page_index")
     cited = chunks.join(views.citations(t).select("document_id").distinct(), "document_id", "left_semi").where("page_index = 0")

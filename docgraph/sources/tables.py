@@ -44,5 +44,5 @@ def spread(df: DataFrame) -> DataFrame:
     a larger table are split by the scan and left alone.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(cores) if size <= SPREAD_BYTES and len(df.inputFiles()) < cores else df
