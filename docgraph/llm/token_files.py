@@ -18,6 +18,7 @@ import os
 import uuid
 import zlib
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from docgraph.llm.bpe import Places, ranges
 from docgraph.llm.common import slices, stored
 from docgraph.session import shared_dir
 
@@ -131,26 +133,51 @@ def tokenizer(path: str):
     return found
 
 
-#: Words whose ids a task keeps.
-ROOM = 300_000
+#: Words whose ids a Python worker keeps, about 200 bytes each.
+ROOM = 1_200_000
 
 
 class WordEncoder:
-    """Ids of texts by a tokenizer that drops white space: the ids of a text are those of its words."""
+    """Ids of texts by a tokenizer that drops white space: the ids of a text are those of its words.
+
+    The library encodes each word once; texts are then put together from the stored ids.
+    """
 
     def __init__(self, path: str):
         self.tokenizer = tokenizer(path)
-        self.known: dict[str, np.ndarray] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.place = Places([])
+        self.tokens = np.zeros(0, np.uint32)
+        self.starts = np.zeros(1, np.int64)
+
+    def learn(self) -> None:
+        new, self.place.new = self.place.new, []
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+        counts = np.fromiter(map(len, found), np.int64, len(found))
+        self.tokens = np.concatenate([self.tokens, np.fromiter(chain.from_iterable(found), np.uint32, int(counts.sum()))])
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(counts)])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        words = [t.split(" ") for t in texts]
-        new = list({w for ws in words for w in ws} - self.known.keys())
-        if len(self.known) + len(new) > ROOM:
-            self.known = {}
-            new = list({w for ws in words for w in ws})
-        self.known.update(zip(new, (np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False))))
-        look = self.known.__getitem__
-        return [np.frombuffer(b"".join(map(look, ws)), "<u4") for ws in words]
+        if len(self.place) > ROOM:
+            self.forget()
+        places = []
+        for text in texts:
+            words = text.split(" ")
+            places.append(np.fromiter(map(self.place.__getitem__, words), np.int64, len(words)))
+        self.learn()
+        at = np.concatenate(places) if places else np.zeros(0, np.int64)
+        counts = np.diff(self.starts)[at]
+        tokens = self.tokens[ranges(self.starts[at], counts)]
+        ends = np.concatenate([[0], np.cumsum(counts)])[np.cumsum([0, *map(len, places)])]
+        return [tokens[a:b] for a, b in zip(ends[:-1], ends[1:])]
+
+
+@lru_cache(1)
+def word_encoder(path: str) -> WordEncoder:
+    """One for all tasks of a Python worker."""
+    return WordEncoder(path)
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -160,41 +187,50 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
 
 
 def token_rows(docs: DataFrame, id_col: str, text_col: str, path: str) -> DataFrame:
-    """id and ids (binary, unsigned 32-bit integers) with the end id."""
+    """id and ids (binary, unsigned integers of ``width(path)``) with the end id."""
+    kind = width(path)
 
     def run(batches):
-        encoder = WordEncoder(path)
-        end = np.array([END_ID], "<u4").tobytes()
+        encoder = word_encoder(path)
+        end = np.array([END_ID], kind).tobytes()
         for batch in batches:
             ids, texts = batch["id"], [t or "" for t in batch["text"].to_pylist()]
             for a, b in slices([len(t) for t in texts], 2_000_000):
-                yield pa.RecordBatch.from_pydict({"id": ids[a:b], "ids": pa.array([t.tobytes() + end for t in encoder.encode(texts[a:b])], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"id": ids[a:b], "ids": pa.array([t.astype(kind).tobytes() + end for t in encoder.encode(texts[a:b])], pa.binary())})
 
     named = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return named.mapInArrow(run, "id long, ids binary")
 
 
-def as_ids(value) -> np.ndarray:
-    return np.frombuffer(value.as_buffer(), "<u4")
+def width(path: str) -> str:
+    """The narrowest unsigned integers that hold the ids of a vocabulary."""
+    return "<u2" if tokenizer(path).get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
+
 
+def as_ids(value, kind: str) -> np.ndarray:
+    return np.frombuffer(value.as_buffer(), kind)
 
-def count_ids(batches):
-    counts = np.zeros(0, np.int64)
-    for batch in batches:
-        for ids in batch["ids"]:
-            new = np.bincount(as_ids(ids))
-            if len(new) > len(counts):
-                counts = np.append(counts, np.zeros(len(new) - len(counts), np.int64))
-            counts[: len(new)] += new
-    used = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_pydict({"token": pa.array(used, pa.int64()), "n": pa.array(counts[used], pa.int64())})
+
+def count_ids(kind: str):
+    def run(batches):
+        counts = np.zeros(0, np.int64)
+        for batch in batches:
+            for ids in batch["ids"]:
+                new = np.bincount(as_ids(ids, kind))
+                if len(new) > len(counts):
+                    counts = np.append(counts, np.zeros(len(new) - len(counts), np.int64))
+                counts[: len(new)] += new
+        used = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_pydict({"token": pa.array(used, pa.int64()), "n": pa.array(counts[used], pa.int64())})
+
+    return run
 
 
 BLOCK = "shard long, number long, n_ids long, documents binary, lengths binary, payload binary, states binary, places binary, payload_crc long, ids_crc long"
 NO_ID = np.iinfo(np.int64).min
 
 
-def blocks_of(symbols: np.ndarray, freq: np.ndarray):
+def blocks_of(symbols: np.ndarray, freq: np.ndarray, kind: str):
     """Blocks of one shard, which is one sorted partition."""
 
     def run(batches):
@@ -210,7 +246,7 @@ def blocks_of(symbols: np.ndarray, freq: np.ndarray):
         for batch in batches:
             for i, ids in zip(batch["id"].to_pylist(), batch["ids"]):
                 docs.append(NO_ID if i is None else i)
-                parts.append(as_ids(ids))
+                parts.append(as_ids(ids, kind))
                 size += len(parts[-1])
                 if size >= BLOCK_IDS:
                     yield block()
@@ -231,15 +267,17 @@ def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
     Other columns are not read.
     """
     spark = docs.sparkSession
-    tokens = stored(token_rows(docs, id_col, text_col, vocabulary_path or vocabulary()), "tokens")
-    counts = tokens.select("ids").mapInArrow(count_ids, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    where = vocabulary_path or vocabulary()
+    kind = width(where)
+    tokens = stored(token_rows(docs, id_col, text_col, where), "tokens")
+    counts = tokens.select("ids").mapInArrow(count_ids(kind), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     symbols, freq = quantised({r["token"]: r["n"] for r in counts.collect()})  # at most one row for each id of the vocabulary
     table = spark.createDataFrame([(int(s), int(f)) for s, f in zip(symbols, freq)], "token long, freq long")
     table.coalesce(1).write.parquet(f"{path}/frequencies")
     shards = max(1, -(-tokens.count() // shard_rows))
     # The number of a partition by range is the rank of its ids among the partitions.
     ordered = tokens.repartitionByRange(shards, "id").sortWithinPartitions("id", "ids")
-    ordered.mapInArrow(blocks_of(symbols, freq), BLOCK).write.parquet(f"{path}/blocks")
+    ordered.mapInArrow(blocks_of(symbols, freq, kind), BLOCK).write.parquet(f"{path}/blocks")
 
 
 def read(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
