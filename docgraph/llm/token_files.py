@@ -134,7 +134,7 @@ def tokenizer(path: str):
 
 
 #: Words whose ids a Python worker keeps, about 200 bytes each.
-ROOM = 1_200_000
+ROOM = 700_000
 
 
 class WordEncoder:
@@ -154,7 +154,8 @@ class WordEncoder:
 
     def learn(self) -> None:
         new, self.place.new = self.place.new, []
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+        # The library's results are large; a few thousand words at a time keep them few.
+        found = [e.ids for i in range(0, len(new), 4_096) for e in self.tokenizer.encode_batch_fast(new[i : i + 4_096], add_special_tokens=False)]
         counts = np.fromiter(map(len, found), np.int64, len(found))
         self.tokens = np.concatenate([self.tokens, np.fromiter(chain.from_iterable(found), np.uint32, int(counts.sum()))])
         self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(counts)])
@@ -195,7 +196,7 @@ def token_rows(docs: DataFrame, id_col: str, text_col: str, path: str) -> DataFr
         end = np.array([END_ID], kind).tobytes()
         for batch in batches:
             ids, texts = batch["id"], [t or "" for t in batch["text"].to_pylist()]
-            for a, b in slices([len(t) for t in texts], 2_000_000):
+            for a, b in slices([len(t) for t in texts], 1_000_000):
                 yield pa.RecordBatch.from_pydict({"id": ids[a:b], "ids": pa.array([t.astype(kind).tobytes() + end for t in encoder.encode(texts[a:b])], pa.binary())})
 
     named = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
