@@ -26,7 +26,10 @@ from pyspark.sql import functions as F
 
 from docgraph.llm.common import stored
 
-PAGE = 64
+#: Entries of a page; an array operation handles a page at once.
+PAGE = 1_024
+#: Queries of one block at most.
+BLOCK_ROWS = 16_384
 MARGIN = 1e-6
 
 
@@ -172,7 +175,7 @@ def search_of(k: int):
 
 
 def top_inner_products(
-    vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, scale: int = 64, tree_rows: int = 8_192, block_rows: int = 2_048,
+    vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, scale: int = 64, tree_rows: int = 65_536, block_rows: int | None = None,
 ) -> DataFrame:
     """Per query row its ``k`` best candidates: query_id, rank, vec_id, score.
 
@@ -189,7 +192,13 @@ def top_inner_products(
     pages = stored(dealt.groupBy("tree").applyInArrow(tree_of, PAGES_SQL), "pages")
     asked = rows.where("asks").select("id", "vector").distinct()
     asked = asked.withColumn("query_no", F.xxhash64("id", "vector"))
-    blocks = max(1, -(-rows.where("asks").count() // block_rows))
+    n_asked = rows.where("asks").count()
+    if block_rows is None:
+        # Two groups for each core, as long as the blocks of queries stay within bounds.
+        wanted = -(-2 * vectors.sparkSession.sparkContext.defaultParallelism // trees)
+        blocks = max(-(-n_asked // BLOCK_ROWS), min(-(-n_asked // 64), wanted), 1)
+    else:
+        blocks = max(1, -(-n_asked // block_rows))
     # Every (block of queries, tree) is one group.
     asked = asked.withColumn("block", F.pmod(F.xxhash64(F.lit(1), "query_no"), F.lit(blocks))).withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn("tree", F.col("tree").cast("long"))
     spread = pages.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("block", F.col("block").cast("long"))

@@ -29,6 +29,18 @@ def test_equals_brute_force_with_ties_and_bad_vectors(spark):
     assert {tuple(r) for r in found.collect()} == brute(rows, 20)
 
 
+def test_small_pages_in_one_tree_find_the_same(monkeypatch):
+    monkeypatch.setattr(M, "PAGE", 16)
+    rng = np.random.default_rng(9)
+    vectors = np.floor(64 * rng.normal(0, 0.2, (900, 8)))
+    vectors[100:140] = vectors[7]
+    tree = M.Tree(M.tree_of(__import__("pyarrow").table({"id": np.arange(900), "vector": vectors.tolist(), "tree": np.zeros(900, np.int64)})))
+    for q in range(0, 900, 37):
+        ids, scores = tree.nearest(q, vectors[q], 20)
+        want = sorted((-int(s), i) for i, s in enumerate(vectors @ vectors[q]) if i != q)[:20]
+        assert list(zip((-scores).astype(int).tolist(), ids.tolist())) == want
+
+
 def test_fewer_candidates_than_k_and_empty(spark):
     rows = [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [-1.0, 0.0])]
     found = M.top_inner_products(made(spark, rows), F.col("vec_id") % 20 == 0)
@@ -36,7 +48,8 @@ def test_fewer_candidates_than_k_and_empty(spark):
     assert M.top_inner_products(made(spark, rows).limit(0), F.col("vec_id") % 20 == 0).collect() == []
 
 
-def test_bounds_avoid_pages():
+def test_bounds_avoid_pages(monkeypatch):
+    monkeypatch.setattr(M, "PAGE", 64)
     rng = np.random.default_rng(4)
     centers = rng.normal(0, 40, (40, 8))
     points = np.round(np.vstack([c + rng.normal(0, 1, (60, 8)) for c in centers]))
