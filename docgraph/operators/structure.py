@@ -16,16 +16,20 @@ from docgraph.operators.ordered import carry_last, row_index
 from docgraph.session import cut_lineage
 
 DEPTH = range(8)
-PAGES_PER_SEGMENT = 64
+#: Blocks of a page that form one segment at most.
+BLOCKS_PER_SEGMENT = 4_096
 BODY_TYPES = ("ARTICLE",)
 
 
-def order_blocks(blocks: DataFrame, pages_per_segment: int = PAGES_PER_SEGMENT) -> DataFrame:
-    """Adds ``ord`` (place in the document) and ``seg`` (bounded run of pages)."""
+def order_blocks(blocks: DataFrame, blocks_per_segment: int = BLOCKS_PER_SEGMENT) -> DataFrame:
+    """Adds ``ord`` (place in the document) and ``seg``: a page, or a bounded run of its blocks.
+
+    A document that comes as one page of very many blocks has many segments too.
+    """
     return blocks.withColumns(
         {
             "ord": F.col("page_index") * F.lit(1 << 32) + F.col("order_index"),
-            "seg": F.expr(f"page_index div {pages_per_segment}"),
+            "seg": F.col("page_index") * F.lit(1 << 32) + F.floor(F.col("order_index") / blocks_per_segment),
         }
     )
 

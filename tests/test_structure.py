@@ -15,7 +15,7 @@ def blocks(spark, lines, doc="d", per_page=100):
 
 
 def classified(spark, lines, **kw):
-    return structure.classify_blocks(structure.order_blocks(blocks(spark, lines, **kw), pages_per_segment=2))
+    return structure.classify_blocks(structure.order_blocks(blocks(spark, lines, **kw), blocks_per_segment=2))
 
 
 def test_labels_and_parents(spark):
