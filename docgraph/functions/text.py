@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 # Unicode spellings of Python's \w and \s for Java regexes.
 WORD = r"\p{L}\p{N}_"
-SPACE = r"[\s\x{00A0}\x{2000}-\x{200A}\x{202F}\x{3000}]"
+SPACE = r"[\s\x{001C}-\x{001F}\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
 # Patterns shared with the SQL side of the checks.
 TOKEN_PATTERN = rf"[{WORD}]+|[^{WORD}\s]"

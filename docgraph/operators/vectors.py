@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -16,6 +15,7 @@ from docgraph.operators.ordered import top_per_key
 
 DIMENSION = 384
 QUERY_BLOCK = 1024
+SLAB_ROWS = 8192
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -81,57 +81,71 @@ def embed(texts: DataFrame, text: str, provider: Callable[[list[str]], list[list
     return texts.withColumn("vector", run(F.col(text)))
 
 
-def _search(ids: list, matrix: np.ndarray, vector: str, key: str, k: int):
-    norms = np.linalg.norm(matrix, axis=1)
+def same_length_cosine(a: Column, b: Column) -> Column:
+    """0 for vectors of unequal length."""
+    return F.when(F.size(a) == F.size(b), cosine(a, b)).otherwise(0.0)
+
+
+def _unit(vectors: list[np.ndarray]) -> np.ndarray:
+    data = np.stack(vectors).astype(np.float64)
+    norms = np.linalg.norm(data, axis=1)
     norms[norms == 0] = 1.0
-    unit = matrix / norms[:, None]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            data = np.stack(batch[vector].to_numpy()).astype(np.float64)
-            size = np.linalg.norm(data, axis=1)
-            size[size == 0] = 1.0
-            scores = np.maximum((data @ unit.T) / size[:, None], 0.0).round(9)
-            keys = batch[key].to_numpy()
-            for j, query in enumerate(ids):
+    return data / norms[:, None]
+
+
+def _scores(rows: list[np.ndarray], asked: list[np.ndarray]) -> np.ndarray:
+    """max(0, cosine) of every row with every query; 0 where the lengths differ."""
+    out = np.zeros((len(rows), len(asked)))
+    sizes, wanted = np.array([len(v) for v in rows]), np.array([len(v) for v in asked])
+    for size in np.unique(wanted):
+        at, of = np.flatnonzero(sizes == size), np.flatnonzero(wanted == size)
+        if len(at) and size:
+            out[np.ix_(at, of)] = _unit([rows[i] for i in at]) @ _unit([asked[i] for i in of]).T
+    return np.maximum(out, 0.0).round(9)
+
+
+def _search(vector: str, key: str, k: int):
+    """The best ``k`` of a slab of the corpus for each query of a block; of equal scores the smallest keys."""
+
+    def run(corpus: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        names, found, best = [], [], []
+        if len(corpus) and len(asked):
+            corpus = corpus.sort_values(key)
+            scores, keys = _scores(corpus[vector].tolist(), asked["vector"].tolist()), corpus[key].to_numpy(dtype=object)
+            for j, query in enumerate(asked["query_id"]):
                 column = scores[:, j]
+                picked = np.arange(len(column))
                 if len(column) > k:
-                    # Ties with the k-th score stay, so that ids decide later.
-                    picked = np.flatnonzero(column >= np.partition(column, -k)[-k])
-                else:
-                    picked = np.arange(len(column))
-                yield pd.DataFrame({"query_id": query, key: keys[picked], "score": column[picked]})
+                    least = np.partition(column, -k)[-k]
+                    above = np.flatnonzero(column > least)
+                    picked = np.concatenate([above, np.flatnonzero(column == least)[: k - len(above)]])
+                names += [query] * len(picked)
+                found += keys[picked].tolist()
+                best += column[picked].tolist()
+        return pd.DataFrame({"query_id": pd.Series(names, dtype=object), key: pd.Series(found, dtype=object), "score": pd.Series(best, dtype=float)})
 
     return run
 
 
 def top_k(
-    corpus: DataFrame, queries: DataFrame, k: int, *, key: str = "chunk_id", vector: str = "vector", block: int = QUERY_BLOCK
+    corpus: DataFrame, queries: DataFrame, k: int, *, key: str = "chunk_id", vector: str = "vector", block: int = QUERY_BLOCK, slab: int = SLAB_ROWS
 ) -> DataFrame:
-    """exact cosine top-k of every query, score max(0, cosine).
+    """exact cosine top-k of every query, score max(0, cosine), 0 for unequal lengths.
 
-    ``queries``: query_id, vector.  Query vectors travel to the tasks in blocks
-    of at most ``block`` rows, so what is broadcast is bounded whatever the
-    number of queries; each block is one pass over the corpus.  A task keeps the
-    best ``k`` of each batch only, never all pairs.
+    ``queries``: query_id, vector.  Queries are dealt into blocks and the corpus into
+    slabs, both tables; every (slab, block) is one group, which keeps the best ``k``
+    per query, so neither vectors nor pairs pass through the driver.
     """
-    n = queries.count()
-    blocks = -(-n // block) if n else 1
-    keyed = queries.withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(2 * blocks)) if blocks > 1 else F.lit(0))
-    kind = corpus.schema[key].dataType.simpleString()
-    qkind = queries.schema["query_id"].dataType.simpleString()
-    found = []
-    for b in range(2 * blocks if blocks > 1 else 1):
-        rows = keyed.where(F.col("_b") == b).select("query_id", "vector").collect()
-        if not rows:
-            continue
-        matrix = np.array([r["vector"] for r in rows], dtype=np.float64)
-        run = _search([r["query_id"] for r in rows], matrix, vector, key, k)
-        found.append(corpus.select(key, vector).mapInPandas(run, f"query_id {qkind}, {key} {kind}, score double"))
-    if not found:
-        empty = corpus.select(key).withColumns({"query_id": F.lit(None).cast(qkind), "score": F.lit(0.0), "rank": F.lit(0)})
-        return empty.where(F.lit(False)).select("query_id", key, "score", "rank")
-    return top_per_key(reduce(DataFrame.unionByName, found), ["query_id"], [F.desc("score"), F.asc(key)], k)
+    blocks = max(1, -(-queries.count() // block))
+    slabs = max(1, -(-corpus.count() // slab))
+    kind, qkind = corpus.schema[key].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    rows = corpus.select(key, vector).withColumn("_slab", F.pmod(F.xxhash64(key), F.lit(slabs))).withColumn("_block", every(blocks))
+    asked = queries.select("query_id", F.col("vector")).withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn("_slab", every(slabs))
+    found = rows.groupBy("_slab", "_block").cogroup(asked.groupBy("_slab", "_block")).applyInPandas(
+        _search(vector, key, k), f"query_id {qkind}, {key} {kind}, score double"
+    )
+    return top_per_key(found, ["query_id"], [F.desc("score"), F.asc(key)], k)
 
 
 def keyword_score(query_terms: Column, content: Column) -> Column:
@@ -140,9 +154,10 @@ def keyword_score(query_terms: Column, content: Column) -> Column:
 
 
 def hybrid(hits: DataFrame, chunks: DataFrame, queries: DataFrame, k: int, *, key: str = "chunk_id", text: str = "normalized_content") -> DataFrame:
-    """0.7 semantic plus 0.3 keyword over an over-fetched candidate list.
+    """0.7 semantic plus 0.3 keyword over a list of candidates.
 
-    ``hits`` holds max(3k, 40) candidates per query, from ``top_k``.
+    ``hits`` holds the candidates of each query, from ``top_k``; their depth is the
+    caller's parameter, ``overfetch(k)`` being the usual one.
     """
     asked = queries.select("query_id", X.terms(F.col("query_text")).alias("terms"))
     joined = hits.drop("rank").join(asked, "query_id").join(chunks.select(key, text), key)
