@@ -91,6 +91,41 @@ def lexical_top_k(chunks: DataFrame, questions: DataFrame, k: int) -> DataFrame:
     return top_per_key(best.unionByName(filler.select(*best.columns)), ["question_id"], order, k)
 
 
+def scoped_top_k(chunks: DataFrame, questions: DataFrame, scope: DataFrame, k: int) -> DataFrame:
+    """Best ``k`` chunks of each question among the documents it may read.
+
+    ``scope``: question_id, document_id, the documents that the asker sees.  Document
+    frequencies, like scores, count the chunks of a question's own scope, so nothing
+    is learnt from other tenants.  Chunks that share no token follow with score 0; a
+    question without any visible chunk has no row.
+    """
+    asked = query_tokens(questions)
+    place = chunks.select("chunk_id", "document_id", "order_index")
+    seen = cut_lineage(scope.select("question_id", "document_id").distinct().join(place, "document_id"))
+    totals = seen.groupBy("question_id").agg(F.count("*").alias("total"))
+    tf = token_frequencies(chunks, asked)
+    own = cut_lineage(seen.select("question_id", "chunk_id").join(tf, "chunk_id").join(asked, ["question_id", "token"]))
+    df = own.groupBy("question_id", "token").agg(F.count("*").alias("df"))
+    weights = asked.join(totals, "question_id").join(df, ["question_id", "token"], "left").select(
+        "question_id", "token", (F.log((1 + F.col("total")) / (1 + F.coalesce("df", F.lit(0)))) + 1.0).alias("idf"), "n"
+    )
+    norms = weights.groupBy("question_id").agg(F.sqrt(F.sum(F.pow(F.col("n") * F.col("idf"), 2))).alias("query_norm"), F.count("*").alias("query_terms"))
+    w = F.col("tf") * F.col("idf")
+    pairs = own.join(weights.drop("n"), ["question_id", "token"]).groupBy("question_id", "chunk_id").agg(
+        F.sum(F.col("n") * F.col("idf") * w).alias("dot"), F.sqrt(F.sum(w * w)).alias("chunk_norm"), F.count("*").alias("shared")
+    )
+    scored = pairs.join(norms, "question_id")
+    joined = lambda c: F.array_join(X.tokens(F.col(c)), " ")
+    full = scored.where("shared = query_terms").select("question_id", "chunk_id")
+    phrased = full.join(questions.select("question_id", joined("question").alias("phrase")), "question_id")
+    phrased = phrased.join(chunks.select("chunk_id", joined("content").alias("body")), "chunk_id").where(F.col("body").contains(F.col("phrase")))
+    phrased = phrased.select("question_id", "chunk_id", F.lit(PHRASE_BONUS).alias("bonus"))
+    score = F.col("dot") / (F.col("query_norm") * F.col("chunk_norm")) + F.coalesce("bonus", F.lit(0.0))
+    scored = scored.join(phrased, ["question_id", "chunk_id"], "left").select("question_id", "chunk_id", F.round(score, 9).alias("score"))
+    ranked = seen.join(scored, ["question_id", "chunk_id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    return top_per_key(ranked, ["question_id"], [F.desc("score"), F.asc("document_id"), F.asc("order_index")], k)
+
+
 def with_quotes(hits: DataFrame, chunks: DataFrame, questions: DataFrame) -> DataFrame:
     """Text work on the selected hits only."""
     texts = chunks.select("chunk_id", "content")

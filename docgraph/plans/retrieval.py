@@ -63,6 +63,34 @@ def _(t):
     return Q.with_quotes(hits, _chunks(t), _questions(t)).select("question_id", "document_id", "quote")
 
 
+@query("I17_sources_of_the_actor", with_views("users tenant_documents grants", f"""WITH
+    visible AS (SELECT u.user_id, d.document_id FROM users u JOIN tenant_documents d ON d.commune_id = u.commune_id AND NOT d.is_deleted
+      WHERE u.is_active AND u.status = 'ACTIVE' AND (u.role = 'ADMIN' OR d.owner_id = u.user_id
+        OR EXISTS (SELECT 1 FROM grants g WHERE g.document_id = d.document_id AND g.user_id = u.user_id AND g.commune_id = u.commune_id))),
+    scope AS (SELECT item_id, doc_id FROM benchmark JOIN visible ON user_id = CASE WHEN item_id % 3 = 0 THEN item_id % 30 * 10 ELSE item_id END JOIN documents ON doc_id = document_id),
+    ctok AS (SELECT doc_id, tok, count(*) AS tf FROM (SELECT doc_id, unnest({_at(_TOK, 'text')}) AS tok FROM documents) GROUP BY 1, 2),
+    qtok AS (SELECT item_id, tok, count(*) AS n FROM (SELECT item_id, unnest({_at(_TOK, 'text')}) AS tok FROM benchmark) GROUP BY 1, 2),
+    own AS (SELECT item_id, doc_id, tok, tf, n FROM scope JOIN ctok USING (doc_id) JOIN qtok USING (item_id, tok)),
+    idf AS (SELECT item_id, tok, n, ln((1 + total) / (1 + coalesce(df, 0))) + 1.0 AS idf FROM qtok JOIN (SELECT item_id, count(*) AS total FROM scope GROUP BY 1) USING (item_id)
+      LEFT JOIN (SELECT item_id, tok, count(*) AS df FROM own GROUP BY 1, 2) USING (item_id, tok)),
+    qn AS (SELECT item_id, sqrt(sum((n * idf) ** 2)) AS qnorm FROM idf GROUP BY 1),
+    pairs AS (SELECT item_id, doc_id, sum(own.n * idf * tf * idf) AS dot, sqrt(sum((tf * idf) ** 2)) AS cnorm FROM own JOIN idf USING (item_id, tok) GROUP BY 1, 2),
+    scored AS (SELECT p.item_id, p.doc_id, round(dot / (qnorm * cnorm)
+        + CASE WHEN contains(array_to_string({_at(_TOK, 'd.text')}, ' '), array_to_string({_at(_TOK, 'b.text')}, ' ')) THEN 0.15 ELSE 0 END, 9) AS score
+      FROM pairs p JOIN qn USING (item_id) JOIN documents d USING (doc_id) JOIN benchmark b USING (item_id))
+    SELECT item_id AS question_id, doc_id AS document_id, round(coalesce(score, 0), 6) AS score FROM scope LEFT JOIN scored USING (item_id, doc_id)
+    QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY coalesce(score, 0) DESC, doc_id) <= 3"""))
+def _(t):
+    from docgraph.operators import governance as G
+
+    askers = t.benchmark.selectExpr("item_id question_id", "if(item_id % 3 = 0, item_id % 30 * 10, item_id) user_id")
+    actors = views.users(t).join(askers.select("user_id").distinct(), "user_id", "left_semi")
+    visible = G.visible_documents(actors, views.tenant_documents(t), views.grants(t))
+    scope = askers.join(visible, "user_id").select("question_id", "document_id")
+    hits = Q.scoped_top_k(_chunks(t), _questions(t), scope, 3)
+    return hits.select("question_id", "document_id", F.round("score", 6).alias("score"))
+
+
 @query("H20_lexical_scores", f"WITH {_LEXICAL} SELECT item_id AS question_id, doc_id AS chunk_id, round(score, 6) AS score FROM scored")
 def _(t):
     return Q.lexical_scores(_chunks(t), _questions(t)).withColumn("score", F.round("score", 6))
