@@ -199,3 +199,20 @@ def pending_jobs(jobs: DataFrame, limit: int | None = None) -> DataFrame:
     """Uploaded jobs that wait; with ``limit`` the oldest ones of them."""
     waiting = jobs.where("status = 'UPLOADED'")
     return waiting if limit is None else waiting.orderBy("created_at", "job_id").limit(limit)
+
+
+def latest_by_attempt(jobs: DataFrame) -> DataFrame:
+    """The newest job of every document: document_id, status.  ``jobs``: document_id, attempt, seq, status."""
+    newest = F.max_by("status", F.struct("attempt", "seq"))
+    return jobs.groupBy("document_id").agg(newest.alias("status"))
+
+
+def workspace_dashboard(documents: DataFrame, jobs: DataFrame, index_jobs: DataFrame) -> DataFrame:
+    """Documents of each workspace, and how many are being processed, done and indexed by their newest jobs."""
+    state = latest_by_attempt(jobs)
+    indexed = latest_by_attempt(index_jobs).select("document_id", F.col("status").alias("index_status"))
+    joined = documents.select("workspace_id", "document_id").join(state, "document_id", "left").join(indexed, "document_id", "left")
+    return joined.groupBy("workspace_id").agg(
+        F.count("*").alias("documents"), F.count_if(F.col("status").isin("QUEUED", "PROCESSING")).alias("processing"),
+        F.count_if(F.col("status") == "COMPLETED").alias("completed"), F.count_if(F.col("index_status") == "COMPLETED").alias("indexed"),
+    )

@@ -359,15 +359,17 @@ def _(t):
 
 # ------------------------------------------------------------------ reports
 
+# Jobs of odd attempts stand for index jobs, so newest index and processing jobs differ.
+_LATEST_INDEX = _LATEST.replace("FROM job_events", "FROM job_events WHERE attempt % 2 = 1")
+
+
 @query("D1_workspace_dashboard", with_views("tenant_documents job_events", f"""
     SELECT d.workspace_id, count(*) AS documents, count(*) FILTER (j.status IN ('QUEUED', 'PROCESSING')) AS processing,
-      count(*) FILTER (j.status = 'COMPLETED') AS completed FROM tenant_documents d LEFT JOIN ({_LATEST}) j USING (document_id) GROUP BY 1"""))
+      count(*) FILTER (j.status = 'COMPLETED') AS completed, count(*) FILTER (i.status = 'COMPLETED') AS indexed
+    FROM tenant_documents d LEFT JOIN ({_LATEST}) j USING (document_id) LEFT JOIN ({_LATEST_INDEX}) i USING (document_id) GROUP BY 1"""))
 def _(t):
-    joined = views.tenant_documents(t).join(_latest_jobs(t), "document_id", "left")
-    return joined.groupBy("workspace_id").agg(
-        F.count("*").alias("documents"), F.count_if(F.col("status").isin("QUEUED", "PROCESSING")).alias("processing"),
-        F.count_if(F.col("status") == "COMPLETED").alias("completed"),
-    )
+    j = views.job_events(t)
+    return G.workspace_dashboard(views.tenant_documents(t), j, j.where("attempt % 2 = 1"))
 
 
 @query("D7_document_class", """

@@ -204,6 +204,19 @@ def _(t):
     return m.select("source_node_id", "type", "value")
 
 
+@query("D11_properties_first_wins", with_views("kg_nodes", f"""WITH {_MERGED}
+    SELECT document_id, k AS normalized_key, CAST(arg_min(confidence, node_id) AS VARCHAR) AS value FROM keyed GROUP BY 1, 2"""))
+def _(t):
+    n = G.normalize_nodes(views.kg_nodes(t)).withColumn("properties", F.create_map(F.lit("confidence"), F.col("confidence").cast("string")))
+    return G.merged_properties(n, ["document_id", "normalized_key"], "node_id", first_wins=True).select("document_id", "normalized_key", "value")
+
+
+@query("D11_citation_union", with_views("citations", """
+    SELECT owner_id, document_id, chunk_id, page, min(citation_id) AS citation_id FROM citations GROUP BY owner_id, document_id, chunk_id, quote, page"""))
+def _(t):
+    return G.merge_citations(views.citations(t), ["owner_id"], "citation_id", best=False).drop("quote")
+
+
 # ------------------------------------------------------------------ extraction
 
 _CHUNKS = """cks AS (
