@@ -24,6 +24,8 @@ from docgraph.llm.common import WORD, prefix_sums, stored
 WEIGHTS = (5, 2, 1)
 #: Documents meant for one part of a source.
 PART_ROWS = 4_096
+#: Slots meant for one task.
+TASK_SLOTS = 65_536
 ROUNDS = 6
 #: Walks of a permutation that end outside the indexes less than once in 10^19.
 WALKS = 16
@@ -167,6 +169,8 @@ def draw_slots(spark, live: list[int], expected: list[float], blocks: list[int],
     numbered = numbered.join(size, "s")
     # A draw beyond ``most`` passes over a source stays empty.
     numbered = numbered.withColumn("end", F.least(F.col("first") + F.col("count"), F.col("blocks") * most)).where("end > first")
+    # A few bytes stand for many slots: dealt out by number, as their size would put them all into one task.
+    numbered = numbered.repartition(max(1, -(-total // TASK_SLOTS)), "shard", "s")
     j = numbered.select("shard", "s", "blocks", F.explode(F.sequence(F.col("first"), F.col("end") - 1)).alias("j"))
     j = j.select("shard", "s", "blocks", F.floor(F.col("j") / F.col("blocks")).alias("pass"), (F.col("j") % F.col("blocks")).alias("x"))
     return j.select("shard", "s", "pass", permuted(F.col("x"), F.col("blocks"), seed + 3, F.col("s"), F.col("pass")).alias("block"))
@@ -189,9 +193,14 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     match = F.col("id").eqNullSafe(F.col("of_id")) & (F.col("text_hash") == F.col("of_hash")) & F.col("source").eqNullSafe(F.col("of_source"))
     text = F.col("row")[text_col]
     words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
-    some = F.array_join(F.flatten(F.transform("cut", lambda g: F.slice(words, (g["first"] + 1).cast("int"), g["words"].cast("int")))), " ")
-    # Left unchanged if all words are taken.
-    text = F.when(F.regexp_count(text, F.lit(WORD)) == F.col("n"), text).otherwise(some)
-    out = whole.join(copies, match).withColumn("mixed", text)
+
+    def chosen(w):
+        some = F.transform("cut", lambda g: F.slice(w, (g["first"] + 1).cast("int"), g["words"].cast("int")))
+        # Left unchanged if all words are taken.
+        return F.when(F.size(w) == F.col("n"), text).otherwise(F.array_join(F.flatten(some), " "))
+
+    # A transform of one element: the words are found once, not again for every cut.
+    text_of_copy = F.transform(F.array(words), chosen)[0]
+    out = whole.join(copies, match).withColumn("mixed", text_of_copy)
     columns = [F.col("mixed").alias(c) if c == text_col else F.length("mixed").cast(docs.schema[c].dataType).alias(c) if c == chars_col else F.col("row")[c].alias(c) for c in docs.columns]
     return out.select(*columns)
