@@ -18,13 +18,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docgraph.llm.common import slices
+from docgraph.llm.common import text_parts
 
 #: The piece pattern of byte-level BPE vocabularies.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 NONE = np.int64(1) << 40
 #: Pieces that a task keeps encoded.
-ROOM = 300_000
+ROOM = 150_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -192,8 +192,8 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-#: Characters encoded together.
-BATCH_CHARS = 1_000_000
+#: Bytes encoded together.
+BATCH_BYTES = 1_000_000
 
 
 def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, with_ids: bool = True) -> DataFrame:
@@ -210,12 +210,11 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def run(batches):
         bpe = loaded(where)
         for batch in batches:
-            ids, texts = batch["id"].to_pylist(), [t or "" for t in batch["text"].to_pylist()]
-            for a, b in slices([len(t) for t in texts], BATCH_CHARS):
-                tokens = bpe.encode(texts[a:b])
+            for ids, texts in text_parts(batch, BATCH_BYTES):
+                tokens = bpe.encode(texts)
                 decoded = bpe.decode(tokens)
                 columns = {
-                    "id": pa.array(ids[a:b], pa.int64()),
+                    "id": ids,
                     "n_tokens": pa.array([len(t) for t in tokens], pa.int64()),
                     "ids_sha256": [hashlib.sha256(t.astype("<u4").tobytes()).hexdigest() for t in tokens],
                     "decoded_sha256": [hashlib.sha256(t.encode()).hexdigest() for t in decoded],

@@ -5,6 +5,8 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,6 +42,17 @@ class Numbering(dict):
         return value
 
 
+def text_parts(batch: pa.RecordBatch, most: int):
+    """Consecutive (ids, texts) of a batch with columns ``id`` and ``text``, of about ``most`` bytes each; null texts as empty.
+
+    Only one part at a time becomes Python strings.
+    """
+    sizes = pc.fill_null(pc.binary_length(batch["text"]), 0).to_pylist()
+    for a, b in slices(sizes, most):
+        yield batch["id"].slice(a, b - a), [t or "" for t in batch["text"].slice(a, b - a).to_pylist()]
+    pa.default_memory_pool().release_unused()
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection on 64-bit values that spreads every bit."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

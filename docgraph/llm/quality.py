@@ -15,7 +15,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docgraph.llm.common import hash_words, mixed, slices, split_words
+from docgraph.llm.common import hash_words, mixed, split_words, text_parts
 
 #: (bytes below which the row holds, lowest ratio, highest ratio).  Short texts
 #: carry the cost of a frame and have little to refer back to, so their band lies
@@ -24,8 +24,8 @@ BANDS = ((256, 0.75, 2.5), (1_024, 1.15, 2.8), (4_096, 1.4, 3.2), (16_384, 1.5,
 CHUNK_BYTES = 4_096
 #: Share of a text's chunks that may lie outside their band.
 ODD_CHUNKS = 0.5
-#: Texts measured together hold so many characters.
-BATCH_CHARS = 2_000_000
+#: Texts measured together hold so many bytes.
+BATCH_BYTES = 2_000_000
 BLANK = " \t\n\x0b\x0c\r"
 SYMBOLS = re.compile(r"[#*$%&|<>]")
 
@@ -117,10 +117,9 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lev
     def run(batches):
         compressor = zstandard.ZstdCompressor(level=level)
         for batch in batches:
-            ids, texts = batch["id"], batch["text"].to_pylist()
-            for a, b in slices([len(t or "") for t in texts], BATCH_CHARS):
-                rows = measures(texts[a:b], compressor, bands, chunk_bytes, odd_chunks)
-                columns = {"id": ids[a:b]} | {name: pa.array([r[i] for r in rows], kind) for i, (name, kind) in enumerate(FIELDS)}
+            for ids, texts in text_parts(batch, BATCH_BYTES):
+                rows = measures(texts, compressor, bands, chunk_bytes, odd_chunks)
+                columns = {"id": ids} | {name: pa.array([r[i] for r in rows], kind) for i, (name, kind) in enumerate(FIELDS)}
                 yield pa.RecordBatch.from_pydict(columns)
 
     named = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))

@@ -20,10 +20,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docgraph.llm.common import split_words, stored
+from docgraph.llm.common import split_words, stored, text_parts
 from docgraph.llm.components import components
 
 BITS = 64
+#: Texts that become Python strings together.
+BATCH_BYTES = 2_000_000
 SHINGLE = 3
 
 
@@ -65,8 +67,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches):
         for batch in batches:
-            values = np.array([fingerprint(t, shingle) for t in batch["text"].to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_pydict({"id": batch["id"], "fp": pa.array(values.view(np.int64))})
+            for ids, texts in text_parts(batch, BATCH_BYTES):
+                values = np.array([fingerprint(t, shingle) for t in texts], np.uint64)
+                yield pa.RecordBatch.from_pydict({"id": ids, "fp": pa.array(values.view(np.int64))})
 
     named = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return named.mapInArrow(run, "id long, fp long")

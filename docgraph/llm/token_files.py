@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docgraph.llm.bpe import Places, ranges
-from docgraph.llm.common import slices, stored
+from docgraph.llm.common import stored, text_parts
 from docgraph.session import shared_dir
 
 LANES = 1_024
@@ -195,9 +195,8 @@ def token_rows(docs: DataFrame, id_col: str, text_col: str, path: str) -> DataFr
         encoder = word_encoder(path)
         end = np.array([END_ID], kind).tobytes()
         for batch in batches:
-            ids, texts = batch["id"], [t or "" for t in batch["text"].to_pylist()]
-            for a, b in slices([len(t) for t in texts], 1_000_000):
-                yield pa.RecordBatch.from_pydict({"id": ids[a:b], "ids": pa.array([t.astype(kind).tobytes() + end for t in encoder.encode(texts[a:b])], pa.binary())})
+            for ids, texts in text_parts(batch, 1_000_000):
+                yield pa.RecordBatch.from_pydict({"id": ids, "ids": pa.array([t.astype(kind).tobytes() + end for t in encoder.encode(texts)], pa.binary())})
 
     named = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return named.mapInArrow(run, "id long, ids binary")

@@ -19,11 +19,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docgraph.llm.common import Numbering, slices
+from docgraph.llm.common import Numbering, text_parts
 
 WORDS = re.compile(r"[^\W_]+")
 PREFIXES = (4, 5, 6)
@@ -247,8 +248,8 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", s
     return train([r["text"] for r in rows], np.array([int(r["label"] > 0) for r in rows], np.int64), seed)
 
 
-#: Characters scored together.
-BATCH_CHARS = 1_000_000
+#: Bytes scored together.
+BATCH_BYTES = 1_000_000
 
 
 def score(docs: DataFrame, model: Cnn, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -262,10 +263,9 @@ def score(docs: DataFrame, model: Cnn, id_col: str = "doc_id", text_col: str = "
     def run(batches):
         cnn = shared.value
         for batch in batches:
-            ids, texts = batch["id"], [t or "" for t in batch["text"].to_pylist()]
-            for a, b in slices([len(t) for t in texts], BATCH_CHARS):
-                scores, languages = cnn.scores(texts[a:b])
-                yield pa.RecordBatch.from_pydict({"id": ids[a:b], "score": pa.array(scores), "predicted": pa.array((scores >= CUT).astype(np.int32)), "language": [LANGUAGES[k] for k in languages]})
+            for ids, texts in text_parts(batch, BATCH_BYTES):
+                scores, languages = cnn.scores(texts)
+                yield pa.RecordBatch.from_pydict({"id": ids, "score": pa.array(scores), "predicted": pa.array((scores >= CUT).astype(np.int32)), "language": [LANGUAGES[k] for k in languages]})
 
     named = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return named.mapInArrow(run, "id long, score double, predicted int, language string").withColumnRenamed("id", id_col)
@@ -295,10 +295,14 @@ def without_toxic(docs: DataFrame, model: Cnn, text_col: str = "text") -> DataFr
     def run(batches):
         cnn = shared.value
         for batch in batches:
-            texts = [t or "" for t in batch["text"].to_pylist()]
-            keep = np.concatenate([cnn.scores(texts[a:b])[0] < CUT for a, b in slices([len(t) for t in texts], BATCH_CHARS)]) if texts else np.zeros(0, bool)
-            yield batch.select(["row"]).filter(pa.array(keep, pa.bool_()))
-
-    nested = docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text"))
-    schema = nested.select("row").schema
+            text = pc.struct_field(batch["row"], text_col)
+            parts = text_parts(pa.RecordBatch.from_pydict({"id": pa.nulls(len(text)), "text": text}), BATCH_BYTES)
+            at = 0
+            for _, texts in parts:
+                keep = cnn.scores(texts)[0] < CUT
+                yield batch.slice(at, len(texts)).filter(pa.array(keep, pa.bool_()))
+                at += len(texts)
+
+    nested = docs.select(F.struct("*").alias("row"))
+    schema = nested.schema
     return nested.mapInArrow(run, schema).select("row.*")
