@@ -108,7 +108,7 @@ def edge_id(source: Column, target: Column, kind: Column) -> Column:
 def extract(
     chunks: DataFrame, documents: DataFrame, max_provisions: int | None = None, max_facts: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """I9, with all provisions and facts unless limits are given.  ``chunks``: document_id, chunk_id, chunk_order, content, article, page.
+    """I9, with all provisions and facts unless limits are given; the confidences are fixed values.  ``chunks``: document_id, chunk_id, chunk_order, content, article, page.
     ``documents``: document_id, name.  Returns nodes and edges, one row per mention."""
     filled = chunks.where(X.strip(F.coalesce("content", F.lit(""))) != "")
     counts = chunks.groupBy("document_id").agg(F.count("*").alias("n_chunks"))

@@ -24,6 +24,7 @@ FACTS = {
     ),
 }
 WHOLE_TEXT = "Toàn văn"
+# Sentences of the output; so are those in ``departments`` and ``advice`` below.
 REASONS = {
     "VALUE_CHANGED": "Ngưỡng ngân sách của hồ sơ có thể không còn phù hợp.",
     "RESPONSIBILITY_CHANGED": "Đơn vị có thẩm quyền phê duyệt đã thay đổi.",

@@ -112,6 +112,7 @@ def section_content(classified: DataFrame) -> DataFrame:
     )
 
 
+# Marks of an article and of a clause at a block's start.
 ARTICLE_MARK = r"(?iu)(?<![\p{L}\p{N}_])(?:Điều|Article)\s+\d+[A-Za-z]?(?![\p{L}\p{N}_])"
 CLAUSE_MARK = r"(?iu)^\s*(?:Khoản\s+)?(\d+)\s*[.)]"
 
