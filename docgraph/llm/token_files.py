@@ -19,6 +19,7 @@ import uuid
 import zlib
 from functools import lru_cache
 from itertools import chain
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docgraph.llm.bpe import Places, ranges
+from docgraph.llm.bpe import Places, byte_letters, ranges
 from docgraph.llm.common import stored, text_parts
 from docgraph.session import shared_dir
 
@@ -137,6 +138,11 @@ def tokenizer(path: str):
 ROOM = 700_000
 
 
+LAST_LATIN = "\u024f"
+#: Its lower case is two characters.
+DOTTED_I = "\u0130"
+
+
 class WordEncoder:
     """Ids of texts by a tokenizer that drops white space: the ids of a text are those of its words.
 
@@ -145,6 +151,8 @@ class WordEncoder:
 
     def __init__(self, path: str):
         self.tokenizer = tokenizer(path)
+        self.letters = {b: letter for letter, b in byte_letters().items()}
+        self.marks = {m: self.tokenizer.encode(m, add_special_tokens=False).ids for m in ".,"}
         self.forget()
 
     def forget(self) -> None:
@@ -154,12 +162,30 @@ class WordEncoder:
 
     def learn(self) -> None:
         new, self.place.new = self.place.new, []
+        found: list = [self.plain(word) for word in new]
+        slow = [i for i, ids in enumerate(found) if ids is None]
         # The library's results are large; a few thousand words at a time keep them few.
-        found = [e.ids for i in range(0, len(new), 4_096) for e in self.tokenizer.encode_batch_fast(new[i : i + 4_096], add_special_tokens=False)]
+        for a in range(0, len(slow), 4_096):
+            some = slow[a : a + 4_096]
+            for i, e in zip(some, self.tokenizer.encode_batch_fast([new[i] for i in some], add_special_tokens=False)):
+                found[i] = e.ids
         counts = np.fromiter(map(len, found), np.int64, len(found))
         self.tokens = np.concatenate([self.tokens, np.fromiter(chain.from_iterable(found), np.uint32, int(counts.sum()))])
         self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(counts)])
 
+    def plain(self, word: str) -> list[int] | None:
+        """Ids of Latin letters with at most one mark after them, straight from the library's model; None for other words.
+
+        Such a word is in normal form and one piece, or two with the mark, so
+        lower-casing it and spelling its bytes is all that comes before the model.
+        """
+        core, mark = (word[:-1], self.marks[word[-1]]) if word[-1:] in self.marks else (word, [])
+        if not core.isalpha() or max(core) > LAST_LATIN or DOTTED_I in core or not is_normalized("NFC", core):
+            return None
+        core = core.lower()
+        spelt = core if core.isascii() else "".join([self.letters[b] for b in core.encode()])
+        return [t.id for t in self.tokenizer.model.tokenize(spelt)] + mark
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.place) > ROOM:
             self.forget()
