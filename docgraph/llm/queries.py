@@ -116,7 +116,7 @@ SELECT doc_id, bytes::BIGINT AS bytes, substr(lpad(to_binary(h), 60, '0'), 1, de
 
 @register("op8_extendible_sharding", OP8)
 def op8(spark, folder):
-    return sharding.assign(table(spark, folder, "documents"))
+    return sharding.round_trip(table(spark, folder, "documents"))
 
 
 @register("op9_source_mix")

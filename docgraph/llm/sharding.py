@@ -11,11 +11,14 @@ Rows that share one hash cannot be split by bits; they fill overflow pages.
 from __future__ import annotations
 
 import math
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from docgraph.llm.common import prefix_sums, stored
+from docgraph.session import shared_dir
 
 BITS = 60
 
@@ -43,37 +46,48 @@ def buckets_of(rows: DataFrame, limit: int, begin: int, end: int) -> tuple[DataF
     return directory, cells.join(directory, "cell", "left_anti").select("cell")
 
 
-def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = 1 << 20) -> DataFrame:
-    """Per row: id, ``bytes`` of its text, ``shard`` (its hash bits), ``depth`` and ``page``.
+def places(docs: DataFrame, id_col: str, text_col: str, shard_bytes: int) -> DataFrame:
+    """Each row of ``docs`` as struct ``row``, with its id, ``bytes``, ``shard``, ``depth`` and ``page``.
 
-    Every (shard, page) holds at most ``shard_bytes``, except where one row alone is
-    larger.  ``page`` is above 0 only among rows of one hash (repeated or null ids).
-    A null text has 0 bytes; an empty table gives no rows; other columns are not read.
+    Only sizes and hashes go through the rounds; a row then meets the directory by
+    its own hash, so repeated and null ids stay one row each.  ``docs`` is read
+    again for this and must give the same rows each time.
     """
-    hashed = docs.select(F.col(id_col).alias("id"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("bytes"), key_hash(F.col(id_col)).alias("_hash"))
-    hashed = stored(hashed, "hashed")
-    total = hashed.agg(F.sum("bytes")).first()[0] or 0
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("bytes"), key_hash(F.col(id_col)).alias("_hash"))
+    sizes = stored(rows.select("bytes", "_hash"), "sizes")
+    total = sizes.agg(F.sum("bytes")).first()[0] or 0
     begin, end = 0, min(BITS, 4 + max(0, math.ceil(math.log2(max(1, total / shard_bytes)))))
-    rows, out = hashed, []
+    crowded = (F.col("shard_bytes") > shard_bytes) & (F.col("shard_rows") > 1)
+    columns = ["row", "id", "bytes", "shard", F.col("depth").cast("int"), F.col("page").cast("long")]
+    out = []
     while True:
-        directory, open_cells = buckets_of(rows, shard_bytes, begin, end)
-        directory = stored(directory, "directory")
+        directory, open_cells = buckets_of(sizes, shard_bytes, begin, end)
+        bits = F.substring(F.lpad(F.conv(F.col("prefix").cast("string"), 10, 2), BITS, "0"), F.lit(BITS + 1) - F.col("depth"), F.col("depth"))
+        directory = stored(directory.withColumn("shard", F.when(F.col("depth") == 0, "").otherwise(bits)).drop("prefix"), "directory")
         cell = F.shiftright("_hash", BITS - end)
-        out.append(rows.join(directory, cell == F.col("cell")).drop("cell"))
+        out.append(rows.join(directory.where(~crowded), cell == F.col("cell")).withColumn("page", F.lit(0)).select(*columns))
+        full = directory.where(crowded)
+        if not full.isEmpty():
+            out.append(pages(rows.join(full, cell == F.col("cell")), shard_bytes).select(*columns))
         open_cells = stored(open_cells, "open-cells")
         if open_cells.isEmpty():
             break
-        rows = stored(rows.join(open_cells, cell == F.col("cell"), "left_semi"), "open-rows")
+        sizes = stored(sizes.join(open_cells, cell == F.col("cell"), "left_semi"), "open-sizes")
         begin, end = end + 1, min(BITS, end + 8)
-    settled = out[0]
+    placed = out[0]
     for more in out[1:]:
-        settled = settled.unionByName(more)
-    shard = F.substring(F.lpad(F.conv(F.col("prefix").cast("string"), 10, 2), BITS, "0"), F.lit(BITS + 1) - F.col("depth"), F.col("depth"))
-    named = settled.select("id", "bytes", "_hash", F.when(F.col("depth") == 0, "").otherwise(shard).alias("shard"), F.col("depth").cast("int"), "shard_bytes", "shard_rows")
-    crowded = (F.col("shard_bytes") > shard_bytes) & (F.col("shard_rows") > 1)
-    columns = [F.col("id").alias(id_col), "bytes", "shard", "depth", F.col("page").cast("long")]
-    calm = named.where(~crowded).withColumn("page", F.lit(0)).select(*columns)
-    return calm.unionByName(pages(named.where(crowded), shard_bytes).select(*columns))
+        placed = placed.unionByName(more)
+    return placed
+
+
+def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = 1 << 20) -> DataFrame:
+    """Per row: id, ``bytes`` of its text, ``shard`` (its hash bits), ``depth`` and ``page``.
+
+    Every (shard, page) holds at most ``shard_bytes``, except where one row alone is
+    larger.  ``page`` is above 0 only among rows of one hash (repeated or null ids).
+    A null text has 0 bytes; an empty table gives no rows.
+    """
+    return places(docs, id_col, text_col, shard_bytes).select(F.col("id").alias(id_col), "bytes", "shard", "depth", "page")
 
 
 def pages(rows: DataFrame, limit: int) -> DataFrame:
@@ -81,16 +95,36 @@ def pages(rows: DataFrame, limit: int) -> DataFrame:
     half = max(1, limit // 2)
     numbered = stored(rows.withColumn("_row", F.monotonically_increasing_id()), "crowded")
     large = F.col("bytes") > half
-    weighed = numbered.withColumn("_small", F.when(large, 0).otherwise(F.col("bytes"))).withColumn("_large", F.when(large, 1).otherwise(0))
+    weighed = numbered.select("_row", "shard", "bytes", F.when(large, 0).otherwise(F.col("bytes")).alias("_small"), F.when(large, 1).otherwise(0).alias("_large"))
     weighed = prefix_sums(weighed, ["shard"], "_row", "_small", "_bytes_before")
     weighed = prefix_sums(weighed, ["shard"], "_row", "_large", "_large_before")
     small_page = F.floor(F.col("_bytes_before") / half)
     # Pages of large rows have odd numbers, the others even ones, so that neither depends on the other's count.
-    return weighed.withColumn("page", F.when(large, 2 * F.col("_large_before") + 1).otherwise(2 * small_page))
+    page = F.when(large, 2 * F.col("_large_before") + 1).otherwise(2 * small_page)
+    return numbered.join(weighed.select("_row", page.alias("page")), "_row")
 
 
 def write_shards(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = 1 << 20) -> None:
-    """Writes the rows of ``docs`` (of unique ids) into one folder per (shard, page)."""
-    places = assign(docs, id_col, text_col, shard_bytes).select(F.col(id_col).alias("_id"), F.col("shard").alias("_shard"), F.col("page").alias("_page"))
-    placed = docs.join(places, docs[id_col].eqNullSafe(places["_id"])).drop("_id")
+    """Writes every row of ``docs``, with all its columns, into one folder per (shard, page).
+
+    A folder is named by ``b`` and the hash bits, which no reader takes for a number.
+    """
+    placed = places(docs, id_col, text_col, shard_bytes)
+    placed = placed.select("row.*", F.concat(F.lit("b"), "shard").alias("_shard"), F.col("page").alias("_page"))
     placed.repartition("_shard", "_page").write.partitionBy("_shard", "_page").parquet(path)
+
+
+def read_shards(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """Rows of the given schema as ``write_shards`` wrote them, with ``shard`` (hash bits) and ``page`` of the folder each lies in, as struct ``row``."""
+    names = [F.col(f"`{f.name}`") for f in schema]
+    found = spark.read.schema(StructType([*schema, StructField("_shard", StringType()), StructField("_page", LongType())])).parquet(path)
+    return found.select(F.struct(*names).alias("row"), F.substring("_shard", 2, BITS).alias("shard"), F.col("_page").alias("page"))
+
+
+def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = 1 << 20) -> DataFrame:
+    """Writes the shards and gives, per row read back from them: id, ``bytes``, ``shard``, ``depth`` and ``page``."""
+    path = f"{shared_dir(docs.sparkSession)}/shards-{uuid.uuid4().hex}"
+    write_shards(docs, path, id_col, text_col, shard_bytes)
+    text = F.coalesce(F.octet_length(F.col("row")[text_col]), F.lit(0)).cast("long")
+    back = read_shards(docs.sparkSession, path, docs.schema)
+    return back.select(F.col("row")[id_col].alias(id_col), text.alias("bytes"), "shard", F.length("shard").cast("int").alias("depth"), "page")

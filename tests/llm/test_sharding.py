@@ -51,5 +51,28 @@ def test_written_shards(docs, tmp_path, spark):
     assert all((r["b"] or 0) <= 20_000 or r["n"] == 1 for r in sizes)
 
 
+def test_rows_read_back_from_shards(docs, tmp_path, spark):
+    for limit in (900, 20_000, 10**9):
+        path = str(tmp_path / f"shards-{limit}")
+        S.write_shards(docs, path, shard_bytes=limit)
+        back = S.read_shards(spark, path, docs.schema)
+        assert sorted(map(repr, back.select("row.*").collect())) == sorted(map(repr, docs.collect()))
+        plain = back.select("row.doc_id", F.coalesce(F.octet_length("row.text"), F.lit(0)).alias("bytes"), "shard", F.length("shard").alias("depth"), "page")
+        check([(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()], plain.collect(), limit)
+
+
+def test_null_and_repeated_ids_are_written_once_each(spark, tmp_path):
+    rows = [(None, f"null {i} " * 5) for i in range(60)] + [(7, f"seven {i} " * 5) for i in range(40)] + [(i, "y" * 30) for i in range(100, 180)] + [(8, None), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    S.write_shards(df, str(tmp_path / "shards"), shard_bytes=300)
+    back = spark.read.parquet(str(tmp_path / "shards"))
+    assert sorted(map(repr, back.select("doc_id", "text").collect())) == sorted(map(repr, df.collect()))
+    check(rows, S.round_trip(df, shard_bytes=300).collect(), 300)
+
+
+def test_empty_round_trip(no_docs):
+    assert S.round_trip(no_docs).collect() == []
+
+
 def test_empty_table(no_docs):
     assert S.assign(no_docs).collect() == []
