@@ -270,24 +270,41 @@ def citations(t: Tables) -> DataFrame:
 
 
 SHINGLE = 6
+#: Characters of a word that may be cut which enter a key.
+EDGE = 8
 
 
 def passage_hits(t: Tables) -> DataFrame:
     """Documents that hold a benchmark passage.
 
-    The inner words of the passage are whole words of the document too, so one
-    word shingle of each passage meets all shingles of the documents in an equi
-    join; ``contains`` then decides.
+    The inner words of a passage are whole words of the document too, so up to six
+    of them, as one shingle, meet the documents' shingles of as many words in an
+    equi join.  Two words have none between them and meet neighbouring words by the
+    end of the first and the beginning of the second; a single word meets pieces of
+    words.  Only the shapes that occur are built; ``contains`` then decides.
     """
-    key = lambda words, i: F.xxhash64(F.array_join(F.slice(words, i, SHINGLE), " "))
-    words = lambda c: F.split(c, r"\s+")
-    items = t.benchmark.select("item_id", F.col("text").alias("quote"), key(words("text"), F.lit(2)).alias("key"))
-    texts = t.documents.select("doc_id", "text", words("text").alias("words"))
-    last = F.greatest(F.size("words") - SHINGLE + 1, F.lit(1))
-    keyed = texts.select(
-        "doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: key(F.col("words"), i)))).alias("key")
-    )
-    found = keyed.select("doc_id", "key").join(items, "key")
+    words = F.split("text", r"\s+")
+    item = t.benchmark.where("text is not null").select("item_id", F.col("text").alias("quote"), words.alias("w"))
+    item = item.withColumn("kind", F.least(F.size("w"), F.lit(SHINGLE + 2)))
+    first, second = F.get("w", F.lit(0)), F.get("w", F.lit(1))
+    item = item.withColumn("a", F.when(F.col("kind") <= 2, F.least(F.length(first), F.lit(EDGE))).otherwise(0))
+    item = item.withColumn("b", F.when(F.col("kind") == 2, F.least(F.length(second), F.lit(EDGE))).otherwise(0))
+    kind, a, b = F.col("kind"), F.col("a"), F.col("b")
+    pair = lambda x, y: F.concat(F.right(x, a), F.lit(" "), F.left(y, b))
+    run = lambda w, i: F.array_join(F.slice(w, i, kind - 2), " ")
+    key = F.when(kind >= 3, run("w", F.lit(2))).when(kind == 2, pair(first, second)).otherwise(F.left(first, a))
+    items = item.select("item_id", "quote", "kind", "a", "b", F.xxhash64("kind", key).alias("key"))
+
+    def steps(last, of):
+        return F.when(last >= 1, F.transform(F.sequence(F.lit(1), last), of)).otherwise(F.array().cast("array<string>"))
+
+    shaped = t.documents.select("doc_id", words.alias("w")).crossJoin(F.broadcast(items.select("kind", "a", "b").distinct()))
+    runs = steps(F.size("w") - kind + 3, lambda i: run("w", i))
+    pairs = steps(F.size("w") - 1, lambda i: pair(F.get("w", i - 1), F.get("w", i)))
+    pieces = F.flatten(F.transform("w", lambda x: steps(F.length(x) - a + 1, lambda i: F.substring(x, i, a))))
+    keys = F.when(kind >= 3, runs).when(kind == 2, pairs).otherwise(pieces)
+    keyed = shaped.select("doc_id", F.explode(F.array_distinct(F.transform(keys, lambda x: F.xxhash64(kind, x)))).alias("key"))
+    found = keyed.join(items.select("item_id", "quote", "key"), "key")
     return (
         found.join(t.documents.select("doc_id", "text"), "doc_id")
         .where(F.col("text").contains(F.col("quote"))).select("item_id", "doc_id").distinct()
