@@ -47,5 +47,33 @@ def test_odd_chunks_reject_a_text_that_is_fine_as_a_whole():
     assert row[10] > 0 and not row[6]
 
 
+def noise(rng, size, letters=20):
+    return " ".join(base64.b64encode(rng.randbytes(letters * 3 // 4)).decode() for _ in range(size // (letters + 1) + 1))[:size]
+
+
+def prose(rng, size):
+    syllables = ["the", "re", "on", "ti", "an", "s", "ed", "in", "or", "al", "ment", "com", "pro", "ver", "st", "qu"]
+    vocabulary = ["".join(rng.choices(syllables, k=rng.randint(1, 4))) for _ in range(2_000)]
+    return " ".join(rng.choices(vocabulary, [1 / (i + 1) for i in range(2_000)], k=size // 3 + 1))[:size]
+
+
+def test_noise_and_prose_at_several_lengths():
+    rng = random.Random(11)
+    for size in (300, 450, 511, 512, 700, 900, 1_023, 1_024, 2_000, 4_095, 4_100, 4_360, 9_000, 40_000, 100_000):
+        rows = Q.measures([prose(rng, size)] + [noise(rng, size, letters) for letters in (8, 12, 20)], zstandard.ZstdCompressor(level=3))
+        assert [r[6] for r in rows] == [True, False, False, False], size
+
+
+def test_noise_in_part_of_a_long_text():
+    rng = random.Random(12)
+    for size in (40_000, 100_000):
+        for share in (0.2, 0.3, 0.45, 0.5):
+            cut = int(size * share)
+            text = prose(rng, size - cut)
+            for mixed in (text + noise(rng, cut), noise(rng, cut) + text, text[: cut // 2] + noise(rng, cut) + text[cut // 2 :]):
+                row = Q.measures([mixed], zstandard.ZstdCompressor(level=3))[0]
+                assert not row[5] and not row[6], (size, share, row)
+
+
 def test_empty_table(no_docs):
     assert Q.quality(no_docs).collect() == []
