@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docgraph.llm import bpe, fill_middle, metric_search, mixing, pii, quality, sharding, simhash, substring_dedup, token_files, toxicity
+from docgraph.llm import bpe, fill_middle, metric_search, minhash, mixing, pii, quality, sharding, simhash, substring_dedup, token_files, toxicity
 
 QUERIES = {}
 SQL = {}
@@ -158,3 +158,26 @@ def op12(spark, folder):
     made = fill_middle.fill_in_middle(table(spark, folder, "documents"))
     restored = fill_middle.restore(F.col("output"), F.col("form"))
     return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored, 256).alias("restored_sha256"))
+
+
+OP13 = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s FROM words
+), shingles AS (
+  SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets
+), links AS (
+  SELECT a.doc_id AS p, b.doc_id AS q FROM shingles a JOIN shingles b USING (x) WHERE a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), reach(doc_id, r) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT reach.doc_id, q FROM reach JOIN links ON r = p
+)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, min(r) AS component_id, doc_id = min(r) AS kept FROM sets JOIN reach USING (doc_id) GROUP BY doc_id, s
+"""
+
+
+@register("op13_minhash_stars", OP13)
+def op13(spark, folder):
+    return minhash.near_duplicates(table(spark, folder, "documents"))
