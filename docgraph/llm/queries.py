@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docgraph.llm import bpe, fill_middle, metric_search, minhash, mixing, pii, quality, sharding, simhash, substring_dedup, token_files, toxicity
+from docgraph.llm import bpe, fill_middle, metric_search, minhash, mixing, pii, quality, sharding, simhash, spelling, substring_dedup, token_files, toxicity
 
 QUERIES = {}
 SQL = {}
@@ -130,6 +130,51 @@ def op10(spark, folder):
     return quality.quality(table(spark, folder, "documents"))
 
 
+def crc_table() -> list[int]:
+    """The table of CRC-32, by its polynomial."""
+    table = list(range(256))
+    for _ in range(8):
+        table = [c >> 1 ^ (0xEDB88320 if c & 1 else 0) for c in table]
+    return table
+
+
+OP11 = f"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, run, count(*) AS k FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\\x{{C0}}-\\x{{FF}}]+')) AS run FROM documents
+  ) WHERE length(run) >= 6 GROUP BY doc_id, run
+), hexed AS (
+  SELECT run, k, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS x FROM runs
+), hashed AS (
+  SELECT run, k, xor(list_reduce(list_transform(range(1, length(x) // 2 + 1), lambda i: ('0x' || substring(x, 2 * i - 1, 2))::BIGINT),
+    lambda c, b: xor(c >> 8, {crc_table()}[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) AS h FROM hexed
+), spelt AS (
+  SELECT CASE WHEN h % 199 = 0 THEN substring(run, 1, h % length(run)) || substring(run, h % length(run) + 2) ELSE run END AS word, k FROM hashed
+), vocabulary AS (
+  SELECT word, sum(k)::BIGINT AS n FROM spelt WHERE length(word) >= 6 GROUP BY word HAVING sum(k) >= 5
+), cuts AS (
+  SELECT word, i, substring(word, 1, i - 1) || substring(word, i + 1) AS cut FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM vocabulary)
+), near AS (
+  SELECT a.word AS a, b.word AS b FROM cuts a JOIN cuts b ON a.cut = b.cut AND a.i = b.i AND a.word <> b.word
+  UNION SELECT cuts.word, v.word FROM cuts JOIN vocabulary v ON cut = v.word
+  UNION SELECT v.word, cuts.word FROM cuts JOIN vocabulary v ON cut = v.word
+), ranked AS (
+  SELECT a, b, v.n, count(*) OVER (PARTITION BY a) AS n_near, row_number() OVER (PARTITION BY a ORDER BY v.n DESC, b) AS place FROM near JOIN vocabulary v ON b = v.word
+), found AS (
+  SELECT word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN r.n >= 5 * v.n THEN b END AS form, CASE WHEN r.n >= 5 * v.n THEN r.n END AS form_n
+  FROM vocabulary v LEFT JOIN ranked r ON a = word AND place = 1
+), walk AS (
+  SELECT word, word AS last, form AS next FROM found UNION ALL SELECT walk.word, next, found.form FROM walk JOIN found ON next = found.word
+)
+SELECT word, form, last AS root, n, n_near, form_n FROM found JOIN walk USING (word) WHERE next IS NULL
+"""
+
+
+@register("op11_spelling_variants", OP11)
+def op11(spark, folder):
+    return spelling.variants(table(spark, folder, "documents"))
+
+
 OP12 = r"""
 WITH tokens AS (
   SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h,
