@@ -137,11 +137,26 @@ def summary_gate(items: DataFrame, checks: DataFrame) -> DataFrame:
     return joined.withColumn("rejected_reason", reason).drop("codes")
 
 
-def region_text(blocks: DataFrame, regions: DataFrame) -> DataFrame:
-    """Blocks that touch a region of their page; rows, and their mean confidence."""
+def region_text(blocks: DataFrame, regions: DataFrame, cell: float = 64.0) -> DataFrame:
+    """Blocks that touch a region of their page, a row per block and region.
+
+    A page is a grid of square cells.  Blocks and regions meet on the cells that they
+    cover, so a page with many of both is many keys; a pair that shares several cells is
+    taken in the first one only, and the boxes then decide.
+    """
+
+    def covered(df: DataFrame, box: str, prefix: str) -> DataFrame:
+        first, last = (lambda c: F.floor(F.col(box)[c] / cell)), F.greatest
+        lows = {f"{prefix}_x": first("x1"), f"{prefix}_y": first("y1")}
+        xs = F.sequence(first("x1"), last(first("x1"), first("x2")))
+        ys = F.sequence(first("y1"), last(first("y1"), first("y2")))
+        return df.withColumns(lows).withColumn("cell_x", F.explode(xs)).withColumn("cell_y", F.explode(ys))
+
+    met = covered(blocks, "bbox", "b").join(covered(regions, "region", "r"), ["document_id", "page_index", "cell_x", "cell_y"])
+    once = (F.col("cell_x") == F.greatest("b_x", "r_x")) & (F.col("cell_y") == F.greatest("b_y", "r_y"))
     b, r = F.col("bbox"), F.col("region")
     apart = (b["x2"] < r["x1"]) | (b["x1"] > r["x2"]) | (b["y2"] < r["y1"]) | (b["y1"] > r["y2"])
-    return blocks.join(regions, ["document_id", "page_index"]).where(~apart)
+    return met.where(once & ~apart).drop("cell_x", "cell_y", "b_x", "b_y", "r_x", "r_y")
 
 
 def region_summary(touching: DataFrame, regions: DataFrame) -> DataFrame:

@@ -399,3 +399,23 @@ def impacts_of(found: DataFrame, listed: DataFrame, *, version_id=None, project_
         wanted = listed.where(X.fold(F.col("department")) == X.fold(F.lit(department)))
         found = found.join(wanted.select("impact_id"), "impact_id", "left_semi")
     return found
+
+
+def versions_with_documents(versions: DataFrame, documents: DataFrame, workspaces: list | None = None) -> DataFrame:
+    """Versions with the number of versions of their family and the columns of its document.
+
+    ``documents``: family_id and more.  With ``workspaces`` only versions of those tenants
+    are returned; a family is still counted whole.
+    """
+    families = versions.groupBy("family_id").agg(F.count("*").alias("versions"))
+    asked = versions if workspaces is None else versions.where(F.col("workspace_id").isin(workspaces))
+    return asked.join(families, "family_id").join(documents, "family_id")
+
+
+def first_sections(sections: DataFrame, keep: int | None = None, quote_chars: int | None = None) -> DataFrame:
+    """The sections of a version as its evidence, ``location`` and ``quote``; with ``keep`` only the first ones."""
+    from docgraph.operators.ordered import top_per_key
+
+    first = sections if keep is None else top_per_key(sections, ["version_id"], [F.col("ord"), F.col("part")], keep)
+    quote = F.col("content") if quote_chars is None else F.substring("content", 1, quote_chars)
+    return first.select("version_id", "ord", "part", F.col("legal_location").alias("location"), quote.alias("quote"))

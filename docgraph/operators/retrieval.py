@@ -135,6 +135,20 @@ def with_quotes(hits: DataFrame, chunks: DataFrame, questions: DataFrame) -> Dat
     ).drop("content", "q")
 
 
+def keyword_overlaps(chunks: DataFrame, questions: DataFrame) -> DataFrame:
+    """G1: of every question and chunk that share a term, the share of the question's terms found.
+
+    Distinct terms meet in an equi join and are counted per pair on the map side; only
+    terms that a question has leave the chunks.  Pairs without a common term score 0 and are left out.
+    """
+    asked = questions.select("question_id", F.explode(X.terms(F.col("question"))).alias("term"))
+    sizes = asked.groupBy("question_id").agg(F.count("*").alias("terms"))
+    held = chunks.select("chunk_id", F.explode(X.terms(F.col("content"))).alias("term"))
+    held = held.join(asked.select("term").distinct(), "term", "left_semi")
+    shared = held.join(asked, "term").groupBy("question_id", "chunk_id").agg(F.count("*").alias("shared"))
+    return shared.join(sizes, "question_id").select("question_id", "chunk_id", (F.col("shared") / F.col("terms")).alias("score"))
+
+
 def build_queries(questions: DataFrame) -> DataFrame:
     """The query texts of a question, its own first.  ``questions``: question_id,
     question, document_count."""

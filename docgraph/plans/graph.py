@@ -112,8 +112,8 @@ def _(t):
 
 
 @query("B4_graph_view", with_views("kg_nodes kg_edges", """
-    SELECT e.edge_id FROM kg_edges e WHERE e.source_node_id IN (SELECT node_id FROM kg_nodes WHERE contains(lower(name), '9'))
-      AND e.target_node_id IN (SELECT node_id FROM kg_nodes WHERE contains(lower(name), '9'))"""))
+    WITH shown AS MATERIALIZED (SELECT DISTINCT node_id FROM kg_nodes WHERE contains(lower(name), '9'))
+    SELECT e.edge_id FROM kg_edges e SEMI JOIN shown s ON e.source_node_id = s.node_id SEMI JOIN shown d ON e.target_node_id = d.node_id"""))
 def _(t):
     _, e = G.visible(views.kg_nodes(t), views.kg_edges(t), None, "9")
     return e.select("edge_id")
@@ -333,50 +333,53 @@ def _(t):
     return c.select("citation_id", C.bbox_inside(F.col("page"), F.col("box"), F.col("anchors")).alias("inside"))
 
 
-_FLAGS = "flags AS (SELECT 'flag-' || i AS flag_id, CASE WHEN i % 3 = 0 THEN 'MEDIUM' WHEN i % 3 = 1 THEN 'HIGH' ELSE 'CRITICAL' END AS severity FROM (SELECT DISTINCT item_id % 9 AS i FROM benchmark))"
+# A flag per cited document (modulo 50) and kind of copy, and some without any citation.
+_FLAGS = """flags AS (SELECT 'flag-' || (n % 50) || '-' || copy AS flag_id, CASE WHEN n % 3 = 0 THEN 'MEDIUM' WHEN n % 3 = 1 THEN 'HIGH' ELSE 'CRITICAL' END AS severity
+    FROM (SELECT DISTINCT expected_document_id % 50 AS n, copy FROM citations)
+    UNION ALL SELECT DISTINCT 'bare-' || (item_id % 9), 'HIGH' FROM benchmark)"""
 
 
 def _flags(t):
-    return t.benchmark.selectExpr("item_id % 9 i").distinct().selectExpr(
-        "concat('flag-', i) flag_id", "case i % 3 when 0 then 'MEDIUM' when 1 then 'HIGH' else 'CRITICAL' end severity", "'OPEN' status"
+    cited = views.citations(t).selectExpr("expected_document_id % 50 n", "copy").distinct().selectExpr(
+        "concat('flag-', n, '-', copy) flag_id", "case n % 3 when 0 then 'MEDIUM' when 1 then 'HIGH' else 'CRITICAL' end severity", "'OPEN' status"
     )
+    return cited.unionByName(t.benchmark.selectExpr("concat('bare-', item_id % 9) flag_id", "'HIGH' severity", "'OPEN' status").distinct())
 
 
 @query("I13_publication_gate", with_views("citation_checks", "WITH " + _FLAGS + """
     SELECT f.flag_id, CASE WHEN severity = 'MEDIUM' THEN 'OPEN' WHEN ok AND severity = 'HIGH' THEN 'VERIFIED' ELSE 'SUPPRESSED' END AS status,
       CASE WHEN severity = 'MEDIUM' THEN NULL WHEN NOT coalesce(ok, false) THEN 'Insufficient or invalid citation evidence'
         WHEN severity = 'HIGH' THEN 'checked' ELSE 'Verifier omitted this flag' END AS verification_reason
-    FROM flags f LEFT JOIN (SELECT owner_id, bool_and(issues = '' OR citation_id NOT LIKE '%-0') AS ok FROM citation_checks
-      WHERE citation_id LIKE '%-0' OR citation_id LIKE '%-1' GROUP BY 1) c ON c.owner_id = f.flag_id"""))
+    FROM flags f LEFT JOIN (SELECT 'flag-' || (expected_document_id % 50) || '-' || copy AS flag_id, bool_and(issues = '') AS ok FROM citation_checks GROUP BY 1) c USING (flag_id)"""))
 def _(t):
-    # Wrong-document copies are taken out, as a reviewer would.
-    checks = _checks(t).where("citation_id like '%-0'")
+    checks = _checks(t).withColumn("owner_id", F.expr("concat('flag-', expected_document_id % 50, '-', copy)"))
     decisions = _flags(t).where("severity = 'HIGH'").selectExpr(
         "flag_id", "true verified", "true evidence_sufficient", "'checked' reason"
     )
     return C.publication_gate(_flags(t), checks, decisions).select("flag_id", "status", "verification_reason")
 
 
+# A question per citation, wrong copies too.
 _QUESTIONS = """qs AS (
-    SELECT item_id % 13 AS document_id, 'c-' || item_id || '-0' AS question_id, item_id AS nth, 'flag-' || (item_id % 7) AS issue_type,
+    SELECT item_id % 13 AS document_id, citation_id AS question_id, item_id * 5 + copy AS nth, 'flag-' || (item_id % 7) AS issue_type,
       CASE WHEN item_id % 4 = 0 THEN 'HIGH' ELSE 'LOW' END AS severity,
-      CASE WHEN item_id % 11 = 0 THEN 'Nội dung' ELSE 'thời hạn ' || item_id END AS subject, 'Vì sao thời gian ' || item_id AS question FROM benchmark)"""
+      CASE WHEN item_id % 11 = 0 THEN 'Nội dung' ELSE 'thời hạn ' || item_id END AS subject, 'Vì sao thời gian ' || item_id AS question FROM citations)"""
 
 
-def _question_inputs(t):
-    q = t.benchmark.selectExpr(
-        "item_id % 13 document_id", "concat('c-', item_id, '-0') question_id", "item_id nth",
+def _questions(t):
+    return views.citations(t).selectExpr(
+        "item_id % 13 document_id", "citation_id question_id", "item_id * 5 + copy nth",
         "concat('flag-', item_id % 7) issue_type", "if(item_id % 4 = 0, 'HIGH', 'LOW') severity",
         "if(item_id % 11 = 0, 'Nội dung', concat('thời hạn ', item_id)) related_subject",
         "concat('Vì sao thời gian ', item_id) question", "'thời' reason",
     )
-    f = t.benchmark.selectExpr("item_id").distinct().selectExpr(
+
+
+def _question_flags(t):
+    return t.benchmark.select("item_id").distinct().selectExpr(
         "item_id % 13 document_id", "concat('flag-', item_id % 7) issue_type", "concat('f-', item_id) flag_id",
         "if(item_id % 4 = 0, 'HIGH', 'LOW') severity", "item_id",
     )
-    checks = _checks(t).where("citation_id like '%-0'").withColumn("owner_id", F.col("citation_id"))
-    links = f.join(checks.selectExpr("cast(split(citation_id, '-')[1] as bigint) item_id", "chunk_id"), "item_id").select("flag_id", "chunk_id")
-    return q, f.drop("item_id"), links, checks
 
 
 @query("I14_valid_questions", with_views("citation_checks", "WITH " + _QUESTIONS + """,
@@ -384,23 +387,25 @@ def _question_inputs(t):
     SELECT p.document_id, p.question_id, p.severity FROM qs p JOIN worst w USING (document_id, issue_type) JOIN citation_checks c ON c.citation_id = p.question_id
     WHERE p.severity = CASE WHEN w.high THEN 'HIGH' ELSE 'LOW' END AND c.issues = '' AND p.subject <> 'Nội dung' """))
 def _(t):
-    return C.valid_questions(*_question_inputs(t)).select("document_id", "question_id", "severity")
+    checks, flags = _checks(t), _question_flags(t)
+    backed = flags.join(checks.select("item_id", "chunk_id"), "item_id").select("flag_id", "chunk_id")
+    own = checks.withColumn("owner_id", F.col("citation_id"))
+    return C.valid_questions(_questions(t), flags.drop("item_id"), backed, own).select("document_id", "question_id", "severity")
 
 
-@query("F11_first_questions", with_views("lines", "WITH " + _QUESTIONS + """
+@query("F11_first_questions", with_views("citations", "WITH " + _QUESTIONS + """
     SELECT document_id, question_id FROM qs QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY nth) <= 5"""))
 def _(t):
     from docgraph.operators.ordered import top_per_key
 
-    q, *_ = _question_inputs(t)
-    return top_per_key(q, ["document_id"], ["nth"], 5).select("document_id", "question_id")
+    return top_per_key(_questions(t), ["document_id"], ["nth"], 5).select("document_id", "question_id")
 
 
-@query("C21_question_flag_severity", with_views("lines", "WITH " + _QUESTIONS + """,
+@query("C21_question_flag_severity", with_views("citations", "WITH " + _QUESTIONS + """,
     worst AS (SELECT item_id % 13 AS document_id, 'flag-' || (item_id % 7) AS issue_type, bool_or(item_id % 4 = 0) AS high FROM benchmark GROUP BY 1, 2)
     SELECT question_id, severity = CASE WHEN high THEN 'HIGH' ELSE 'LOW' END AS agrees FROM qs JOIN worst USING (document_id, issue_type)"""))
 def _(t):
-    q, f, *_ = _question_inputs(t)
+    q, f = _questions(t), _question_flags(t)
     worst = f.groupBy("document_id", "issue_type").agg(F.max(X.rank_of(F.col("severity"))).alias("w"))
     return q.join(worst, ["document_id", "issue_type"]).select(
         "question_id", (X.rank_of(F.col("severity")) == F.col("w")).alias("agrees")
@@ -484,12 +489,12 @@ def _(t):
 
 @query("C16_region_text", with_views("legal_blocks", """
     SELECT 'r-' || r.document_id || '-' || r.page_index AS region_id, coalesce(t.txt, '') AS text, round(coalesce(t.c, 0), 9) AS average_confidence
-    FROM (SELECT DISTINCT document_id, page_index FROM legal_blocks WHERE document_id % 3 = 0) r
+    FROM (SELECT DISTINCT document_id, page_index FROM legal_blocks) r
     LEFT JOIN (SELECT document_id, page_index, string_agg(text, chr(10) ORDER BY order_index) AS txt, avg(confidence) AS c
       FROM legal_blocks WHERE y1 + 12 >= 100 AND y1 <= 300 GROUP BY 1, 2) t USING (document_id, page_index)"""))
 def _(t):
     b = views.legal_blocks(t)
-    regions = b.where("document_id % 3 = 0").select("document_id", "page_index").distinct().selectExpr(
+    regions = b.select("document_id", "page_index").distinct().selectExpr(
         "document_id", "page_index", "concat('r-', document_id, '-', page_index) region_id",
         "struct(0.0D x1, 100.0D y1, 50.0D x2, 300.0D y2) region",
     )
@@ -508,10 +513,9 @@ def _(t):
 
 
 @query("I11_graph_validation", with_views("kg_nodes kg_edges", """
-    WITH bad AS (SELECT edge_id FROM kg_edges WHERE source_node_id NOT IN (SELECT node_id FROM kg_nodes) OR target_node_id NOT IN (SELECT node_id FROM kg_nodes)
-        OR (importance IN ('HIGH', 'CRITICAL') AND confidence < 0.7)),
-      good AS (SELECT node_id FROM kg_nodes WHERE importance NOT IN ('HIGH', 'CRITICAL') OR confidence >= 0.7)
-    SELECT edge_id FROM kg_edges WHERE edge_id NOT IN (SELECT edge_id FROM bad) AND source_node_id IN (SELECT node_id FROM good) AND target_node_id IN (SELECT node_id FROM good)"""))
+    WITH good AS MATERIALIZED (SELECT node_id FROM kg_nodes WHERE importance NOT IN ('HIGH', 'CRITICAL') OR confidence >= 0.7)
+    SELECT edge_id FROM kg_edges e SEMI JOIN good s ON e.source_node_id = s.node_id SEMI JOIN good d ON e.target_node_id = d.node_id
+    WHERE e.importance NOT IN ('HIGH', 'CRITICAL') OR e.confidence >= 0.7"""))
 def _(t):
     n, e = t.stored("kg_nodes", views.kg_nodes), t.stored("kg_edges", views.kg_edges)
     elements = n.selectExpr("'NODE' element_type", "node_id element_id", "importance", "confidence").unionByName(

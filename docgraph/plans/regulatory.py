@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from docgraph.functions import text as X
 from docgraph.operators import regulatory as R
 from docgraph.operators import structure
-from docgraph.operators.ordered import top_per_key
 from docgraph.plans.registry import query
 from docgraph.session import cut_lineage
 from docgraph.sources import views
@@ -47,17 +46,12 @@ def _(t):
 
 
 @query("C2_version_family_document", with_views("reg_versions", """
-    SELECT v.version_id, v.family_id, f.versions, d.n AS document_rows FROM reg_versions v
+    SELECT v.version_id, v.family_id, f.versions, p_size AS document_rows FROM reg_versions v
     JOIN (SELECT family_id, count(*) AS versions FROM reg_versions GROUP BY 1) f USING (family_id)
-    JOIN (SELECT p_partkey, p_size AS n FROM part WHERE p_size % 2 = 0) d ON d.p_partkey = v.family_id
-    WHERE v.workspace_id < 50"""))
+    JOIN part ON p_partkey = v.family_id"""))
 def _(t):
-    v = views.reg_versions(t)
-    families = v.groupBy("family_id").agg(F.count("*").alias("versions"))
-    documents = t.part.where("p_size % 2 = 0").selectExpr("p_partkey family_id", "p_size document_rows")
-    return v.where("workspace_id < 50").join(families, "family_id").join(documents, "family_id").select(
-        "version_id", "family_id", "versions", "document_rows"
-    )
+    documents = t.part.selectExpr("p_partkey family_id", "p_size document_rows")
+    return R.versions_with_documents(views.reg_versions(t), documents).select("version_id", "family_id", "versions", "document_rows")
 
 
 _FACT_SQL = """SELECT version_id, 'approval_threshold' AS fact_key, threshold AS value, 'Điều 1' AS location FROM reg_facts
@@ -320,10 +314,10 @@ def _(t):
 
 
 @query("E17_first_sections_as_evidence", with_views("reg_versions", """
-    SELECT version_id, 'Mở đầu' AS location, 'Phần mở đầu của văn bản' AS quote FROM reg_versions
-    UNION ALL SELECT version_id, 'Điều 1', regexp_extract(raw_text, '\\n(Ngưỡng phê[^\\n]*)', 1) FROM reg_versions"""))
+    WITH sections AS (SELECT version_id, 0 AS n, 'Mở đầu' AS location, 'Phần mở đầu của văn bản' AS content FROM reg_versions
+    UNION ALL SELECT version_id, 1, 'Điều 1', regexp_extract(raw_text, '\\n(Ngưỡng phê[^\\n]*)', 1) FROM reg_versions
+    UNION ALL SELECT version_id, 2, 'Điều 2', coalesce(nullif(regexp_extract(raw_text, '\\n(Thời hạn báo cáo[^\\n]*)', 1), ''), 'Điều 2') FROM reg_versions
+    UNION ALL SELECT version_id, 3, 'Khoản 1, Điều 2', regexp_extract(raw_text, 'Khoản 1. Thẩm quyền\\n((?s:.)*)$', 1) FROM reg_versions)
+    SELECT version_id, location, substr(content, 1, 300) AS quote FROM sections QUALIFY row_number() OVER (PARTITION BY version_id ORDER BY n) <= 5"""))
 def _(t):
-    s = structure.legal_locations(views.reg_versions(t))
-    return top_per_key(s, ["version_id"], ["ord", "part"], 2).select(
-        "version_id", F.col("legal_location").alias("location"), F.substring("content", 1, 300).alias("quote")
-    )
+    return R.first_sections(structure.legal_locations(views.reg_versions(t)), keep=5, quote_chars=300).select("version_id", "location", "quote")

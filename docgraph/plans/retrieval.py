@@ -191,13 +191,12 @@ def _(t):
 
 
 @query("G1_keyword_overlap", f"""
-    SELECT item_id, doc_id, round(len(list_intersect({_at(_TERM, 'b.text')}, {_at(_TERM, 'd.text')})) / greatest(len({_at(_TERM, 'b.text')}), 1), 6) AS score
-    FROM benchmark b JOIN documents d ON d.doc_id % 40 = b.item_id % 40""")
+    SELECT item_id, doc_id, round(shared / terms, 6) AS score FROM (
+      SELECT item_id, doc_id, len(list_intersect(q, d)) AS shared, len(q) AS terms
+      FROM (SELECT item_id, {_at(_TERM, 'text')} AS q FROM benchmark) CROSS JOIN (SELECT doc_id, {_at(_TERM, 'text')} AS d FROM documents)) WHERE shared > 0""")
 def _(t):
-    b = t.benchmark.selectExpr("item_id", "text q", "item_id % 40 k")
-    return t.documents.selectExpr("doc_id", "text", "doc_id % 40 k").join(b, "k").select(
-        "item_id", "doc_id", F.round(V.keyword_score(X.terms(F.col("q")), F.col("text")), 6).alias("score")
-    )
+    found = Q.keyword_overlaps(_chunks(t), _questions(t))
+    return found.select(F.col("question_id").alias("item_id"), F.col("chunk_id").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
 @query("F8_multi_query_merge", f"""WITH {_LEXICAL}

@@ -250,7 +250,7 @@ def audit_events(t: Tables) -> DataFrame:
 
 
 def citations(t: Tables) -> DataFrame:
-    """V9: benchmark passages cited from documents, with wrong pages and documents mixed in."""
+    """V9: benchmark passages cited from documents; ``copy`` 0 is right where the passage is found, 1 to 4 name a wrong document, page, article or chunk."""
     total = t.documents.agg(F.count("*").alias("n_docs")).withColumn("one", F.lit(1))
     marked = t.benchmark.withColumn("one", F.lit(1)).join(F.broadcast(total), "one")
     cited = marked.selectExpr(
@@ -260,7 +260,7 @@ def citations(t: Tables) -> DataFrame:
         passage_hits(t).groupBy("item_id").agg(F.min("doc_id").alias("hit_id"))
     )
     return cited.join(found, "item_id", "left").selectExpr(
-        "concat('c-', item_id, '-', i) citation_id", "concat('flag-', item_id % 7) owner_id", "quote",
+        "concat('c-', item_id, '-', i) citation_id", "item_id", "i copy", "concat('flag-', item_id % 7) owner_id", "quote",
         "coalesce(hit_id, item_id) + if(i = 1, 1, 0) document_id",
         "concat('ck-', coalesce(hit_id, item_id) + if(i = 4, n_docs, 0)) chunk_id",
         "coalesce(hit_id, item_id) expected_document_id",
@@ -549,7 +549,7 @@ VIEWS_SQL: dict[str, tuple[tuple[str, ...], str]] = {
     "passage_hits": ((), """
         SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)"""),
     "citations": (("passage_hits",), """
-        SELECT 'c-' || b.item_id || '-' || i AS citation_id, 'flag-' || (b.item_id % 7) AS owner_id, b.text AS quote,
+        SELECT 'c-' || b.item_id || '-' || i AS citation_id, b.item_id, i AS copy, 'flag-' || (b.item_id % 7) AS owner_id, b.text AS quote,
           coalesce(hit_id, b.item_id) + CASE WHEN i = 1 THEN 1 ELSE 0 END AS document_id,
           'ck-' || (coalesce(hit_id, b.item_id) + CASE WHEN i = 4 THEN (SELECT count(*) FROM documents) ELSE 0 END) AS chunk_id,
           coalesce(hit_id, b.item_id) AS expected_document_id, CASE WHEN i = 2 THEN 7 ELSE 0 END AS page,
