@@ -56,7 +56,16 @@ class ByteBpe:
             self.byte_id[b] = vocab[letter]
         merges = [m.split(" ") if isinstance(m, str) else m for m in content["model"]["merges"]]
         self.size = np.int64(size)
-        keys = np.array([vocab[a] * size + vocab[b] for a, b in merges], np.int64)
+        self.take_merges(vocab, merges)
+        self.pattern = regex.compile(PIECES)
+        lengths = np.array([len(b) for b in self.bytes_of])
+        self.byte_starts = np.concatenate([[0], np.cumsum(lengths)])
+        self.all_bytes = np.frombuffer(b"".join(self.bytes_of), np.uint8)
+        self.forget()
+
+    def take_merges(self, vocab: dict[str, int], merges: list) -> None:
+        """Sorts the pairs by their key, for binary search."""
+        keys = np.array([vocab[a] * self.size + vocab[b] for a, b in merges], np.int64)
         order = np.argsort(keys)
         self.pair_keys = keys[order]
         self.pair_ranks = order.astype(np.int64)
@@ -66,11 +75,6 @@ class ByteBpe:
         late = any(rank_of.get(vocab[x], -1) > r for r, pair in enumerate(merges) for x in pair)
         if late or len(rank_of) < len(merges):
             raise ValueError("a merge comes before the merges of its parts; merging all places at once would differ")
-        self.pattern = regex.compile(PIECES)
-        lengths = np.array([len(b) for b in self.bytes_of])
-        self.byte_starts = np.concatenate([[0], np.cumsum(lengths)])
-        self.all_bytes = np.frombuffer(b"".join(self.bytes_of), np.uint8)
-        self.forget()
 
     def forget(self) -> None:
         """Empties the store of encoded pieces, but for the added tokens."""
@@ -90,7 +94,10 @@ class ByteBpe:
         """Tokens of all pieces in one array, and how many each has."""
         lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
         symbols = self.byte_id[np.frombuffer(b"".join(pieces), np.uint8)]
-        piece = np.repeat(np.arange(len(pieces)), lengths)
+        return self.merged(symbols, np.repeat(np.arange(len(pieces)), lengths), len(pieces))
+
+    def merged(self, symbols: np.ndarray, piece: np.ndarray, n_pieces: int) -> tuple[np.ndarray, np.ndarray]:
+        """The same for first symbols and the ascending numbers of their pieces; ``symbols`` is used up."""
         rank, made = self.ranked(symbols, piece, np.arange(len(symbols)))
         ended: list[tuple[np.ndarray, np.ndarray]] = []
         while len(symbols):
@@ -115,7 +122,7 @@ class ByteBpe:
             if len(at):
                 rank[at], made[at] = self.ranked(symbols, piece, at)
         of, tokens = (np.concatenate(x) for x in zip(*ended)) if ended else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        return tokens[np.argsort(of, kind="stable")].astype(np.uint32), np.bincount(of, minlength=len(pieces))
+        return tokens[np.argsort(of, kind="stable")].astype(np.uint32), np.bincount(of, minlength=n_pieces)
 
     def learn(self) -> None:
         """Encodes the pieces that have got a place since the last time."""

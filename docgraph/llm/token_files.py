@@ -14,6 +14,7 @@ a CRC-32 covers the payload and another one the ids.
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
 import zlib
@@ -27,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docgraph.llm.bpe import Places, byte_letters, ranges
+from docgraph.llm.bpe import ByteBpe, Places, byte_letters, ranges
 from docgraph.llm.common import stored, text_parts
 from docgraph.session import shared_dir
 
@@ -136,6 +137,8 @@ def tokenizer(path: str):
 
 #: Words whose ids a Python worker keeps, about 200 bytes each.
 ROOM = 700_000
+#: Characters of them.
+ROOM_CHARS = 20_000_000
 
 
 LAST_LATIN = "\u024f"
@@ -143,59 +146,129 @@ LAST_LATIN = "\u024f"
 DOTTED_I = "\u0130"
 
 
+# What comes before the model in the vocabularies that ``WordEncoder`` knows.
+NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+PRE_TOKENIZERS = ["Split", "ByteLevel"]
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+#: Marks whose run after letters is a piece of its own; an apostrophe may begin an ending, and the others an added token.
+MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in "'<|>")
+IS_MARK = np.zeros(256, bool)
+IS_MARK[[ord(c) for c in MARKS]] = True
+
+
+def latin(word: str) -> bytes | None:
+    """The lower case of Latin letters in normal form, marks after them included; None for other words."""
+    core = word.rstrip(MARKS)
+    if not core.isalpha() or max(core) > LAST_LATIN or DOTTED_I in core or not is_normalized("NFC", core):
+        return None
+    return word.lower().encode()
+
+
+class WordMerges(ByteBpe):
+    """The merges of a vocabulary whose last symbol of a piece has a suffix."""
+
+    def __init__(self, content: dict):
+        model = content["model"]
+        kinds = [n["type"] for n in content["normalizer"]["normalizers"]], [p["type"] for p in content["pre_tokenizer"]["pretokenizers"]]
+        split = content["pre_tokenizer"]["pretokenizers"][0]
+        if kinds != (NORMALIZERS, PRE_TOKENIZERS) or split["pattern"]["Regex"] != SPLIT or not model["end_of_word_suffix"] or model["ignore_merges"]:
+            raise ValueError("another normalizer, pre-tokenizer or model than is known here")
+        vocab, suffix = model["vocab"], model["end_of_word_suffix"]
+        self.size = np.int64(1 + max(vocab.values()))
+        self.byte_id, self.last_id = np.zeros(256, np.int64), np.zeros(256, np.int64)
+        for letter, b in byte_letters().items():
+            self.byte_id[b], self.last_id[b] = vocab[letter], vocab[letter + suffix]
+        self.take_merges(vocab, [m.split(" ") if isinstance(m, str) else m for m in model["merges"]])
+
+    def encode_words(self, code: np.ndarray, lengths: np.ndarray, tails: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of all words, whose bytes lie one after the other, and how many each has.
+
+        The last ``tails`` bytes of a word are marks; after letters they are a piece of their own.
+        """
+        last = np.cumsum(lengths) - 1
+        two = (tails > 0) & (tails < lengths)
+        end = np.zeros(len(code), bool)
+        end[last] = True
+        end[(last - tails)[two]] = True
+        symbols = np.where(end, self.last_id[code], self.byte_id[code])
+        tokens, counts = self.merged(symbols, np.cumsum(end) - end, int(end.sum()))
+        return tokens, np.add.reduceat(counts, np.cumsum(1 + two) - 1 - two) if len(lengths) else counts
+
+
 class WordEncoder:
     """Ids of texts by a tokenizer that drops white space: the ids of a text are those of its words.
 
-    The library encodes each word once; texts are then put together from the stored ids.
+    Each new word is encoded once: those of Latin letters with marks after them, a piece
+    of their own, by batched merge rounds, all others by the library.  Texts are then put
+    together from the stored ids.
     """
 
     def __init__(self, path: str):
         self.tokenizer = tokenizer(path)
-        self.letters = {b: letter for letter, b in byte_letters().items()}
-        self.marks = {m: self.tokenizer.encode(m, add_special_tokens=False).ids for m in ".,"}
+        with open(path, encoding="utf-8") as file:
+            self.merges = WordMerges(json.load(file))
         self.forget()
 
     def forget(self) -> None:
         self.place = Places([])
         self.tokens = np.zeros(0, np.uint32)
-        self.starts = np.zeros(1, np.int64)
+        self.starts = self.counts = np.zeros(0, np.int64)
+        self.held = 0
+
+    def keep(self, places: np.ndarray, tokens: np.ndarray, counts: np.ndarray) -> None:
+        """Stores the tokens of the words of some places."""
+        self.counts[places] = counts
+        self.starts[places] = len(self.tokens) + np.cumsum(counts) - counts
+        self.tokens = np.concatenate([self.tokens, tokens]).astype(np.uint32)
 
     def learn(self) -> None:
         new, self.place.new = self.place.new, []
-        found: list = [self.plain(word) for word in new]
-        slow = [i for i, ids in enumerate(found) if ids is None]
+        first = len(self.counts)
+        self.starts, self.counts = (np.append(x, np.zeros(len(new), np.int64)) for x in (self.starts, self.counts))
+        lengths = np.fromiter(map(len, new), np.int64, len(new))
+        self.held += int(lengths.sum())
+        plain = np.fromiter(map(str.isascii, new), bool, len(new)) & (lengths > 0)
+        at = np.flatnonzero(plain)
+        code = np.frombuffer("".join([new[i] for i in at.tolist()]).lower().encode(), np.uint8)
+        if len(at):
+            size = lengths[at]
+            ends = np.cumsum(size)
+            starts = np.cumsum(size) - size
+            letter = (code >= ord("a")) & (code <= ord("z"))
+            letters = np.add.reduceat(letter, starts, dtype=np.int64)
+            marks = np.add.reduceat(IS_MARK[code], starts, dtype=np.int64)
+            last = np.maximum.reduceat(np.where(letter, np.arange(len(code)), -1), starts)
+            easy = (letters + marks == size) & ((letters == 0) | (last - starts + 1 == letters))
+            self.keep(first + at[easy], *self.merges.encode_words(code[np.repeat(easy, size)], size[easy], marks[easy]))
+            plain[at[~easy]] = False
+        rest = np.flatnonzero(~plain & (lengths > 0)).tolist()
+        accented = [(i, core) for i in rest if (core := latin(new[i]))]
+        if accented:
+            cores = [core for _, core in accented]
+            sizes = np.fromiter(map(len, cores), np.int64, len(cores))
+            of = np.array([i for i, _ in accented])
+            code = np.frombuffer(b"".join(cores), np.uint8)
+            marks = np.add.reduceat(IS_MARK[code], np.cumsum(sizes) - sizes, dtype=np.int64)
+            self.keep(first + of, *self.merges.encode_words(code, sizes, marks))
+        known = {i for i, _ in accented}
+        slow = [i for i in rest if i not in known]
         # The library's results are large; a few thousand words at a time keep them few.
         for a in range(0, len(slow), 4_096):
-            some = slow[a : a + 4_096]
-            for i, e in zip(some, self.tokenizer.encode_batch_fast([new[i] for i in some], add_special_tokens=False)):
-                found[i] = e.ids
-        counts = np.fromiter(map(len, found), np.int64, len(found))
-        self.tokens = np.concatenate([self.tokens, np.fromiter(chain.from_iterable(found), np.uint32, int(counts.sum()))])
-        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(counts)])
-
-    def plain(self, word: str) -> list[int] | None:
-        """Ids of Latin letters with at most one mark after them, straight from the library's model; None for other words.
-
-        Such a word is in normal form and one piece, or two with the mark, so
-        lower-casing it and spelling its bytes is all that comes before the model.
-        """
-        core, mark = (word[:-1], self.marks[word[-1]]) if word[-1:] in self.marks else (word, [])
-        if not core.isalpha() or max(core) > LAST_LATIN or DOTTED_I in core or not is_normalized("NFC", core):
-            return None
-        core = core.lower()
-        spelt = core if core.isascii() else "".join([self.letters[b] for b in core.encode()])
-        return [t.id for t in self.tokenizer.model.tokenize(spelt)] + mark
+            found = [e.ids for e in self.tokenizer.encode_batch_fast([new[i] for i in slow[a : a + 4_096]], add_special_tokens=False)]
+            self.keep(first + np.array(slow[a : a + 4_096]), np.array(list(chain.from_iterable(found)), np.uint32), np.fromiter(map(len, found), np.int64, len(found)))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.place) > ROOM:
+        if len(self.place) > ROOM or self.held > ROOM_CHARS:
             self.forget()
         places = []
         for text in texts:
-            words = text.split(" ")
+            words = text.replace("\n", " ").split(" ")
             places.append(np.fromiter(map(self.place.__getitem__, words), np.int64, len(words)))
         self.learn()
         at = np.concatenate(places) if places else np.zeros(0, np.int64)
-        counts = np.diff(self.starts)[at]
+        counts = self.counts[at]
         tokens = self.tokens[ranges(self.starts[at], counts)]
         ends = np.concatenate([[0], np.cumsum(counts)])[np.cumsum([0, *map(len, places)])]
         return [tokens[a:b] for a, b in zip(ends[:-1], ends[1:])]
@@ -214,7 +287,11 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
 
 
 def token_rows(docs: DataFrame, id_col: str, text_col: str, path: str) -> DataFrame:
-    """id and ids (binary, unsigned integers of ``width(path)``) with the end id."""
+    """id and ids (binary, unsigned integers of ``width(path)``) with the end id.
+
+    The first row of every part also has the ids of the part with their counts, so that
+    the shared frequencies need no second pass over all ids.
+    """
     kind = width(path)
 
     def run(batches):
@@ -222,10 +299,17 @@ def token_rows(docs: DataFrame, id_col: str, text_col: str, path: str) -> DataFr
         end = np.array([END_ID], kind).tobytes()
         for batch in batches:
             for ids, texts in text_parts(batch, 1_000_000):
-                yield pa.RecordBatch.from_pydict({"id": ids, "ids": pa.array([t.astype(kind).tobytes() + end for t in encoder.encode(texts)], pa.binary())})
+                tokens = encoder.encode(texts)
+                met = np.bincount(np.concatenate([*tokens, np.full(len(tokens), END_ID, np.uint32)]))
+                used = np.flatnonzero(met)
+                rest = [None] * (len(tokens) - 1)
+                yield pa.RecordBatch.from_pydict({
+                    "id": ids, "ids": pa.array([t.astype(kind).tobytes() + end for t in tokens], pa.binary()),
+                    "met": pa.array([used, *rest], pa.list_(pa.int64())), "times": pa.array([met[used], *rest], pa.list_(pa.int64())),
+                })
 
     named = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return named.mapInArrow(run, "id long, ids binary")
+    return named.mapInArrow(run, "id long, ids binary, met array<long>, times array<long>")
 
 
 def width(path: str) -> str:
@@ -237,21 +321,6 @@ def as_ids(value, kind: str) -> np.ndarray:
     return np.frombuffer(value.as_buffer(), kind)
 
 
-def count_ids(kind: str):
-    def run(batches):
-        counts = np.zeros(0, np.int64)
-        for batch in batches:
-            for ids in batch["ids"]:
-                new = np.bincount(as_ids(ids, kind))
-                if len(new) > len(counts):
-                    counts = np.append(counts, np.zeros(len(new) - len(counts), np.int64))
-                counts[: len(new)] += new
-        used = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_pydict({"token": pa.array(used, pa.int64()), "n": pa.array(counts[used], pa.int64())})
-
-    return run
-
-
 BLOCK = "shard long, number long, n_ids long, documents binary, lengths binary, payload binary, states binary, places binary, payload_crc long, ids_crc long"
 NO_ID = np.iinfo(np.int64).min
 
@@ -289,20 +358,23 @@ def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
 
     Shards are ranges of ids of about ``shard_rows`` documents.  Null ids come first;
     a null or empty text is the end id alone; rows of one id lie side by side, in the
-    order of their token ids' bytes.  An empty table gives a file set without blocks.
+    order of a hash of their token ids.  An empty table gives a file set without blocks.
     Other columns are not read.
     """
     spark = docs.sparkSession
     where = vocabulary_path or vocabulary()
     kind = width(where)
-    tokens = stored(token_rows(docs, id_col, text_col, where), "tokens")
-    counts = tokens.select("ids").mapInArrow(count_ids(kind), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    tokens = stored(token_rows(docs, id_col, text_col, where).withColumn("no", F.monotonically_increasing_id()), "tokens")
+    listed = tokens.where("met IS NOT NULL").select(F.explode(F.arrays_zip("met", "times")).alias("c")).select("c.met", "c.times")
+    counts = listed.groupBy(F.col("met").alias("token")).agg(F.sum("times").alias("n"))
     symbols, freq = quantised({r["token"]: r["n"] for r in counts.collect()})  # at most one row for each id of the vocabulary
     table = spark.createDataFrame([(int(s), int(f)) for s, f in zip(symbols, freq)], "token long, freq long")
     table.coalesce(1).write.parquet(f"{path}/frequencies")
     shards = max(1, -(-tokens.count() // shard_rows))
     # The number of a partition by range is the rank of its ids among the partitions.
-    ordered = tokens.repartitionByRange(shards, "id").sortWithinPartitions("id", "ids")
+    # Equal rows are told apart by number, so that many of them are not one partition.
+    placed = tokens.select("id", "ids", F.xxhash64("ids").alias("h"), "no")
+    ordered = placed.repartitionByRange(shards, "id", "h", "no").sortWithinPartitions("id", "h", "ids", "no").select("id", "ids")
     ordered.mapInArrow(blocks_of(symbols, freq, kind), BLOCK).write.parquet(f"{path}/blocks")
 
 

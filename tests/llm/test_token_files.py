@@ -63,6 +63,7 @@ def test_words_equal_whole_texts(library):
     odd += ["".join(chr(rng.choice([32, 32, 0x3A3, rng.randint(0, 0x36F), rng.randint(0, 0xD7FF), rng.randint(0xE000, 0x1FFFF)])) for _ in range(50)) for _ in range(300)]
     odd += ["".join(rng.choice("aBzÉéßÀÿŒœĲıİſŽǄǅȺɐ.,'") for _ in range(rng.randint(1, 6))) + " " for _ in range(3_000)]
     odd += [" ".join(chr(c) + end for c in range(0x20, 0x260)) for end in ("", "a", ".", ",,", "A,")]
+    odd += ["".join(rng.choice("abÉ.,*%_<|>'!1") for _ in range(rng.randint(1, 7))) + rng.choice([" ", "\n", "\t"]) for _ in range(3_000)]
     for text, found in zip(odd, R.WordEncoder(R.vocabulary()).encode(odd)):
         assert found.tolist() == library.encode(text, add_special_tokens=False).ids
 
