@@ -14,6 +14,7 @@ that its language's threshold comes to lie at ``CUT``.
 
 from __future__ import annotations
 
+import pickle
 import re
 from dataclasses import dataclass
 
@@ -21,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docgraph.llm.common import Numbering, text_parts
@@ -32,8 +33,9 @@ DIMENSIONS = 8
 FILTERS = 8
 WIDTHS = (1, 2, 3)
 CUT = 0.3
-#: Bound of the labelled rows that are sent to the driver to fit the model.
+#: Bounds of the labelled rows that one task fits the model on: how many, and the bytes of all their texts.
 SAMPLE_ROWS = 6_000
+SAMPLE_BYTES = 64 << 20
 #: A feature is kept if it is met in so many sampled texts.
 LEAST_TEXTS = 2
 FUNCTION_WORDS = {
@@ -237,15 +239,31 @@ def best_threshold(scores: np.ndarray, labels: np.ndarray, other: float) -> floa
     return float(np.clip((s[at] + below) / 2, 0.02, 0.98))
 
 
-def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS, seed: int = 5) -> Cnn:
+def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES, seed: int = 5) -> Cnn:
     """Fits on at most ``sample_rows`` rows with a label, those with the smallest hash of their text.
 
+    Rows are taken whole until their texts come to ``sample_bytes``.  One task trains on this
+    bounded sample, so neither texts nor training pass through the driver, which gets the weights only.
     Rows without a label are not used; a null text counts as empty.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = labelled.where(F.col(label_col).isNotNull()).select(text.alias("text"), F.col(label_col).cast("int").alias("label"), F.xxhash64(F.lit(seed), text).alias("h"))
-    rows = rows.orderBy("h", "label", "text").limit(sample_rows).collect()
-    return train([r["text"] for r in rows], np.array([int(r["label"] > 0) for r in rows], np.int64), seed)
+    order = ["h", "label", "text"]
+    sample = rows.orderBy(*order).limit(sample_rows)
+    so_far = F.sum(F.octet_length("text")).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))  # of a bounded sample
+    sample = sample.select("*", so_far.alias("bytes")).where(F.col("bytes") <= sample_bytes)
+
+    def run(batches):
+        texts, labels = [], []
+        for batch in batches:
+            texts += batch["text"].to_pylist()
+            labels += batch["label"].to_pylist()
+        model = train(texts, np.array(labels, np.int64) > 0, seed)
+        yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(model)], pa.binary())})
+
+    # One partition, the bounded sample: an empty one gives a model too.
+    trained = sample.select("text", "label").coalesce(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(trained[0]["model"]) if trained else train([], np.zeros(0, np.int64), seed)
 
 
 #: Bytes scored together.
