@@ -11,9 +11,13 @@ Texts of equal shingle sets are one class from the start.  A bucket asks only fo
 the pairs of a centre and its members, a star.  Centres are the members that meet
 most others in all their buckets, so a text and its many edited copies form one
 star.  Links are confirmed on the full sets.  A centre whose star is done leaves the
-bucket, and a bucket is done when its members are one component; what is left gets
-twice as many centres in the next round.  So every pair of a bucket is compared or
-joined by other links, and no bucket spells out its pairs at once.
+bucket, and a bucket is done when its members are one component.
+
+What ``STAR_ROUNDS`` stars leave open gets an exact way, so that no bucket spells out
+its pairs: the shingles of each set in ascending order of how many of the open sets hold
+them.  Two sets that link must share a shingle so far ahead in both orders that enough
+others can follow (a prefix filter), and sets with enough shingles of their own meet
+nobody.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docgraph.llm.common import mixed, stored, text_parts
@@ -32,6 +36,7 @@ BANDS = 32
 ROWS_PER_BAND = 4
 #: Texts that become Python strings together.
 BATCH_BYTES = 2_000_000
+STAR_ROUNDS = 2
 #: Members of a star that are compared with one copy of its centre.
 STAR_PIECE = 512
 
@@ -160,28 +165,76 @@ def class_roots(classes: DataFrame, docs: DataFrame, text_col: str, shingle: int
     texts = stored(once.join(wanted, "text_key").select("class", "text"), "near-texts")
 
     roots = None
-    centres_per_key = 1
-    while True:
-        spread = open_.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-        open_ = open_.join(spread, "key")
-        order = Window.partitionBy("key").orderBy(F.desc("weight"), "class")
-        centres = open_.withColumn("place", F.row_number().over(order)).where(F.col("place") <= centres_per_key)
-        centres = stored(centres.select("key", F.col("class").alias("centre"), F.col("n").alias("centre_n"), F.col("root").alias("centre_root")), "near-centres")
-        if not centres.limit(1).count():
-            return roots
-        size_fits = F.least("n", "centre_n") * 100 >= F.greatest("n", "centre_n") * percent
-        pairs = open_.join(centres, "key").where((F.col("root") != F.col("centre_root")) & size_fits)
+
+    def joined(links, open_):
+        """Roots with new links, and the entries with the new roots."""
+        known = links if roots is None else links.union(roots.select(F.col("node").alias("x"), F.col("root").alias("y")))
+        found = stored(components(known), "near-roots")
+        of = found.select(F.col("node").alias("class"), F.col("root").alias("new_root"))
+        return found, open_.join(of, "class", "left").withColumn("root", F.coalesce("new_root", "root")).drop("new_root")
+
+    for _ in range(STAR_ROUNDS):
+        open_ = still_open(open_)
+        first = F.min(F.struct((-F.col("weight")).alias("minus"), F.col("class"), F.col("n"), F.col("root"))).alias("c")
+        centres = open_.groupBy("key").agg(first).select("key", F.col("c.class").alias("centre"), F.col("c.n").alias("centre_n"), F.col("c.root").alias("centre_root"))
+        pairs = open_.join(centres, "key").where((F.col("root") != F.col("centre_root")) & may_link(F.col("n"), F.col("centre_n"), percent))
         pairs = stored(pairs.select("centre", F.col("class").alias("member")).distinct(), "near-pairs")
         links = stored(confirmed(pairs, texts, shingle, percent), "near-links")
-        gone = centres.select("key", F.col("centre").alias("class"))
-        left = open_.join(gone, ["key", "class"], "left_anti")
+        open_ = open_.join(centres.select("key", F.col("centre").alias("class")), ["key", "class"], "left_anti")
         if links.limit(1).count():
-            known = links if roots is None else links.union(roots.select(F.col("node").alias("x"), F.col("root").alias("y")))
-            roots = stored(components(known), "near-roots")
-            of = roots.select(F.col("node").alias("class"), F.col("root").alias("new_root"))
-            left = left.join(of, "class", "left").withColumn("root", F.coalesce("new_root", "root")).drop("new_root")
-        open_ = stored(left.select("key", "class", "n", "weight", "root"), "near-entries")
-        centres_per_key *= 2
+            roots, open_ = joined(links, open_)
+        open_ = stored(open_, "near-entries")
+    rest = stored(still_open(open_).select("class", "n", "root").distinct(), "near-rest")
+    pairs = stored(prefix_pairs(rest, texts, shingle, percent), "near-pairs")
+    links = stored(confirmed(pairs, texts, shingle, percent), "near-links")
+    if links.limit(1).count():
+        roots, _ = joined(links, open_)
+    return roots
+
+
+def still_open(entries: DataFrame) -> DataFrame:
+    """The entries of buckets with more than one component."""
+    spread = entries.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+    return entries.join(spread, "key")
+
+
+def may_link(a: Column, b: Column, percent: int) -> Column:
+    """Whether sets of these sizes can be similar enough."""
+    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
+
+
+def prefix_pairs(rest: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(centre, member): all pairs of classes of different roots that can link, by a prefix filter.
+
+    ``rest``: class, n, root.  A set's shingles are ordered by the number of classes that hold
+    them, then by hash.  If the first common shingle of two sets has the places i and j
+    in them, they share n1 - i and n2 - j shingles at most.  Shingles that one class
+    alone holds come first in its order and are counted, not shuffled.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for ids, parts in text_parts(pa.RecordBatch.from_pydict({"id": batch["class"], "text": batch["text"]}), BATCH_BYTES):
+                hashes = [np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, shingle_set(t, shingle))), ">i8").astype(np.int64) for t in parts]
+                sizes = [len(h) for h in hashes]
+                yield pa.RecordBatch.from_pydict({"class": pa.array(np.repeat(ids.to_numpy(), sizes), pa.int64()), "h": pa.array(np.concatenate(hashes), pa.int64())})
+
+    held = stored(texts.join(rest, "class", "left_semi").select("class", "text").mapInArrow(run, "class long, h long"), "near-shingles")
+    common = held.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
+    shared = held.join(common, "h").join(rest, "class")
+    rank = F.row_number().over(Window.partitionBy("class").orderBy("df", "h"))
+    own = F.col("n") - F.count("*").over(Window.partitionBy("class"))  # shingles of this class alone
+    placed = shared.withColumn("place", own + rank - 1).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100))
+    placed = stored(placed.select("h", "class", "n", "root", "place"), "near-prefixes")
+    # Only pairs of different roots are asked for; of a shingle's largest root, members meet those of the others only.
+    by_root = placed.groupBy("h", "root").agg(F.count("*").alias("members"))
+    major = by_root.groupBy("h").agg(F.max_by("root", F.struct("members", "root")).alias("major"), F.count("*").alias("roots")).where("roots > 1")
+    many = placed.join(major.select("h", "major"), "h")
+    left = many.where("root <> major").select("h", F.col("class").alias("a"), F.col("n").alias("n1"), F.col("root").alias("r1"), F.col("place").alias("i"))
+    right = many.select("h", F.col("class").alias("b"), F.col("n").alias("n2"), F.col("root").alias("r2"), F.col("place").alias("j"))
+    needed = F.ceil((F.col("n1") + F.col("n2")) * percent / (100 + percent))
+    fits = (F.col("r1") != F.col("r2")) & (F.col("n1") - F.col("i") >= needed) & (F.col("n2") - F.col("j") >= needed) & may_link(F.col("n1"), F.col("n2"), percent)
+    return left.join(right, (left["h"] == right["h"]) & fits).select(F.least("a", "b").alias("centre"), F.greatest("a", "b").alias("member")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = 80, bands: int = BANDS, rows_per_band: int = ROWS_PER_BAND) -> DataFrame:

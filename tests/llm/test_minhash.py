@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from docgraph.llm import minhash as M
@@ -75,9 +76,11 @@ def test_every_link_of_a_group_of_edited_copies_is_found(spark):
     assert Counter(tuple(r) for r in M.near_duplicates(df).collect()) == want
 
 
-def test_star_pieces_and_a_bucket_of_unlinked_texts(spark, monkeypatch):
-    """Bands of one bin put texts of little similarity into common buckets, so several rounds are needed."""
+@pytest.mark.parametrize("stars", [0, 2])
+def test_star_pieces_and_a_bucket_of_unlinked_texts(spark, monkeypatch, stars):
+    """Bands of one bin put texts of little similarity into common buckets, so that the prefix filter finds most links."""
     monkeypatch.setattr(M, "STAR_PIECE", 3)
+    monkeypatch.setattr(M, "STAR_ROUNDS", stars)
     rng = random.Random(9)
     base = [f"w{k}" for k in range(100)]
     rows = [(k, edited(rng, base, 4 if k < 12 else 14)) for k in range(40)]
