@@ -10,35 +10,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docgraph.functions import text as X
+from docgraph.operators import lexical
+from docgraph.operators.lexical import PHRASE_BONUS, query_tokens, token_frequencies
 from docgraph.operators.ordered import top_per_key
 from docgraph.operators.vectors import keyword_score
 from docgraph.session import cut_lineage
 
-PHRASE_BONUS = 0.15
 ON_FAILURE = 0.7
 
 
-def query_tokens(questions: DataFrame) -> DataFrame:
-    """Rows (question_id, token, n) of the questions."""
-    listed = questions.select("question_id", F.explode(X.tokens(F.col("question"))).alias("token"))
-    return listed.groupBy("question_id", "token").agg(F.count("*").alias("n"))
-
-
-def token_frequencies(chunks: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows (chunk_id, token, tf) of the tokens anyone asks for."""
-    listed = chunks.select("chunk_id", F.explode(X.tokens(F.col("content"))).alias("token"))
-    return listed.join(wanted.select("token").distinct(), "token", "left_semi").groupBy("chunk_id", "token").agg(
-        F.count("*").alias("tf")
-    )
-
-
 def document_frequencies(frequencies: DataFrame) -> DataFrame:
     """D6."""
     return frequencies.groupBy("token").agg(F.count("*").alias("df"))
 
 
 def lexical_scores(chunks: DataFrame, questions: DataFrame) -> DataFrame:
-    """Every question and chunk that share a token, with their score.
+    """Every question and chunk that share a token, with their score; for the best chunks see ``lexical``.
 
     The chunk norm runs over the question's tokens only.  Postings meet the
     question tokens in one equi join and are summed per pair on the map side.
@@ -76,19 +63,9 @@ def lexical_scores(chunks: DataFrame, questions: DataFrame) -> DataFrame:
 
 
 def lexical_top_k(chunks: DataFrame, questions: DataFrame, k: int) -> DataFrame:
-    """best ``k`` chunks; where fewer share a token the first other chunks follow
-    with score 0.  ``chunks``: chunk_id, document_id, order_index, content."""
-    place = chunks.select("chunk_id", "document_id", "order_index")
-    ranked = lexical_scores(chunks, questions).join(place, "chunk_id")
-    order = [F.desc("score"), F.asc("document_id"), F.asc("order_index")]
-    best = top_per_key(ranked, ["question_id"], order, k).drop("rank")
-    short = query_tokens(questions).select("question_id").distinct().join(
-        best.groupBy("question_id").agg(F.count("*").alias("got")), "question_id", "left"
-    ).where(F.coalesce("got", F.lit(0)) < k)
-    first = place.orderBy("document_id", "order_index").limit(2 * k).withColumn("one", F.lit(1))
-    filler = short.select("question_id", F.lit(1).alias("one")).join(first, "one").drop("one")
-    filler = filler.join(best, ["question_id", "chunk_id"], "left_anti").withColumn("score", F.lit(0.0))
-    return top_per_key(best.unionByName(filler.select(*best.columns)), ["question_id"], order, k)
+    """best ``k`` chunks by a pruned search of an index of the questions' tokens; where fewer share a token
+    the first other chunks follow with score 0.  ``chunks``: chunk_id, document_id, order_index, content."""
+    return lexical.top_k(lexical.build_index(chunks, query_tokens(questions)), questions, k)
 
 
 def scoped_top_k(chunks: DataFrame, questions: DataFrame, scope: DataFrame, k: int) -> DataFrame:
