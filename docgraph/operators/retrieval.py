@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -146,17 +146,19 @@ def build_queries(questions: DataFrame) -> DataFrame:
     )
 
 
-def merge_hits(hits: DataFrame, limit: Column | int) -> DataFrame:
-    """F8: best score of a chunk over a question's queries."""
+def merge_hits(hits: DataFrame, limit: DataFrame | int) -> DataFrame:
+    """F8: best score of a chunk over a question's queries; ``limit`` per question (question_id, limit) or for all."""
     best = hits.groupBy("question_id", "chunk_id").agg(F.max("score").alias("score"))
-    from pyspark.sql import Window
+    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("score"), "chunk_id")))
+    if isinstance(limit, int):
+        return ranked.where(F.col("rank") <= limit)
+    return ranked.join(limit, "question_id").where(F.col("rank") <= F.col("limit")).drop("limit")
 
-    w = Window.partitionBy("question_id").orderBy(F.desc("score"), "chunk_id")
-    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
 
-
-def rerank(hits: DataFrame, chunks: DataFrame, questions: DataFrame, scores: DataFrame | None = None) -> DataFrame:
-    """keeps 15 (comprehensive) or 8 hits by rerank score, clamped to [0, 1].
+def rerank(
+    hits: DataFrame, chunks: DataFrame, questions: DataFrame, scores: DataFrame | None = None, *, wide: int = 15, narrow: int = 8
+) -> DataFrame:
+    """keeps ``wide`` (comprehensive) or ``narrow`` hits by rerank score, clamped to [0, 1].
 
     ``scores`` (question_id, chunk_id, rerank_score) come from a provider; a
     question with a missing score falls back to vector order.  Without a
@@ -173,8 +175,8 @@ def rerank(hits: DataFrame, chunks: DataFrame, questions: DataFrame, scores: Dat
     joined = joined.join(complete, "question_id")
     score = F.when(F.col("available"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("rerank_score")))).otherwise(F.col("score"))
     joined = joined.withColumn("rerank_score", F.round(score, 9)).drop("rank", "question")
-    kept = top_per_key(joined, ["question_id"], [F.desc("rerank_score"), F.desc("score"), F.asc("chunk_id")], 15)
-    return kept.where((F.col("intent") == "COMPREHENSIVE") | (F.col("rank") <= 8))
+    kept = top_per_key(joined, ["question_id"], [F.desc("rerank_score"), F.desc("score"), F.asc("chunk_id")], wide)
+    return kept.where((F.col("intent") == "COMPREHENSIVE") | (F.col("rank") <= narrow))
 
 
 def provider_scores(pairs: DataFrame, provider: Callable[[list[str], list[str]], list[float]]) -> DataFrame:
@@ -205,13 +207,13 @@ def conflicts(items: DataFrame, questions: DataFrame) -> DataFrame:
     ).where("size(values) > 1")
 
 
-def answer_status(items: DataFrame, found: DataFrame, questions: DataFrame) -> DataFrame:
-    """I16: confidence and status of every question from its kept hits.
+def answer_status(items: DataFrame, found: DataFrame, questions: DataFrame, *, first: int = 5) -> DataFrame:
+    """I16: confidence (from the ``first`` ones) and status of every question from its kept hits.
 
     ``items``: question_id, rank, rerank_score, available, content.
     """
     cited = F.count_if(X.strip(F.substring(X.strip(F.col("content")), 1, 300)) != "")
-    mean = F.avg(F.when(F.col("rank") <= 5, F.col("rerank_score")))
+    mean = F.avg(F.when(F.col("rank") <= first, F.col("rerank_score")))
     per = items.groupBy("question_id").agg(
         cited.alias("citations"), mean.alias("mean"), F.bool_and("available").alias("available")
     )

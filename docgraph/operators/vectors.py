@@ -57,11 +57,11 @@ def hash_components(texts: DataFrame, key: str, text: str, model: str, dimension
     return parts.select(key, F.col("p.dim").cast("long").alias("dim"), (F.col("p.v") / F.col("norm")).alias("value"))
 
 
-def hash_vectors(texts: DataFrame, key: str, text: str, model: str, dimension: int = DIMENSION) -> DataFrame:
-    """H14 as one dense array per key; a text without tokens gets zeros."""
+def hash_vectors(texts: DataFrame, key: str, text: str, model: str, dimension: int = DIMENSION, *, unit: bool = True) -> DataFrame:
+    """H14 as one dense array per key; a text without tokens gets zeros.  Without ``unit`` the signed counts are left as they are."""
     parts = hash_parts(texts, key, text, model, dimension)
     maps = parts.select(key, "norm", F.map_from_entries("parts").alias("m"))
-    value = lambda i: F.coalesce(F.try_element_at("m", i) / F.col("norm"), F.lit(0.0)).cast("float")
+    value = lambda i: F.coalesce(F.try_element_at("m", i) / (F.col("norm") if unit else 1), F.lit(0.0)).cast("float")
     return texts.select(key).join(maps, key, "left").select(
         key, F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), value).alias("vector")
     )

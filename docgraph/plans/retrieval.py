@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docgraph.functions import text as X
+from docgraph.operators import hybrid as H
 from docgraph.operators import retrieval as Q
 from docgraph.operators import vectors as V
 from docgraph.operators.ordered import top_per_key
@@ -199,15 +200,48 @@ def _(t):
     return found.select(F.col("question_id").alias("item_id"), F.col("chunk_id").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
-@query("F8_multi_query_merge", f"""WITH {_LEXICAL}
-    SELECT item_id AS question_id, doc_id AS chunk_id, round(score, 6) AS score FROM scored
-    QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, CAST(doc_id AS VARCHAR)) <= 20""")
+def _full_scores(texts: str, chunks: str, pairs: str) -> str:
+    """SQL of sem7(query_id, chunk_id, semantic_score, score): every pair scored in full.
+
+    ``texts`` (query_id, query_text), ``chunks`` (chunk_id, content) and ``pairs`` (query_id, chunk_id) are relations.
+    """
+    counts = """{n} AS (SELECT id, dim, v FROM (
+      SELECT id, CAST(('0x' || substr(h, 1, 8)) AS UBIGINT) % 384 AS dim, CAST(sum(CASE WHEN CAST(('0x' || substr(h, 9, 2)) AS UBIGINT) % 2 = 0 THEN 1 ELSE -1 END) AS DOUBLE) AS v
+      FROM (SELECT id, sha256('m1:' || tok) AS h FROM (SELECT {id} AS id, unnest(regexp_extract_all(replace(lower({text}), 'ß', 'ss'), '[\\p{L}\\p{N}_]+')) AS tok FROM {table}))
+      GROUP BY 1, 2) WHERE v <> 0), {n}n AS (SELECT id, sqrt(sum(v * v)) AS norm FROM {n} GROUP BY 1)"""
+    fill = lambda n, key, text, table: counts.replace("{n}", n).replace("{id}", key).replace("{text}", text).replace("{table}", table)
+    return f"""{fill('hvc', 'chunk_id', 'content', chunks)}, {fill('hvt', 'query_id', 'query_text', texts)},
+    dots AS (SELECT t.id AS query_id, c.id AS chunk_id, sum(t.v * c.v) AS dot FROM {pairs} p JOIN hvt t ON t.id = p.query_id JOIN hvc c ON c.id = p.chunk_id AND c.dim = t.dim GROUP BY 1, 2),
+    ct AS (SELECT chunk_id, {_at(_TERM, 'content')} AS terms FROM {chunks}), tt AS (SELECT query_id, {_at(_TERM, 'query_text')} AS terms FROM {texts}),
+    parts AS (SELECT p.query_id, p.chunk_id, round(greatest(coalesce(dot / (a.norm * b.norm), 0), 0), 6) AS semantic_score,
+      len(list_intersect(tt.terms, ct.terms)) / greatest(len(tt.terms), 1) AS keyword_score
+      FROM {pairs} p JOIN ct USING (chunk_id) JOIN tt USING (query_id) LEFT JOIN dots USING (query_id, chunk_id) LEFT JOIN hvtn a ON a.id = p.query_id LEFT JOIN hvcn b ON b.id = p.chunk_id),
+    sem7 AS (SELECT *, round(0.7 * semantic_score + 0.3 * keyword_score, 6) AS score FROM parts)"""
+
+
+@query("F5_hybrid_exact", f"""WITH texts AS (SELECT item_id AS query_id, text AS query_text FROM benchmark), cs AS (SELECT doc_id AS chunk_id, text AS content FROM documents),
+    every AS (SELECT query_id, chunk_id FROM texts CROSS JOIN cs), {_full_scores('texts', 'cs', 'every')}
+    SELECT query_id, chunk_id, score FROM sem7 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, semantic_score DESC, chunk_id) <= 10""")
 def _(t):
-    hits = Q.lexical_scores(_chunks(t), _questions(t)).withColumn("chunk_id", F.col("chunk_id").cast("string"))
-    weaker = hits.withColumn("score", F.col("score") * 0.5)
-    return Q.merge_hits(hits.unionByName(weaker), 20).select(
-        "question_id", F.col("chunk_id").cast("long").alias("chunk_id"), F.round("score", 6).alias("score")
-    )
+    texts = t.benchmark.selectExpr("item_id query_id", "text query_text")
+    return H.hybrid_top_k(_chunks(t), texts, 10).select("query_id", "chunk_id", "score")
+
+
+def _expanded(q: str) -> str:
+    """SQL of the query texts of qs(question_id, q, timed, docs): question_id, query_id, query_text, lim."""
+    return f"""texts AS (SELECT question_id, question_id || '#' || i AS query_id, CASE WHEN docs > 1 THEN 40 ELSE 20 END AS lim,
+      CASE WHEN i = 0 THEN q WHEN i = 1 AND timed THEN q || ' số ngày thời điểm bắt đầu kết thúc' ELSE 'quy định trách nhiệm và căn cứ liên quan ' || q END AS query_text
+      FROM {q}, range(3) r(i) WHERE i < CASE WHEN timed THEN 3 WHEN docs > 1 THEN 2 ELSE 1 END)"""
+
+
+@query("F8_multi_query_merge", f"""WITH qs AS (SELECT item_id AS question_id, CASE WHEN item_id % 3 = 0 THEN 'Thời hạn ' || text ELSE text END AS q, item_id % 3 = 0 AS timed, CASE WHEN item_id % 2 = 0 THEN 2 ELSE 1 END AS docs FROM benchmark),
+    {_expanded('qs')}, cs AS (SELECT doc_id AS chunk_id, text AS content FROM documents), every AS (SELECT query_id, chunk_id FROM texts CROSS JOIN cs), {_full_scores('texts', 'cs', 'every')},
+    kept AS (SELECT question_id, chunk_id, lim, score FROM sem7 JOIN texts USING (query_id) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, semantic_score DESC, chunk_id) <= lim),
+    best AS (SELECT question_id, chunk_id, lim, max(score) AS score FROM kept GROUP BY ALL)
+    SELECT question_id, chunk_id, score FROM best QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) <= lim""")
+def _(t):
+    asked = t.benchmark.selectExpr("item_id question_id", "if(item_id % 3 = 0, concat('Thời hạn ', text), text) question", "if(item_id % 2 = 0, 2, 1) document_count")
+    return H.retrieve(_chunks(t), asked).select("question_id", "chunk_id", "score")
 
 
 _RERANK = f"""{_LEXICAL},
@@ -262,6 +296,33 @@ def _(t):
     return Q.answer_status(items, found, _questions(t))
 
 
+# A question per document, put to itself, to the next document, to both or to none; a reranker that leaves out every third question.
+_NO_RERANK = "question_id % 3 = 0"
+
+
+@query("I16_answer_chain", f"""WITH qs AS (SELECT doc_id AS question_id, CASE WHEN doc_id % 4 = 0 THEN 'Thời hạn ' || text ELSE text END AS q, doc_id % 4 = 0 AS timed, CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 1 END AS docs FROM documents),
+    {_expanded('qs')}, cs AS (SELECT doc_id AS chunk_id, text || chr(10) || 'Thời hạn nộp là ' || (10 + doc_id % 3) || ' ngày.' AS content FROM documents),
+    scope AS (SELECT question_id, question_id AS chunk_id FROM qs WHERE question_id % 13 <> 0 AND question_id % 5 <> 0
+      UNION SELECT question_id, question_id + 1 FROM qs WHERE question_id % 13 <> 0 AND (question_id % 5 = 0 OR question_id % 2 = 0)),
+    every AS (SELECT query_id, chunk_id FROM texts JOIN scope USING (question_id) JOIN cs USING (chunk_id)), {_full_scores('texts', 'cs', 'every')},
+    best AS (SELECT question_id, chunk_id, max(score) AS score FROM sem7 JOIN texts USING (query_id) GROUP BY 1, 2),
+    items AS (SELECT question_id, chunk_id, round(CASE WHEN {_NO_RERANK} THEN score ELSE len(list_intersect({_at(_TERM, 'q')}, terms)) / greatest(len({_at(_TERM, 'q')}), 1) END, 9) AS rs
+      FROM best JOIN qs USING (question_id) JOIN ct USING (chunk_id)),
+    per AS (SELECT question_id, count(*) AS n, greatest(0, least(1, avg(rs))) AS m FROM items GROUP BY 1),
+    final AS (SELECT question_id, coalesce(n, 0) AS citations, CASE WHEN n IS NULL THEN 0 WHEN {_NO_RERANK} THEN least(m * 0.7, 0.69) ELSE m END AS c FROM qs LEFT JOIN per USING (question_id))
+    SELECT question_id, round(c, 4) AS confidence, citations, CASE WHEN citations = 0 THEN 'NOT_FOUND' WHEN citations = 2 THEN 'CONFLICTING' WHEN c < 0.5 THEN 'LOW_CONFIDENCE_SOURCE'
+      WHEN {_NO_RERANK} THEN 'PARTIALLY_SUPPORTED' ELSE 'SUPPORTED' END AS answer_status FROM final""")
+def _(t):
+    asked = t.documents.selectExpr("doc_id question_id", "if(doc_id % 4 = 0, concat('Thời hạn ', text), text) question", "if(doc_id % 2 = 0, 2, 1) document_count")
+    chunks = t.documents.selectExpr("doc_id chunk_id", "doc_id document_id", "'Điều 1' topic", "concat(text, '\n', 'Thời hạn nộp là ', 10 + doc_id % 3, ' ngày.') content")
+    own = F.when((F.col("doc_id") % 13 != 0) & (F.col("doc_id") % 5 != 0), F.col("doc_id"))
+    other = F.when((F.col("doc_id") % 13 != 0) & ((F.col("doc_id") % 5 == 0) | (F.col("doc_id") % 2 == 0)), F.col("doc_id") + 1)
+    scope = t.documents.select(F.col("doc_id").alias("question_id"), F.explode(F.array_compact(F.array(own, other))).alias("document_id"))
+    pairs = scope.where(f"not {_NO_RERANK}").join(asked, "question_id").join(chunks, "document_id")
+    scores = pairs.select("question_id", "chunk_id", V.keyword_score(X.terms(F.col("question")), F.col("content")).alias("rerank_score"))
+    return H.answer(chunks, asked, scope=scope, scores=scores)
+
+
 @query("G4_query_expansion", """
     SELECT doc_id AS question_id, i AS nth, CASE i WHEN 0 THEN q ELSE CASE WHEN i = 1 AND doc_id % 3 = 0 THEN q || ' số ngày thời điểm bắt đầu kết thúc'
       ELSE 'quy định trách nhiệm và căn cứ liên quan ' || q END END AS query_text, CASE WHEN doc_id % 3 = 0 OR doc_id % 2 = 0 THEN 'COMPREHENSIVE' ELSE 'FACTUAL' END AS intent
