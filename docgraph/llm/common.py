@@ -34,6 +34,11 @@ def hash_words(words: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, words)), ">u8").astype(np.uint64)
 
 
+def hash_words_twice(words: list[bytes]) -> np.ndarray:
+    """A row of two independent 64-bit hashes for each word, the halves of a 128-bit one."""
+    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), ">u8").astype(np.uint64).reshape(-1, 2)
+
+
 class Numbering(dict):
     """Numbers keys in the order in which they are first asked for."""
 

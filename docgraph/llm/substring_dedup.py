@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docgraph.llm.common import hash_words, mixed, split_words
+from docgraph.llm.common import hash_words_twice, mixed, split_words
 
 CELL_BITS = 23
 #: Windows meant for one block of cells, which sets eight cells per window.
@@ -46,18 +46,18 @@ class Chunk:
         self.window = window
         lengths = np.array([len(w) for w in self.words], np.int64)
         starts = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
-        x = np.empty(starts[-1], np.uint64)
+        halves = np.empty((2, starts[-1]), np.uint64)
         for words, a in zip(self.words, starts):
-            x[a : a + len(words)] = hash_words(words)
+            halves[:, a : a + len(words)] = hash_words_twice(words).T
         counts = np.maximum(lengths - window + 1, 0)
         self.first = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
         self.doc = np.repeat(np.arange(len(lengths)), counts)
         at = np.arange(self.first[-1]) - self.first[self.doc] + starts[self.doc]
         self.lanes = []
-        for lane in range(2):
+        for lane, x in enumerate(halves):  # each lane has its own hash of a word, so that windows have 128 bits
             total = np.zeros(max(len(x) - window + 1, 0), np.uint64)
             for j, factor in enumerate(factors(window, 7 + lane)):
-                total += (x[j : j + len(total)] if lane == 0 else mixed(x[j : j + len(total)])) * factor
+                total += x[j : j + len(total)] * factor
             self.lanes.append(mixed(total[at]))
 
     def cells(self, row: int, blocks: int) -> np.ndarray:

@@ -42,6 +42,20 @@ def test_full_counters_lose_nothing(docs, monkeypatch):
     assert len(np.unique(local.cells(0, 1))) <= 2
 
 
+def test_words_of_equal_half_hash_stay_apart(monkeypatch):
+    real = S.hash_words_twice
+
+    def half_equal(words):
+        found = real(words).copy()
+        found[:, 0] = 5
+        return found
+
+    monkeypatch.setattr(S, "hash_words_twice", half_equal)
+    texts = [" ".join(f"{c}{k}" for k in range(13)) for c in "ab"]
+    chunk = S.Chunk(__import__("pyarrow").table({"id": [1, 2], "text": texts, "chunk": [0, 0]}), 13)
+    assert len(set(chunk.lanes[0].tolist())) == 1 and len(chunk.keys(np.arange(2), 1)[0]) == 2
+
+
 def test_offsets_round_trip():
     x = np.unique(np.random.default_rng(1).integers(0, 1 << 23, 5_000))
     assert (S.unpack_offsets(S.pack_offsets(x)) == x).all()
