@@ -28,6 +28,10 @@ def key_hash(column) -> F.Column:
     return F.conv(F.substring(F.md5(F.coalesce(column.cast("string"), F.lit(""))), 1, BITS // 4), 16, 10).cast("long")
 
 
+#: Bytes of text that one task writes, about.
+TASK_BYTES = 32 << 20
+
+
 def buckets_of(rows: DataFrame, limit: int, begin: int, end: int) -> tuple[DataFrame, DataFrame]:
     """Directory cells of ``end`` bits with the bucket each belongs to, and the cells that do not fit even so.
 
@@ -46,8 +50,8 @@ def buckets_of(rows: DataFrame, limit: int, begin: int, end: int) -> tuple[DataF
     return directory, cells.join(directory, "cell", "left_anti").select("cell")
 
 
-def places(docs: DataFrame, id_col: str, text_col: str, shard_bytes: int) -> DataFrame:
-    """Each row of ``docs`` as struct ``row``, with its id, ``bytes``, ``shard``, ``depth`` and ``page``.
+def places(docs: DataFrame, id_col: str, text_col: str, shard_bytes: int) -> tuple[DataFrame, int]:
+    """Each row of ``docs`` as struct ``row``, with its id, ``bytes``, ``shard``, ``depth`` and ``page``; and the bytes of all.
 
     Only sizes and hashes go through the rounds; a row then meets the directory by
     its own hash, so repeated and null ids stay one row each.  ``docs`` is read
@@ -77,7 +81,7 @@ def places(docs: DataFrame, id_col: str, text_col: str, shard_bytes: int) -> Dat
     placed = out[0]
     for more in out[1:]:
         placed = placed.unionByName(more)
-    return placed
+    return placed, total
 
 
 def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = 1 << 20) -> DataFrame:
@@ -87,7 +91,7 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shar
     larger.  ``page`` is above 0 only among rows of one hash (repeated or null ids).
     A null text has 0 bytes; an empty table gives no rows.
     """
-    return places(docs, id_col, text_col, shard_bytes).select(F.col("id").alias(id_col), "bytes", "shard", "depth", "page")
+    return places(docs, id_col, text_col, shard_bytes)[0].select(F.col("id").alias(id_col), "bytes", "shard", "depth", "page")
 
 
 def pages(rows: DataFrame, limit: int) -> DataFrame:
@@ -109,16 +113,29 @@ def write_shards(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
     A folder is named by ``b`` and the hash bits, which no reader takes for a number.
     """
-    placed = places(docs, id_col, text_col, shard_bytes)
-    placed = placed.select("row.*", F.concat(F.lit("b"), "shard").alias("_shard"), F.col("page").alias("_page"))
-    placed.repartition("_shard", "_page").write.partitionBy("_shard", "_page").parquet(path)
+    placed, total = places(docs, id_col, text_col, shard_bytes)
+    shard, page = folder_names(docs.schema)
+    placed = placed.select("row.*", F.concat(F.lit("b"), "shard").alias(shard), F.col("page").alias(page))
+    # As many tasks as the bytes need, so that no task grows with the table.
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_BYTES))
+    placed.repartition(tasks, shard, page).write.partitionBy(shard, page).parquet(path)
+
+
+def folder_names(schema: StructType) -> tuple[str, str]:
+    """Names of the folder levels that no column of the table has."""
+    taken = {f.name.lower() for f in schema}
+    line = "_"
+    while {f"{line}shard", f"{line}page"} & taken:
+        line += "_"
+    return f"{line}shard", f"{line}page"
 
 
 def read_shards(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """Rows of the given schema as ``write_shards`` wrote them, with ``shard`` (hash bits) and ``page`` of the folder each lies in, as struct ``row``."""
     names = [F.col(f"`{f.name}`") for f in schema]
-    found = spark.read.schema(StructType([*schema, StructField("_shard", StringType()), StructField("_page", LongType())])).parquet(path)
-    return found.select(F.struct(*names).alias("row"), F.substring("_shard", 2, BITS).alias("shard"), F.col("_page").alias("page"))
+    shard, page = folder_names(schema)
+    found = spark.read.schema(StructType([*schema, StructField(shard, StringType()), StructField(page, LongType())])).parquet(path)
+    return found.select(F.struct(*names).alias("row"), F.substring(shard, 2, BITS).alias("shard"), F.col(page).alias("page"))
 
 
 def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = 1 << 20) -> DataFrame:

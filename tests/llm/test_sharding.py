@@ -70,6 +70,14 @@ def test_null_and_repeated_ids_are_written_once_each(spark, tmp_path):
     check(rows, S.round_trip(df, shard_bytes=300).collect(), 300)
 
 
+def test_columns_named_like_the_folders(spark, tmp_path):
+    df = spark.createDataFrame([(i, "t" * 50, "a", i, "b") for i in range(60)], "doc_id long, text string, _shard string, _PAGE long, __page string")
+    S.write_shards(df, str(tmp_path / "shards"), shard_bytes=300)
+    back = S.read_shards(spark, str(tmp_path / "shards"), df.schema).select("row.*")
+    assert sorted(map(repr, back.collect())) == sorted(map(repr, df.collect()))
+    assert S.round_trip(df, shard_bytes=300).count() == 60
+
+
 def test_empty_round_trip(no_docs):
     assert S.round_trip(no_docs).collect() == []
 
