@@ -31,6 +31,10 @@ PAGE = 1_024
 #: Queries of one block at most.
 BLOCK_ROWS = 16_384
 MARGIN = 1e-6
+#: Stands for a null id inside the trees, so that such rows come last among ties.
+NO_ID = np.iinfo(np.int64).max
+#: Scores that a long can hold.
+LEAST, MOST = -float(1 << 63), float((1 << 63) - 1024)
 
 
 def integers(vector, scale: int):
@@ -41,7 +45,7 @@ def integers(vector, scale: int):
 def usable(vector):
     """Whether a vector is there and all its components are finite numbers."""
     fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
-    return F.coalesce(vector.isNotNull() & (F.size(vector) > 0) & fine, F.lit(False))
+    return F.coalesce(vector.isNotNull() & fine, F.lit(False))
 
 
 def build_pages(points: np.ndarray, seed: int = 3) -> list[dict]:
@@ -168,7 +172,7 @@ def search_of(k: int):
         parts = []
         for number, me, vector in zip(numbers.tolist(), own.tolist(), vectors):
             ids, scores = tree.nearest(me, vector, k)
-            parts.append((np.full(len(ids), number), np.full(len(ids), me), ids, np.rint(scores).astype(np.int64)))
+            parts.append((np.full(len(ids), number), np.full(len(ids), me), ids, np.rint(np.clip(scores, LEAST, MOST)).astype(np.int64)))
         return pa.table([pa.array(np.concatenate(c)) for c in zip(*parts)], schema=FOUND)
 
     return run
@@ -179,14 +183,20 @@ def top_inner_products(
 ) -> DataFrame:
     """Per query row its ``k`` best candidates: query_id, rank, vec_id, score.
 
-    ``is_query`` is a condition on ``vectors``.  Rows without id, and vectors that are
-    null, empty or hold a null or non-finite component, take no part.  A query never
-    finds rows of its own id.  Of repeated query rows each distinct one is answered.
-    All vectors must have one length.  Other columns are not read.
+    ``is_query`` is a condition on ``vectors``.  Vectors that are null or hold a null or
+    non-finite component take no part.  Vectors of unequal length meet over their common
+    part, so an empty one scores 0.  A row without id is a candidate, the last one among
+    ties, and no query.  A query never finds rows of its own id.  Of repeated query rows
+    each distinct one is answered.  Products are exact below 2^53; larger ones are rounded
+    like doubles and end at the bounds of a long.  Other columns are not read.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
-    rows = stored(rows.where(F.col("id").isNotNull() & usable(F.col("v"))).select("id", integers(F.col("v"), scale).alias("vector"), "asks"), "vectors")
-    total = rows.count()
+    rows = rows.where(usable(F.col("v")))
+    asks = F.col("asks") & F.col("id").isNotNull()
+    rows = stored(rows.select(F.coalesce("id", F.lit(NO_ID)).alias("id"), integers(F.col("v"), scale).alias("vector"), asks.alias("asks")), "vectors")
+    total, longest = rows.agg(F.count("*"), F.coalesce(F.max(F.size("vector")), F.lit(0))).first()
+    # Zeros up to the longest length leave every product as it is over the common part.
+    rows = rows.withColumn("vector", F.concat("vector", F.array_repeat(F.lit(0.0), longest - F.size("vector"))))
     trees = max(1, -(-total // tree_rows))
     dealt = rows.select("id", "vector", F.pmod(F.xxhash64("id", "vector"), F.lit(trees)).alias("tree"))
     pages = stored(dealt.groupBy("tree").applyInArrow(tree_of, PAGES_SQL), "pages")
@@ -205,4 +215,4 @@ def top_inner_products(
     found = asked.groupBy("block", "tree").cogroup(spread.groupBy("block", "tree")).applyInArrow(search_of(k), "query_no long, query_id long, vec_id long, score long")
     order = Window.partitionBy("query_no", "query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", F.col("rank").cast("int"), "vec_id", "score")
+    return ranked.select("query_id", F.col("rank").cast("int"), F.nullif("vec_id", F.lit(NO_ID)).alias("vec_id"), "score")

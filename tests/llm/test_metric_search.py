@@ -7,12 +7,12 @@ from docgraph.llm import metric_search as M
 
 
 def brute(rows, k, scale=64):
-    kept = [(i, [math.floor(scale * float(np.float32(x))) for x in v]) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
+    kept = [(i, [math.floor(scale * float(np.float32(x))) for x in v]) for i, v in rows if v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = set()
     for q, a in kept:
-        if q % 20 == 0:
-            scored = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in kept if i != q)[:k]
-            out |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(scored)}
+        if q is not None and q % 20 == 0:
+            scored = sorted((-sum(x * y for x, y in zip(a, b)), i is None, i or 0) for i, b in kept if i != q)[:k]
+            out |= {(q, n + 1, None if null else i, -s) for n, (s, null, i) in enumerate(scored)}
     return out
 
 
@@ -29,6 +29,18 @@ def test_equals_brute_force_with_ties_and_bad_vectors(spark):
     assert {tuple(r) for r in found.collect()} == brute(rows, 20)
 
 
+def test_unequal_lengths_null_ids_and_empty_vectors(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i if i % 7 else None, [float(x) for x in np.round(rng.normal(0, 1, rng.integers(0, 6)), 1)]) for i in range(1, 300)]
+    rows += [(400, []), (420, [1.0]), (440, [0.0, 0.0, 2.0]), (None, rows[3][1]), (None, [])]
+    found = M.top_inner_products(made(spark, rows), F.col("vec_id") % 20 == 0, k=20, tree_rows=80, block_rows=4)
+    got = [tuple(r) for r in found.collect()]
+    assert set(got) == brute(rows, 20) and any(r[2] is None for r in got)
+    large = [(0, [1e15, 1.0]), (1, [1e15, 0.0]), (2, [-1e15, 0.0])]
+    signs = {r["vec_id"]: r["score"] for r in M.top_inner_products(made(spark, large), F.col("vec_id") == 0).collect()}
+    assert signs[1] > 2**62 and signs[2] == -(2**63)
+
+
 def test_small_pages_in_one_tree_find_the_same(monkeypatch):
     monkeypatch.setattr(M, "PAGE", 16)
     rng = np.random.default_rng(9)
