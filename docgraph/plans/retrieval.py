@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docgraph.functions import text as X
+from docgraph.operators import access as A
 from docgraph.operators import hybrid as H
 from docgraph.operators import retrieval as Q
 from docgraph.operators import vectors as V
@@ -82,16 +83,29 @@ def _(t):
     SELECT item_id AS question_id, doc_id AS document_id, round(coalesce(score, 0), 6) AS score FROM scope LEFT JOIN scored USING (item_id, doc_id)
     QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY coalesce(score, 0) DESC, doc_id) <= 3"""))
 def _(t):
-    from docgraph.operators import governance as G
-
-    askers = t.benchmark.selectExpr("item_id question_id", "if(item_id % 3 = 0, item_id % 30 * 10, item_id) user_id")
-    actors = views.users(t).join(askers.select("user_id").distinct(), "user_id", "left_semi")
-    visible = G.visible_documents(actors, views.tenant_documents(t), views.grants(t))
-    scope = askers.join(visible, "user_id").select("question_id", "document_id")
-    hits = Q.scoped_top_k(_chunks(t), _questions(t), scope, 3)
+    chunks, bits = _actor_bits(t)
+    askers = t.benchmark.selectExpr("item_id question_id", "text question", "if(item_id % 3 = 0, item_id % 30 * 10, item_id) user_id")
+    hits = A.scoped_search(chunks, askers, bits, 3)
     return hits.select("question_id", "document_id", F.round("score", 6).alias("score"))
 
 
+def _actor_bits(t):
+    chunks = A.numbered(_chunks(t))
+    return chunks, A.actor_bits(views.users(t), A.access_sets(chunks, views.tenant_documents(t), views.grants(t)))
+
+
+@query("I18_visible_counts", with_views("users tenant_documents grants", """
+    SELECT user_id, count(DISTINCT document_id) AS visible FROM (
+      SELECT u.user_id, d.document_id FROM users u JOIN tenant_documents d ON d.commune_id = u.commune_id AND NOT d.is_deleted
+      WHERE u.is_active AND u.status = 'ACTIVE' AND (u.role = 'ADMIN' OR d.owner_id = u.user_id
+        OR EXISTS (SELECT 1 FROM grants g WHERE g.document_id = d.document_id AND g.user_id = u.user_id AND g.commune_id = u.commune_id)))
+    GROUP BY 1"""))
+def _(t):
+    documents = views.tenant_documents(t)
+    numbers = A.numbered(documents.select("document_id"))
+    return A.visible_counts(A.actor_bits(views.users(t), A.access_sets(numbers, documents, views.grants(t))))
+
+
 @query("H20_lexical_scores", f"WITH {_LEXICAL} SELECT item_id AS question_id, doc_id AS chunk_id, round(score, 6) AS score FROM scored")
 def _(t):
     return Q.lexical_scores(_chunks(t), _questions(t)).withColumn("score", F.round("score", 6))
