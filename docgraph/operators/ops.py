@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docgraph.operators.ordered import row_index
+from docgraph.operators.ordered import row_index, top_per_key
 
 
 def latest(df: DataFrame, key: str, by: str, columns: list[str]) -> DataFrame:
@@ -34,13 +34,15 @@ def number_versions(df: DataFrame, family: str, date: str) -> DataFrame:
     ).drop("_seg", "_day", "_n", "_newest")
 
 
-def workflow_status(steps: DataFrame) -> DataFrame:
-    """Worst step decides; the counts stand beside it.  ``errors`` lists distinct messages."""
+def workflow_status(steps: DataFrame, listed: int | None = None) -> DataFrame:
+    """Worst step decides; the counts stand beside it.  ``errors`` lists distinct messages, the first ``listed`` if given."""
     failed, review = F.col("status") == "FAILED", F.col("status").isin("NEEDS_REVIEW", "SKIPPED")
-    return steps.groupBy("workflow_id").agg(
-        F.count("*").alias("steps"), F.count_if(failed).alias("failed"), F.count_if(review).alias("review"),
-        F.array_join(F.array_sort(F.collect_set("error")), "; ").alias("errors"),
-    ).withColumn(
+    counted = steps.groupBy("workflow_id").agg(F.count("*").alias("steps"), F.count_if(failed).alias("failed"), F.count_if(review).alias("review"))
+    messages = steps.where("error IS NOT NULL").select("workflow_id", "error").distinct()
+    if listed is not None:
+        messages = top_per_key(messages, ["workflow_id"], [F.col("error")], listed)
+    errors = messages.groupBy("workflow_id").agg(F.array_join(F.array_sort(F.collect_list("error")), "; ").alias("errors"))
+    return counted.join(errors, "workflow_id", "left").withColumn("errors", F.coalesce("errors", F.lit(""))).withColumn(
         "status",
         F.when(F.col("failed") > 0, "FAILED").when(F.col("review") > 0, "NEEDS_REVIEW").otherwise("COMPLETED"),
     )

@@ -148,16 +148,22 @@ def flag_edges(flags: DataFrame, edges: DataFrame) -> DataFrame:
     return direct.unionByName(grouped.join(keyed, ["anchor_kind", "anchor_id"]).select("flag_id", "edge_id"))
 
 
+#: Pieces in which the elements of a flag are hashed.
+SET_PIECES = 1_024
+
+
 def dedup_drafts(drafts: DataFrame, links: DataFrame, order: str = "ord") -> DataFrame:
     """R15 for flags from elsewhere: same rule, same nodes and edges; the first stays.
 
-    ``links``: flag_id, kind, element_id.  The element sets are compared by an
-    order-free fingerprint, so they are never collected.
+    ``links``: flag_id, kind, element_id.  Sets are compared by a SHA-256 digest: the digests of
+    the elements, sorted and hashed in ``SET_PIECES`` pieces by their first digits, and
+    the pieces hashed again, so that no row holds all elements of a flag.
     """
-    h = F.xxhash64("kind", "element_id")
-    marks = links.distinct().groupBy("flag_id").agg(
-        F.count("*").alias("n"), F.bit_xor(h).alias("x"), F.bit_xor(F.xxhash64(h, F.lit(7))).alias("y")
-    )
-    keyed = drafts.join(marks, "flag_id", "left")
-    first = keyed.groupBy("issue_type", "n", "x", "y").agg(F.min_by("flag_id", order).alias("flag_id"))
+    element = F.sha2(F.concat_ws("\x1f", "kind", "element_id"), 256)
+    marked = links.distinct().select("flag_id", element.alias("e"), (F.conv(F.substring(element, 1, 8), 16, 10).cast("long") % SET_PIECES).alias("piece"))
+    joined = lambda c: F.sha2(F.array_join(F.array_sort(F.collect_list(c)), ""), 256)
+    pieces = marked.groupBy("flag_id", "piece").agg(joined("e").alias("d"))
+    digests = pieces.groupBy("flag_id").agg(joined(F.concat_ws(":", F.lpad("piece", 8, "0"), "d")).alias("digest"))
+    keyed = drafts.join(digests, "flag_id", "left")
+    first = keyed.groupBy("issue_type", "digest").agg(F.min_by("flag_id", order).alias("flag_id"))
     return drafts.join(first.select("flag_id"), "flag_id", "left_semi")

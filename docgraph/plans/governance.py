@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docgraph.functions import text as X
+from docgraph.operators import audit as A
 from docgraph.operators import governance as G
 from docgraph.operators import ops as O
 from docgraph.operators.filters import active, contains_needle, equals_all, page
@@ -336,6 +337,21 @@ def _(t):
     return a.select("event_id", m["k"].alias("k"), m["Access_Token"].alias("access_token"), m["note"].alias("note"))
 
 
+@query("H22_nested_metadata", """
+    SELECT event_id, '{"Cookie":"[REDACTED]","detail":{"items":[' || array_to_string(list_transform(range(least(n, 100)), lambda i: CASE WHEN i % 2 = 0 THEN i::VARCHAR ELSE '{"userToken":"[REDACTED]","v":' || i || '}' END), ',')
+      || '],"note":"' || substr(repeat(event_type || ' ', n), 1, 1024) || '"},"k":' || n || ',"ok":' || CASE WHEN event_type = 'error' THEN 'false' ELSE 'true' END || '}' AS metadata
+    FROM (SELECT event_id, event_type, (event_id % 251)::BIGINT AS n FROM events)""")
+def _(t):
+    item = lambda i: F.when(i % 2 == 0, i.cast("string")).otherwise(F.concat(F.lit('{"v":'), i.cast("string"), F.lit(',"userToken":"t"}')))
+    n = F.col("event_id") % 251
+    items = F.array_join(F.when(n > 0, F.transform(F.sequence(F.lit(0).cast("long"), n - 1), item)).otherwise(F.array().cast("array<string>")), ",")
+    text = F.concat(
+        F.lit('{"k":'), n.cast("string"), F.lit(',"Cookie":{"a":[1]},"ok":'), F.when(F.col("event_type") == "error", "false").otherwise("true"),
+        F.lit(',"detail":{"note":"'), F.repeat(F.concat("event_type", F.lit(" ")), n.cast("int")), F.lit('","items":['), items, F.lit("]}}"),
+    )
+    return A.sanitized_json(t.events.select("event_id", text.alias("metadata")), "event_id", "metadata")
+
+
 @query("F3_audit_page", with_views("audit_events", """
     SELECT event_id, action FROM audit_events WHERE commune_id = 4 ORDER BY created_at DESC, event_id DESC LIMIT 25 OFFSET 25"""))
 def _(t):
@@ -399,7 +415,7 @@ def _(t):
 @query("D14_accounts_by_province", """
     SELECT n_regionkey AS province_id, n_nationkey AS commune_id, count(*) AS accounts FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY ROLLUP (n_regionkey, n_nationkey)""")
 def _(t):
-    u = views.users(t).join(F.broadcast(_communes(t)), "commune_id")
+    u = views.users(t).join(_communes(t), "commune_id")
     return u.rollup("province_id", "commune_id").agg(F.count("*").alias("accounts"))
 
 
