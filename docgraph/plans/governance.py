@@ -43,12 +43,20 @@ def _(t):
     return files.changed_files(now, indexed).select("page_id")
 
 
-@query("A3_source_signature", "SELECT count(*) AS files, true AS stable FROM pages")
-def _(t):
-    f = t.pages.selectExpr("url name", "length(html) length", "page_id modified")
-    a, b = files.source_signature(f), files.source_signature(f.orderBy(F.desc("name")))
-    same = a.join(b.select("signature", F.lit(True).alias("stable")), "signature", "left")
-    return same.select("files", F.coalesce("stable", F.lit(False)).alias("stable"))
+@query("A3_source_signature", """
+    SELECT 'reordered' AS files_are, count(*) AS files, true AS same FROM pages
+    UNION ALL SELECT 'without a name', count(*) FILTER (WHERE page_id % 11 <> 3), count(*) FILTER (WHERE page_id % 11 = 3) = 0 FROM pages
+    UNION ALL SELECT 'longer', count(*), count(*) FILTER (WHERE page_id % 97 = 5) = 0 FROM pages""")
+def _(t):
+    f = t.pages.selectExpr("page_id", "url name", "length(html) length", "page_id modified")
+    first = files.source_signature(f).select(F.col("signature").alias("of_first"))
+    cases = {
+        "reordered": f.orderBy(F.desc("name")), "without a name": f.where("page_id % 11 <> 3"),
+        "longer": f.withColumn("length", F.expr("if(page_id % 97 = 5, length + 1, length)")),
+    }
+    found = [files.source_signature(df).withColumn("files_are", F.lit(name)) for name, df in cases.items()]
+    every = found[0].unionByName(found[1]).unionByName(found[2])
+    return every.crossJoin(first).select("files_are", "files", (F.col("signature") == F.col("of_first")).alias("same"))  # one row each
 
 
 @query("A4_upload_gate", with_views("uploads", """

@@ -499,7 +499,20 @@ _text_query("H11_executive_summary", "value", X.executive_summary, "CASE WHEN le
 _text_query("H13_stable_id", "value", lambda c: X.stable_id("node", F.col("lang"), c), "'node-' || substr(sha256(lang || '|' || text), 1, 20)")
 _text_query("H16_language", "value", X.detect_language, "CASE WHEN regexp_matches(lower(text), '[ăâđêôơưà-ỹ]') THEN 'vi' ELSE 'multilingual' END")
 _text_query("H17_query_language", "vi", X.is_vietnamese_query, "regexp_matches(lower(text), '[đăâêôơư]')")
-_text_query("H31_legal_references", "n", lambda c: F.size(X.legal_references(F.concat(F.lit("Luật số 12/2019 và nghị định 5. "), c))), "2")
+# An act that is always cited, twice; one by a third of the documents; none after a letter.
+@query("H31_legal_references", """
+    SELECT doc_id, 'Luật số ' || doc_id || '/2019' || CASE WHEN doc_id % 3 = 0 THEN ';nghị định ' || (doc_id % 7) || '/2020/NĐ-CP' ELSE '' END
+      || CASE WHEN doc_id % 5 = 0 THEN ';Thông tư ' || lang ELSE '' END AS acts FROM documents""")
+def _(t):
+    d = t.documents
+    text = F.concat(
+        F.lit("Theo Luật số "), "doc_id", F.lit("/2019 , "), F.when(d["doc_id"] % 3 == 0, F.concat(F.lit("nghị định "), (d["doc_id"] % 7).cast("string"), F.lit("/2020/NĐ-CP , "))).otherwise(""),
+        F.lit("siêuLuật số 1 , Luật số "), "doc_id", F.lit("/2019 "), F.when(d["doc_id"] % 5 == 0, F.concat(F.lit("\nThông tư  "), "lang")).otherwise(""),
+    )
+    acts = F.transform(X.legal_references(text), lambda a: F.regexp_replace(a, r"\s+", " "))
+    return d.select("doc_id", F.array_join(acts, ";").alias("acts"))
+
+
 _text_query("H33_first_line", "value", X.first_line, "trim(regexp_extract(text, '(?m)^[ \\t]*(\\S[^\\r\\n]*)$', 1))")
 _text_query("A5_checksum", "checksum", lambda c: F.sha2(c.cast("binary"), 256), "sha256(text)")
 

@@ -184,14 +184,9 @@ def _(t):
 def _(t):
     from docgraph.functions.text import token_count
 
-    words = F.split(F.trim("text"), r"\s+")
-    last = F.greatest(F.ceil((F.size(words) - 40) / 30).cast("int"), F.lit(0))
-    return views.blocks(t).where(token_count(F.col("text")) > 40).select(
-        "document_id", "order_index", F.explode(F.sequence(F.lit(0), last)).alias("i"), words.alias("w")
-    ).select(
-        "document_id", "order_index", F.col("i").cast("long").alias("window_no"),
-        F.array_join(F.slice("w", F.col("i") * 30 + 1, F.lit(40)), " ").alias("content"),
-    )
+    long = views.blocks(t).where(token_count(F.col("text")) > 40)
+    cut = long.select("document_id", "order_index", F.posexplode(chunking.word_windows(F.col("text"), 40, 10)).alias("i", "content"))
+    return cut.select("document_id", "order_index", F.col("i").cast("long").alias("window_no"), "content")
 
 
 @query("E10_character_split", """
@@ -239,7 +234,31 @@ def _file_blocks(t: Tables) -> DataFrame:
     )
 
 
-@query("E11_file_chunks_default_limits")
+@query("E11_file_chunks_default_limits", with_views("blocks", """RECURSIVE_BODY WITH
+    cut AS (
+      SELECT document_id, order_index, text, 0 AS a0, 0 AS piece, CASE WHEN length(text) <= 1800 THEN length(text)
+          WHEN 1801 - strpos(reverse(substr(text, 1, 1800)), ' ') > 900 AND strpos(reverse(substr(text, 1, 1800)), ' ') > 0
+          THEN 1800 - strpos(reverse(substr(text, 1, 1800)), ' ') ELSE 1800 END AS stop FROM blocks
+      UNION ALL
+      SELECT document_id, order_index, text, n, piece + 1, CASE WHEN n + 1800 >= length(text) THEN length(text)
+          WHEN b > 0 AND 1800 - b > 900 THEN n + 1800 - b ELSE n + 1800 END
+      FROM (SELECT *, greatest(stop - 250, a0 + 1) AS n, strpos(reverse(substr(text, greatest(stop - 250, a0 + 1) + 1, 1800)), ' ') AS b
+            FROM cut WHERE stop < length(text))),
+    pieces AS (SELECT document_id, order_index, piece, order_index // 7 AS run,
+        CASE WHEN length(text) <= 1800 THEN text ELSE regexp_replace(substr(text, a0 + 1, stop - a0), '^\\s+|\\s+$', '', 'g') END AS text FROM cut),
+    items AS (SELECT document_id, row_number() OVER (PARTITION BY document_id ORDER BY order_index, piece) - 1 AS pos, length(text) + 2 AS w, text, run,
+        CASE WHEN run % 2 = 0 THEN 'Điều ' || run END AS article FROM pieces),
+    fold AS (
+      SELECT document_id, 0::BIGINT AS pos, 0::BIGINT AS part, w AS cur, run FROM items WHERE pos = 0
+      UNION ALL
+      SELECT f.document_id, i.pos, CASE WHEN i.run <> f.run OR f.cur + i.w > 1802 THEN f.part + 1 ELSE f.part END,
+        CASE WHEN i.run <> f.run OR f.cur + i.w > 1802 THEN i.w ELSE f.cur + i.w END, i.run
+      FROM fold f JOIN items i ON i.document_id = f.document_id AND i.pos = f.pos + 1)
+    SELECT f.document_id || '.docx' AS file_name, f.part + 1 AS sequence,
+      f.document_id || '.docx:chunk-' || lpad(CAST(f.part + 1 AS VARCHAR), greatest(4, length(CAST(f.part + 1 AS VARCHAR)))::INT, '0') AS chunk_id,
+      any_value(i.article) AS article, string_agg(i.text, chr(10) || chr(10) ORDER BY i.pos) AS text
+    FROM fold f JOIN items i ON i.document_id = f.document_id AND i.pos = f.pos
+    GROUP BY f.document_id, f.part"""))
 def _(t):
     return chunking.file_chunks(_file_blocks(t)).select("file_name", "sequence", "chunk_id", "article", "text")
 
