@@ -7,7 +7,7 @@ parent.  Eight running values, one per level, therefore replace a stack.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docgraph.functions.headings import LEVELS, classify
@@ -163,63 +163,65 @@ RESETS = {
     "DIEM": (),
     "PHU_LUC": ("CHUONG", "MUC", "DIEU", "KHOAN", "DIEM"),
 }
-LINES_PER_SEGMENT = 4096
 
 
-def legal_locations(texts: DataFrame, key: str = "version_id", text: str = "raw_text") -> DataFrame:
-    """Sections of a regulation text with their location string."""
+def _unit_of(line: Column) -> Column:
+    """The unit that a heading line opens; null for other lines."""
     from docgraph.functions.text import slug
 
-    lines = texts.select(key, F.posexplode(F.split(text, r"\r\n|\r|\n")).alias("ord", "line"))
-    lines = lines.withColumn("line", strip(F.col("line"))).where("line <> ''").withColumns(
-        {"ord": F.col("ord").cast("long"), "seg": F.expr(f"ord div {LINES_PER_SEGMENT}")}
-    )
-    raw = F.regexp_extract("line", UNIT_HEADING, 1)
-    kind = F.when(F.col("line").rlike(UNIT_HEADING), F.replace(F.upper(slug(raw, "-")), F.lit("-"), F.lit("_")))
-    lines = lines.withColumns(
-        {
-            "unit": kind,
-            "unit_label": strip(F.regexp_extract("line", UNIT_HEADING, 2)),
-            "unit_title": F.nullif(strip(F.regexp_extract("line", UNIT_HEADING, 3)), F.lit("")),
-            "shown": F.initcap(raw),
-        }
-    )
-    shown = F.struct("ord", F.concat_ws(" ", "shown", "unit_label").alias("v"))
-    lines = carry_last(
-        lines, [key], "seg", "ord",
-        {
-            **{f"u_{u}": F.when(F.col("unit") == u, shown) for u in UNITS},
-            "section_ord": F.when(F.col("unit").isNotNull(), F.col("ord")),
-        },
-    )
+    raw = F.regexp_extract(line, UNIT_HEADING, 1)
+    return F.when(line.rlike(UNIT_HEADING), F.replace(F.upper(slug(raw, "-")), F.lit("-"), F.lit("_")))
 
-    def alive(u: str) -> F.Column:
-        closers = [F.col(f"u_{other}.ord") for other, gone in RESETS.items() if u in gone]
-        if not closers:
-            return F.col(f"u_{u}.v")
-        latest = F.greatest(*closers, F.lit(-1))
-        return F.when(F.col(f"u_{u}.ord") > F.coalesce(latest, F.lit(-1)), F.col(f"u_{u}.v"))
-
-    lines = lines.withColumn("location", F.concat_ws(", ", *[alive(u) for u in UNITS]))
-    head = F.col("unit").isNotNull()
-    parts = lines.groupBy(key, F.coalesce("section_ord", F.lit(-1)).alias("ord"), "seg").agg(
-        F.min_by(F.struct("unit", "unit_label", "unit_title", "location"), F.when(head, F.col("ord"))).alias("h"),
-        F.array_sort(F.collect_list(F.when(~head, F.struct("ord", "line")))).alias("body"),
-    )
-    body = F.array_join(F.transform("body", lambda b: b["line"]), "\n")
-    sections = parts.withColumns({"content": body, "own": F.col("h").isNotNull()})
-    place = Window.partitionBy(key, "ord").orderBy("seg")
-    sections = sections.withColumns(
-        {"part": F.row_number().over(place) - 1, "first_h": F.first("h", ignorenulls=True).over(place)}
+
+def legal_locations(texts: DataFrame, key: str = "version_id", text: str = "raw_text") -> DataFrame:
+    """Sections of a regulation text with their location string, a row each; ``part`` is always 0.
+
+    A text lies in one row, so its lines are worked on there as an array: headings are
+    picked, one fold over them keeps the open unit of each kind, and the lines between two
+    headings are the content.  Nothing is shuffled.  A null text has no section.
+    """
+    lines = F.transform(F.split(text, r"\r\n|\r|\n"), lambda line, i: F.struct(i.cast("long").alias("ord"), strip(line).alias("line")))
+    kept = texts.select(key, F.filter(lines, lambda x: x["line"] != "").alias("_lines"))
+    part = lambda line, n: F.regexp_extract(line, UNIT_HEADING, n)
+    marked = F.transform("_lines", lambda x, i: F.struct(i.alias("at"), x["ord"].alias("ord"), x["line"].alias("line"), _unit_of(x["line"]).alias("unit")))
+    heads = F.transform(
+        F.filter(marked, lambda x: x["unit"].isNotNull()),
+        lambda x: F.struct(
+            x["at"].alias("at"), x["ord"].alias("ord"), x["unit"].alias("unit"), strip(part(x["line"], 2)).alias("label"),
+            F.nullif(strip(part(x["line"], 3)), F.lit("")).alias("title"), F.initcap(part(x["line"], 1)).alias("shown"),
+        ),
     )
-    untitled = F.col("ord") < 0
-    return sections.select(
-        key, "ord", "part", F.when(untitled, "PREAMBLE").otherwise(F.col("first_h.unit")).alias("section_type"),
-        F.col("first_h.unit_label").alias("label"), F.col("first_h.unit_title").alias("title"),
-        F.when(untitled, "Mở đầu").otherwise(F.col("first_h.location")).alias("legal_location"),
-        F.when((F.col("content") == "") & (F.col("part") == 0), F.col("first_h.location"))
-        .otherwise(F.col("content")).alias("content"),
+    kept = kept.withColumn("_heads", heads)
+    none = F.lit(None).cast("string")
+    closers = {u: [other for other, gone in RESETS.items() if u in gone] for u in UNITS}
+
+    def step(acc: Column, x: Column) -> Column:
+        name = F.concat_ws(" ", x["shown"], x["label"])
+        now = {u: F.when(x["unit"] == u, name).when(x["unit"].isin(closers[u]) if closers[u] else F.lit(False), none).otherwise(acc[u]) for u in UNITS}
+        location = F.concat_ws(", ", *now.values())
+        return F.struct(F.array_append(acc["found"], location).alias("found"), *[v.alias(u) for u, v in now.items()])
+
+    start = F.struct(F.array().cast("array<string>").alias("found"), *[none.alias(u) for u in UNITS])
+    kept = kept.withColumn("_locations", F.aggregate("_heads", start, step, lambda acc: acc["found"]))
+    count = F.size("_lines")
+    until = lambda i: F.coalesce(F.get("_heads", i + 1)["at"], count)
+    content = lambda first, n: F.array_join(F.transform(F.slice("_lines", first, n), lambda x: x["line"]), "\n")
+
+    def section(h: Column, i: Column) -> Column:
+        location, body = F.get("_locations", i), content(h["at"] + 2, until(i) - h["at"] - 1)
+        return F.struct(
+            h["ord"].alias("ord"), h["unit"].alias("section_type"), h["label"].alias("label"), h["title"].alias("title"),
+            location.alias("legal_location"), F.when(body == "", location).otherwise(body).alias("content"),
+        )
+
+    before = F.coalesce(F.get("_heads", F.lit(0))["at"], count)
+    preamble = F.struct(
+        F.lit(-1).cast("long").alias("ord"), F.lit("PREAMBLE").alias("section_type"), none.alias("label"), none.alias("title"),
+        F.lit("Mở đầu").alias("legal_location"), content(F.lit(1), before).alias("content"),
     )
+    sections = F.concat(F.when(before > 0, F.array(preamble)).otherwise(F.slice(F.array(preamble), F.lit(1), F.lit(0))), F.transform("_heads", section))
+    found = kept.select(key, F.explode(sections).alias("s"))
+    return found.select(key, "s.ord", F.lit(0).alias("part"), "s.section_type", "s.label", "s.title", "s.legal_location", "s.content")
 
 
 def whole_text_sections(texts: DataFrame, key: str = "version_id", text: str = "raw_text") -> DataFrame:
