@@ -19,5 +19,5 @@ def test_stages_keep_the_columns_of_documents(spark, docs, tmp_path):
 
 
 def test_names():
-    assert [n.split("_")[0] for n in queries.QUERIES] and {f"op{i}" for i in range(1, 11)} == {n.split("_")[0] for n in queries.QUERIES}
+    assert [n.split("_")[0] for n in queries.QUERIES] and {f"op{i}" for i in range(1, 14)} == {n.split("_")[0] for n in queries.QUERIES}
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_dedup", "pii", "mixing", "bpe"]
