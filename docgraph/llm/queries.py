@@ -207,18 +207,27 @@ def op12(spark, folder):
 OP13 = r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
-), sets AS (
-  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
-    ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s FROM words
-), shingles AS (
-  SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets
-), links AS (
-  SELECT a.doc_id AS p, b.doc_id AS q FROM shingles a JOIN shingles b USING (x) WHERE a.doc_id <> b.doc_id
-  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), listed AS (
+  SELECT doc_id, len(w) AS n, unnest(w) AS w, unnest(range(len(w))) AS i FROM words
+), runs AS (
+  SELECT doc_id, n, i, w || coalesce(' ' || lead(w, 1) OVER o, '') || coalesce(' ' || lead(w, 2) OVER o, '') || coalesce(' ' || lead(w, 3) OVER o, '') AS x
+  FROM listed WINDOW o AS (PARTITION BY doc_id ORDER BY i)
+), shingles AS MATERIALIZED (
+  SELECT DISTINCT doc_id, x FROM runs WHERE i <= greatest(n - 4, 0)
+), sizes AS MATERIALIZED (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY 1
+), common AS (
+  SELECT a.doc_id AS p, b.doc_id AS q, count(*) AS shared FROM shingles a JOIN shingles b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2
+), links AS MATERIALIZED (
+  SELECT p, q FROM common JOIN sizes a ON a.doc_id = p JOIN sizes b ON b.doc_id = q WHERE 100 * shared >= 80 * (a.n + b.n - shared)
+), edges AS MATERIALIZED (
+  SELECT p, q FROM links UNION ALL SELECT q, p FROM links
 ), reach(doc_id, r) AS (
-  SELECT doc_id, doc_id FROM documents UNION SELECT reach.doc_id, q FROM reach JOIN links ON r = p
+  SELECT doc_id, doc_id FROM documents UNION SELECT reach.doc_id, q FROM reach JOIN edges ON r = p
+), least AS (
+  SELECT doc_id, min(r) AS component_id FROM reach GROUP BY 1
 )
-SELECT doc_id, len(s)::BIGINT AS n_shingles, min(r) AS component_id, doc_id = min(r) AS kept FROM sets JOIN reach USING (doc_id) GROUP BY doc_id, s
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM least LEFT JOIN sizes USING (doc_id)
 """
 
 
