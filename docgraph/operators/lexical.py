@@ -177,13 +177,10 @@ def search(index: LexicalIndex, questions: DataFrame, k: int, first_wave: int |
 
 def top_k(index: LexicalIndex, questions: DataFrame, k: int) -> DataFrame:
     """``search``, and where fewer than ``k`` chunks share a token the first other chunks follow with score 0."""
-    best = written(search(index, questions, k))
-    short = query_tokens(questions).select("question_id").distinct().join(
-        best.groupBy("question_id").agg(F.count("*").alias("got")), "question_id", "left"
-    ).where(F.coalesce("got", F.lit(0)) < k)
-    place = index.place.drop("block")
-    first = place.orderBy("document_id", "order_index").limit(2 * k).withColumn("one", F.lit(1))
-    filler = short.select("question_id", F.lit(1).alias("one")).join(first, "one").drop("one")
-    filler = filler.join(best, ["question_id", "chunk_id"], "left_anti").withColumn("score", F.lit(0.0))
-    hits = best.drop("rank")
-    return top_per_key(hits.unionByName(filler.select(*hits.columns)), ["question_id"], best_first(), k)
+    best = search(index, questions, k).select("question_id", "chunk_id", "document_id", "order_index", "score")
+    # At most k of the first 2 k chunks can be among the best already, so k others are left.
+    first = index.place.drop("block").orderBy("document_id", "order_index", "chunk_id").limit(2 * k).withColumn("one", F.lit(1))
+    asked = query_tokens(questions).select("question_id").distinct().withColumn("one", F.lit(1))
+    filler = asked.join(first, "one").withColumn("score", F.lit(0.0)).select(*best.columns)
+    hits = best.unionByName(filler).groupBy("question_id", "chunk_id", "document_id", "order_index").agg(F.max("score").alias("score"))
+    return top_per_key(hits, ["question_id"], best_first(), k)
