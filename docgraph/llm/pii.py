@@ -53,6 +53,10 @@ CONTEXT = {
 }
 AGAINST = ("version", "isbn", "invoice", "order no", "serial", "chapter", "release")
 CONTEXT_CHARS = 40
+#: Code points in a block of a text.
+BLOCK = 256
+#: Beyond the end of any text.
+FAR = 2**31 - 1
 
 SPAN = "struct<kind:int,start:int,end:int,value:string,origin:int>"
 
@@ -85,17 +89,46 @@ def passes(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
+def scan(values: Column, combine, back: bool = False) -> Column:
+    """At each place, ``combine`` of all values up to it (``back``: from it on).
+
+    By doubling, so it takes n log n steps: an aggregate that appends to an array
+    copies the array for each element.
+    """
+    rounds = F.sequence(F.lit(0), F.ceil(F.log2(F.size(values) + F.lit(1))).cast("int"))
+
+    def double(done, r):
+        away = F.pow(F.lit(2), r).cast("int")
+
+        def step(v, i):
+            other = F.get(done, i + away if back else i - away)
+            return F.when(other.isNull(), v).otherwise(combine(v, other))
+
+        return F.transform(done, step)
+
+    return F.aggregate(rounds, values, double)
+
+
+def blocks_of(text: Column) -> Column:
+    """The text in blocks of ``BLOCK`` code points, so that a place deep in it is reached without walking there."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+
+def excerpt(blocks: Column, start: Column, end: Column) -> Column:
+    """Code points ``start`` to ``end`` (exclusive) of the text that was cut into ``blocks``."""
+    first, last = F.floor(start / BLOCK).cast("int"), F.floor(end / BLOCK).cast("int")
+    joined = F.array_join(F.slice(blocks, first + 1, last - first + 1), "")
+    return F.substring(joined, start - first * BLOCK + 1, end - start)
+
+
 def located(values: Column, pieces: Column, kind: int, origin: int) -> Column:
-    """Matches and the pieces between them as spans in code points."""
-    pairs = F.zip_with(values, F.slice(pieces, F.lit(1), F.size(values)), lambda v, p: F.struct(v.alias("v"), F.length(p).alias("gap"), F.length(v).alias("n")))
-    start = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as array<{SPAN}>)").alias("found"))
+    """Matches and the pieces before them as spans in code points."""
+    ends = scan(F.zip_with(values, F.slice(pieces, F.lit(1), F.size(values)), lambda v, p: F.length(p) + F.length(v)), lambda a, b: a + b)
 
-    def step(acc, x):
-        begin = acc["at"] + x["gap"]
-        span = F.struct(F.lit(kind).alias("kind"), begin.alias("start"), (begin + x["n"]).alias("end"), x["v"].alias("value"), F.lit(origin).alias("origin"))
-        return F.struct((begin + x["n"]).alias("at"), F.concat(acc["found"], F.array(span)).alias("found"))
+    def span(value, end):
+        return F.struct(F.lit(kind).alias("kind"), (end - F.length(value)).alias("start"), end.alias("end"), value.alias("value"), F.lit(origin).alias("origin"))
 
-    return F.aggregate(pairs, start, step, lambda acc: acc["found"])
+    return F.zip_with(values, ends, span)
 
 
 def nothing(kind: str = "string") -> Column:
@@ -136,14 +169,23 @@ def with_candidates(df: DataFrame) -> DataFrame:
     bad = [F.transform(F.filter(f"_b{k}", meets(kind, False)), lambda s: s.withField("origin", F.lit(FAILED))) for k, kind in enumerate(KINDS)]
     df = df.withColumn("_good", F.concat(*good)).withColumn("_rest", F.concat(*bad, *[F.col(f"_l{k}") for k in range(4)]))
     df = df.drop(*[f"_{x}{k}" for x in "bl" for k in range(4)])
-    apart = F.filter("_rest", lambda s: ~F.exists("_good", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    df = df.withColumn("_rest", F.when(F.size("_rest") > 0, apart).otherwise(F.col("_rest")))
-    return df.withColumn("base", F.transform("_good", voted)).withColumn("others", F.transform("_rest", voted)).drop("_good", "_rest")
+    # In order of their starts, a span overlaps a base one if one that starts no later ends after its start, or one that
+    # starts no earlier starts before its end.
+    tagged = lambda spans, good: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(good).alias("good"), s.alias("span")))
+    df = df.withColumn("_all", F.when(F.size("_rest") > 0, F.sort_array(F.concat(tagged("_good", True), tagged("_rest", False)))).otherwise(tagged(nothing(SPAN), False)))
+    ends = scan(F.transform("_all", lambda s: F.when(s["good"], s["end"]).otherwise(F.lit(0))), F.greatest)
+    starts = scan(F.transform("_all", lambda s: F.when(s["good"], s["start"]).otherwise(F.lit(FAR))), F.least, back=True)
+    df = df.withColumn("_ends", ends).withColumn("_starts", starts)
+    apart = F.filter(F.arrays_zip("_all", "_ends", "_starts"), lambda x: ~x["_all"]["good"] & (x["_ends"] <= x["_all"]["start"]) & (x["_starts"] >= x["_all"]["end"]))
+    df = df.withColumn("_rest", F.transform(apart, lambda x: x["_all"]["span"])).drop("_all", "_ends", "_starts")
+    any_span = (F.size("_good") > 0) | (F.size("_rest") > 0)
+    df = df.withColumn("_blocks", F.when(any_span, blocks_of(text)).otherwise(nothing()))
+    return df.withColumn("base", F.transform("_good", voted)).withColumn("others", F.transform("_rest", voted)).drop("_good", "_rest", "_blocks")
 
 
 def voted(span: Column) -> Column:
-    """The span with its five votes: 1 for personal data, -1 against, 0 for none."""
-    kind, value, origin, text = span["kind"], span["value"], span["origin"], F.col("text")
+    """The span with its five votes: 1 for personal data, -1 against, 0 for none; needs ``_blocks``."""
+    kind, value, origin, blocks = span["kind"], span["value"], span["origin"], F.col("_blocks")
     digits = only_digits(value)
     bare = F.lower(F.regexp_replace(value, r"[\x20()\[\]]", ""))
     yes, no, none = F.lit(1), F.lit(-1), F.lit(0)
@@ -160,13 +202,12 @@ def voted(span: Column) -> Column:
         .when(kind == 2, F.when(digits.rlike(ISSUERS), yes).otherwise(none))
         .otherwise(F.when(origin == LOOSE, none).otherwise(sign(value.rlike(COUNTRY_CODES))))
     )
-    before = F.lower(F.substring(text, F.greatest(F.lit(1), span["start"] + 1 - CONTEXT_CHARS), F.least(span["start"], F.lit(CONTEXT_CHARS))))
+    before = F.lower(excerpt(blocks, F.greatest(F.lit(0), span["start"] - CONTEXT_CHARS), span["start"]))
     said = F.lit(False)
     for k, kind_name in enumerate(KINDS):
         said = F.when(kind == k, before.rlike(r"(?<!\p{L})(?:" + "|".join(CONTEXT[kind_name]) + ")")).otherwise(said)
     context = F.when(before.rlike("|".join(AGAINST)), no).when(said, yes).otherwise(none)
-    left = F.substring(text, span["start"], F.lit(1))
-    around = F.concat(F.when(span["start"] > 0, left).otherwise(F.lit("")), F.substring(text, span["end"] + 1, F.lit(1)))
+    around = F.concat(excerpt(blocks, F.greatest(F.lit(0), span["start"] - 1), span["start"]), excerpt(blocks, span["end"], span["end"] + 1))
     edges = F.when(around.rlike(r"[\p{L}\p{N}]"), no).otherwise(yes)
     return F.struct(
         kind.alias("kind"), span["start"].alias("start"), span["end"].alias("end"), origin.alias("origin"),
@@ -266,17 +307,14 @@ def redact(docs: DataFrame, text_col: str = "text", chars_col: str | None = "n_c
     """
     found = with_spans(docs, text_col)
     spans = F.sort_array(F.transform(F.concat("base", "added"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    found = found.withColumn("spans", spans)
+    found = found.withColumn("_blocks", F.when(F.size("spans") > 0, blocks_of(F.col("text"))).otherwise(nothing()))
+    found = found.withColumn("_ends", scan(F.transform("spans", lambda s: s["end"]), F.greatest))
     name = lambda s: F.concat(F.lit("<"), F.upper(F.element_at(F.array(*map(F.lit, KINDS)), s["kind"] + 1)), F.lit(">"))
-    text = F.col("text")
-
-    def step(acc, s):
-        gap = F.substring(text, acc["at"] + 1, F.greatest(F.lit(0), s["start"] - acc["at"]))
-        parts = F.when(s["start"] >= acc["at"], F.concat(acc["parts"], F.array(gap, name(s)))).otherwise(acc["parts"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), parts.alias("parts"))
-
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("parts"))
-    done = F.aggregate("spans", start, step, lambda a: F.concat(F.array_join(a["parts"], ""), F.substring(text, a["at"] + 1, F.length(text))))
-    out = found.withColumn("spans", spans).withColumn("clean", F.when(F.size("spans") > 0, done).otherwise(F.col("row")[text_col]))
+    done = F.transform("_ends", lambda e, i: F.when(i == 0, F.lit(0)).otherwise(F.get("_ends", i - 1)))
+    found = found.withColumn("_parts", F.zip_with("spans", done, lambda s, at: F.when(s["start"] >= at, F.concat(excerpt(F.col("_blocks"), at, s["start"]), name(s))).otherwise(F.lit(""))))
+    tail = excerpt(F.col("_blocks"), F.get("_ends", F.size("_ends") - 1), F.length("text"))
+    out = found.withColumn("clean", F.when(F.size("spans") > 0, F.concat(F.array_join("_parts", ""), tail)).otherwise(F.col("row")[text_col]))
     columns = [F.col("clean").alias(text_col) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns]
     result = out.select(*columns)
     if chars_col in docs.columns:

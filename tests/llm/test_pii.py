@@ -72,3 +72,34 @@ def test_redaction(odd, docs):
 
 def test_empty_table(no_docs):
     assert pii.find(no_docs).collect() == [] and pii.redact(no_docs).collect() == []
+
+
+def test_scan_equals_running_values(spark):
+    rows = [([],), ([5],), ([3, 1, 2],), (list(range(100, 0, -1)),), ([1] * 1_025,)]
+    df = spark.createDataFrame(rows, "v array<int>")
+    for got in df.select("v", pii.scan(pii.F.col("v"), lambda a, b: a + b).alias("sums"), pii.scan(pii.F.col("v"), pii.F.least, back=True).alias("least")).collect():
+        v = got["v"]
+        assert got["sums"] == [sum(v[: i + 1]) for i in range(len(v))]
+        assert got["least"] == [min(v[i:]) for i in range(len(v))]
+
+
+def test_spans_of_either_kind_are_kept_apart(spark):
+    """Failed and loose spans that touch a base one go, whichever starts first."""
+    texts = ["a@b.c 1.2.3.4", "+1 4111 1111 1111 1111", "(389) 555-5010 x (at) y.com a@b.c", "999.1.1.1 +1 (212) 555-1234 4111111111111112", "é" * 300 + "a@b.c" + "🤦" * 600 + "+1 (212) 555-1234 999.1.1.1"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    for r in pii.with_candidates(rows).collect():
+        base = [(s["start"], s["end"]) for s in r["base"]]
+        assert [(pii.KINDS[s["kind"]], s["start"], s["end"]) for s in r["base"]] == base_spans(r["text"])
+        assert all(not (a < s["end"] and s["start"] < b) for s in r["others"] for a, b in base)
+
+
+def test_a_long_text_of_many_spans(spark):
+    """100,000 spans in one text of some MB: no step takes time by the square of the spans."""
+    line = "é mail john.doe{0}@example.com, call +1 (212) 555-{1:04d} or 999.1.1.1 from 10.0.{2}.{3} at noon;\n"
+    text = "".join(line.format(i, i % 10_000, i // 256 % 256, i % 256) for i in range(25_000))
+    rows = spark.createDataFrame([(1, text), (2, "x"), (3, None)], "doc_id long, text string")
+    got = {r["doc_id"]: r["base"] for r in pii.find(rows).select("row.doc_id", pii.listing(pii.F.col("base")).alias("base")).collect()}
+    assert got[1] == ",".join(":".join(map(str, s)) for s in base_spans(text)) and got[2] == got[3] == ""
+    clean = {r["doc_id"]: r["text"] for r in pii.redact(rows).collect()}
+    want = "".join("é mail <EMAIL>, call <PHONE> or 999.1.1.1 from <IP> at noon;\n" for _ in range(25_000))
+    assert clean[1] == want and clean[3] is None
