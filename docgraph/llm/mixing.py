@@ -2,9 +2,10 @@
 
 1. The words of every source are packed into blocks of ``block_words``.  A source is
    first dealt into parts of a few thousand documents, which are packed side by side.
-2. Every output shard gets a multinomial draw of source counts.  The whole part of
-   each expected count is given, and the rest of the slots is drawn from what is
-   left over (residual draws: the same expectation, less noise).
+2. Every output shard gets multinomial source counts, drawn given the totals of all
+   shards: each slot of each shard draws a source without putting it back, by a
+   pseudorandom permutation of all draws.  A source's total is its target, so the
+   draws differ from shard to shard but never miss a target.
 3. The slots of a source are numbered through all shards.  Slot j takes the block
    that a pseudorandom permutation of the source's block indexes, one for each pass
    over the source, puts at place j; slots and blocks meet by index.
@@ -15,6 +16,7 @@ One row for each source goes to the driver, as its weight does.  All else stays
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,6 +32,8 @@ ROUNDS = 6
 #: Walks of a permutation that end outside the indexes less than once in 10^19.
 WALKS = 16
 KEY = ["id", "text_hash", "source"]
+#: Equal rows that are numbered together.
+COPIES = 65_536
 
 
 def shared_targets(sizes: list[int], weights: list[float], most: float) -> list[float]:
@@ -49,11 +53,6 @@ def shared_targets(sizes: list[int], weights: list[float], most: float) -> list[
     return targets
 
 
-def uniform(*parts) -> F.Column:
-    """A number in [0, 1) from a hash of the parts."""
-    return F.shiftrightunsigned(F.xxhash64(*parts), 11) * F.lit(2.0**-53)
-
-
 def permuted(x: F.Column, n: F.Column, seed: int, *key) -> F.Column:
     """The image of index ``x`` under a permutation of 0 .. n - 1 that the key picks.
 
@@ -79,6 +78,30 @@ def permuted(x: F.Column, n: F.Column, seed: int, *key) -> F.Column:
     return F.when(once < n, once).otherwise(F.when(again >= 0, again).otherwise(F.raise_error(F.lit("a permutation did not end"))))
 
 
+def numbered_copies(sized: DataFrame) -> DataFrame:
+    """Adds ``nth``, which numbers rows of equal key and size from 1.
+
+    Equal rows are counted, which combines on the map side, and written out again a
+    bounded number at a time by many tasks, so a row that makes up a third of the
+    table is no task of its own.
+    """
+    counted = sized.groupBy(*sized.columns).agg(F.count("*").alias("n"))
+    runs = counted.withColumn("first", F.explode(F.sequence(F.lit(1), F.col("n"), F.lit(COPIES).cast("long")))).repartition(*KEY, "first")
+    last = F.least(F.col("n"), F.col("first") + COPIES - 1)
+    return runs.select(*sized.columns, F.explode(F.sequence(F.col("first"), last)).alias("nth"))
+
+
+def whole_counts(expected: list[float], most: list[int]) -> list[int]:
+    """Expected counts as whole numbers of the same rounded sum, none above ``most``: the largest remainders are rounded up."""
+    down = [min(int(e), m) for e, m in zip(expected, most)]
+    left = round(sum(expected)) - sum(down)
+    for i in sorted(range(len(expected)), key=lambda i: (down[i] - expected[i], i)):
+        if left > 0 and down[i] < most[i]:
+            down[i] += 1
+            left -= 1
+    return down
+
+
 @dataclass
 class Mix:
     rows: DataFrame  # id, text_hash, source, nth, size, s, source_size, target, taken
@@ -97,8 +120,7 @@ def plan_mix(
     are told apart by ``nth``.  An empty table gives empty results.
     """
     sized = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
-    same = Window.partitionBy(*KEY).orderBy("size")
-    sized = stored(sized.withColumn("nth", F.row_number().over(same)), "sized")
+    sized = stored(numbered_copies(sized), "sized")
     found = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
     found = sorted(found, key=lambda r: (r["source"] is None, r["source"] or ""))
     spark = docs.sparkSession
@@ -111,8 +133,8 @@ def plan_mix(
     rows = sized.join(listed, sized["source"].eqNullSafe(listed["name"])).drop("name")
 
     # Blocks: words [k * L, (k + 1) * L) of each part of a source.
-    rows = rows.withColumn("part", F.pmod(F.xxhash64(F.lit(seed), "id", "text_hash"), F.col("parts")))
-    before = Window.partitionBy("s", "part").orderBy(F.xxhash64(F.lit(seed + 1), "id", "text_hash"), *KEY, "nth").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("part", F.pmod(F.xxhash64(F.lit(seed), "id", "text_hash", "nth"), F.col("parts")))
+    before = Window.partitionBy("s", "part").orderBy(F.xxhash64(F.lit(seed + 1), "id", "text_hash", "nth"), *KEY, "nth").rowsBetween(Window.unboundedPreceding, -1)
     rows = stored(rows.withColumn("begin", F.coalesce(F.sum("size").over(before), F.lit(0))), "packed")
     parts = rows.groupBy("s", "part").agg(F.ceil(F.sum("size") / block_words).alias("blocks"))
     parts = prefix_sums(parts, ["s"], "part", "blocks", "offset")
@@ -136,41 +158,27 @@ def plan_mix(
 
 
 def draw_slots(spark, live: list[int], expected: list[float], blocks: list[int], shard_slots: int, most: int, seed: int) -> DataFrame:
-    """Slots (shard, s, pass, block) of all shards."""
-    total = round(sum(expected))
+    """Slots (shard, s, pass, block) of all shards.
+
+    Draw d of all shards belongs to the source within whose total its image under a
+    permutation of all draws falls; shard k makes the draws from k * shard_slots on.
+    """
+    totals = whole_counts(expected, [n * most for n in blocks])
+    total = sum(totals)
     if not total:
         return spark.createDataFrame([], "shard long, s int, pass long, block long")
-    shares = [e / sum(expected) for e in expected]
-
-    def counts(shards: DataFrame, slots: int) -> DataFrame:
-        """(shard, s, count): whole parts of the expected counts, and residual draws."""
-        whole = [int(slots * p) for p in shares]
-        rest = slots - sum(whole)
-        sure = shards.select("shard", F.explode(F.array(*[F.struct(F.lit(i).alias("s"), F.lit(w).cast("long").alias("count")) for i, w in zip(live, whole)])).alias("c")).select("shard", "c.s", "c.count")
-        if rest <= 0:
-            return sure
-        over, at = [], 0.0
-        for p, w in zip(shares, whole):
-            at += (slots * p - w) / rest
-            over.append(at)
-        over[-1] = 1.0
-        draws = shards.select("shard", F.explode(F.sequence(F.lit(1), F.lit(rest))).alias("t"))
-        u = uniform(F.lit(seed + 2), "shard", "t")
-        place = F.size(F.filter(F.array(*map(F.lit, over)), lambda c: c <= u))
-        return sure.union(draws.select("shard", F.element_at(F.array(*map(F.lit, live)), place + 1), F.lit(1).cast("long")))
-
-    full = total // shard_slots
-    drawn = counts(spark.range(full).withColumnRenamed("id", "shard"), shard_slots)
-    if total % shard_slots:
-        drawn = drawn.union(counts(spark.range(full, full + 1).withColumnRenamed("id", "shard"), total % shard_slots))
-    drawn = drawn.groupBy("shard", "s").agg(F.sum("count").alias("count")).where("count > 0")
+    tasks = max(1, -(-total // TASK_SLOTS))
+    ends = F.array(*[F.lit(e).cast("long") for e in accumulate(totals)])
+    draws = spark.range(0, total, 1, tasks).select(F.floor(F.col("id") / shard_slots).alias("shard"), permuted(F.col("id"), F.lit(total).cast("long"), seed + 2).alias("image"))
+    # A transform of one element: the image is found once, not again for every source.
+    place = F.transform(F.array("image"), lambda v: F.size(F.filter(ends, lambda e: e <= v)))[0]
+    drawn = draws.select("shard", F.element_at(F.array(*map(F.lit, live)), place + 1).alias("s")).groupBy("shard", "s").agg(F.count("*").alias("count"))
     numbered = prefix_sums(drawn, ["s"], "shard", "count", "first")
     size = spark.createDataFrame(list(zip(live, blocks)), "s int, blocks long")
     numbered = numbered.join(size, "s")
-    # A draw beyond ``most`` passes over a source stays empty.
-    numbered = numbered.withColumn("end", F.least(F.col("first") + F.col("count"), F.col("blocks") * most)).where("end > first")
+    numbered = numbered.withColumn("end", F.col("first") + F.col("count"))
     # A few bytes stand for many slots: dealt out by number, as their size would put them all into one task.
-    numbered = numbered.repartition(max(1, -(-total // TASK_SLOTS)), "shard", "s")
+    numbered = numbered.repartition(tasks, "shard", "s")
     j = numbered.select("shard", "s", "blocks", F.explode(F.sequence(F.col("first"), F.col("end") - 1)).alias("j"))
     j = j.select("shard", "s", "blocks", F.floor(F.col("j") / F.col("blocks")).alias("pass"), (F.col("j") % F.col("blocks")).alias("x"))
     return j.select("shard", "s", "pass", permuted(F.col("x"), F.col("blocks"), seed + 3, F.col("s"), F.col("pass")).alias("block"))

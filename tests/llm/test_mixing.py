@@ -49,6 +49,62 @@ def test_draws_have_the_expected_counts(spark):
         assert max(passes) - min(passes) <= 1
 
 
+def test_whole_counts():
+    assert M.whole_counts([1.5, 2.25, 0.25], [9, 9, 9]) == [2, 2, 0]
+    assert M.whole_counts([2.6, 2.6, 2.8], [3, 2, 3]) == [3, 2, 3]
+    assert M.whole_counts([], []) == [] and M.whole_counts([0.0], [0]) == [0]
+
+
+def test_counts_of_shards_vary_and_totals_do_not(spark):
+    """Every shard is full, totals equal the targets, and counts of shards spread like draws do."""
+    expected, blocks = [1_024.0, 3_072.0, 4_096.5], [1_000, 1_500, 5_000]
+    rows = M.draw_slots(spark, [3, 5, 8], expected, blocks, 128, 3, 9).collect()
+    assert Counter(r["s"] for r in rows) == dict(zip((3, 5, 8), M.whole_counts(expected, [3 * b for b in blocks])))
+    by_shard = Counter((r["shard"], r["s"]) for r in rows)
+    assert {n for n in Counter(r["shard"] for r in rows if r["shard"] < 64).values()} == {128}
+    counts = [by_shard[k, 3] for k in range(64)]
+    spread = sum((c - 16) ** 2 for c in counts) / 64
+    # A binomial count of 128 draws at 1/8 has a variance of 14.
+    assert 6 < spread < 28
+
+
+def test_hot_rows_are_spread_and_counted(spark):
+    """A third of equal rows, a third without id: numbered without gaps, in many parts, words tiled exactly."""
+    rows = [(7, "same text here", "a")] * 3_000 + [(None, f"no id {i % 5}", "a") for i in range(3_000)] + [(100 + i, f"row {i} of its own", None if i % 2 else "b") for i in range(3_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    mix = M.plan_mix(df, block_words=8, shard_slots=64)
+    got = mix.rows.collect()
+    assert Counter((r["id"], r["source"], r["size"]) for r in got) == Counter((i, s, len(t.split())) for i, t, s in rows)
+    nth = defaultdict(list)
+    for r in got:
+        nth[r["id"], r["text_hash"], r["source"]].append(r["nth"])
+    assert all(sorted(v) == list(range(1, len(v) + 1)) for v in nth.values())
+    key = lambda r: (r["id"], r["text_hash"], r["source"], r["nth"])
+    takes = Counter((r["s"], r["block"]) for r in mix.slots.collect())
+    covered, taken, filled = defaultdict(list), Counter(), Counter()
+    for r in mix.segments.collect():
+        covered[key(r)].append((r["first"], r["words"]))
+        taken[key(r)] += r["words"] * takes[r["s"], r["block"]]
+        filled[r["s"], r["block"]] += r["words"]
+    for r in got:
+        at = 0
+        for first, words in sorted(covered[key(r)]):
+            assert first == at
+            at += words
+        assert at == r["size"] and r["taken"] == taken[key(r)]
+    assert max(filled.values()) == 8
+    for s in {r["source"] for r in got}:
+        of = [r for r in got if r["source"] == s]
+        assert abs(sum(r["taken"] for r in of) - of[0]["target"]) <= 0.02 * of[0]["target"] + 16
+
+
+def test_copies_are_written_out_by_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(M, "COPIES", 100)
+    df = spark.range(1_050).select(F.lit(1).cast("long").alias("id"), F.lit(5).cast("long").alias("text_hash"), F.lit("a").alias("source"), F.lit(3).cast("long").alias("size"))
+    rows = M.numbered_copies(df)
+    assert sorted(r["nth"] for r in rows.collect()) == list(range(1, 1_051))
+
+
 def test_mix_of_rows(docs):
     mix = M.plan_mix(docs, block_words=16)
     rows = mix.rows.collect()
