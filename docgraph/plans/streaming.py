@@ -81,6 +81,20 @@ def _(t):
     return _updates(S.login_outcomes(views.login_events(_stream(t))), t, "s2")
 
 
+#: What the watermark of a stream one day behind has passed when its input ends.
+_PASSED = " WHERE epoch_ms(ts) <= (SELECT epoch_ms(max(ts)) - 86400000 FROM events))"
+
+
+@query("S1_job_states_in_event_time", with_views("job_events", _S1.replace("FROM job_events)", "FROM job_events" + _PASSED, 1)))
+def _(t):
+    return _updates(S.job_states(views.job_events(_stream(t)), "1 day"), t, "s1-late")
+
+
+@query("S2_login_lockout_in_event_time", with_views("login_events", _S2.replace("FROM login_events)", "FROM login_events" + _PASSED, 1)))
+def _(t):
+    return _updates(S.login_outcomes(views.login_events(_stream(t)), "1 day"), t, "s2-late")
+
+
 @query("S3_refresh_rotation", """
     SELECT user_id AS family_id, event_id AS seq, CASE WHEN n = 1 THEN 'ROTATED' WHEN n < 6 THEN 'ROTATED' WHEN n = 6 THEN 'REFRESH_TOKEN_REUSE'
       WHEN n % 2 = 0 THEN 'INVALID_REFRESH_TOKEN' ELSE 'SESSION_REVOKED_OR_EXPIRED' END AS outcome

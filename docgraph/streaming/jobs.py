@@ -114,8 +114,102 @@ class JobProcessor(StatefulProcessor):
         pass
 
 
-def job_states(events: DataFrame) -> DataFrame:
-    """S1 on a stream of transitions."""
+class Reordering(StatefulProcessor):
+    """Hands the rows of a key to ``inner`` in event time, whatever their order of arrival.
+
+    Rows wait in state until the watermark has passed them.  One timer a key, at its
+    oldest waiting row, releases all rows that are due.  A row that arrives when the
+    watermark has passed it is not handed on: it comes out with the outcome LATE and
+    nulls for the state columns.
+
+    ``fields`` are the columns that ``inner`` reads, ``number`` the one that tells the
+    rows of a key apart; a row that is delivered twice while it waits counts once.
+    """
+
+    def __init__(self, inner: StatefulProcessor, fields: str, number: str, output: str):
+        self.inner, self.fields, self.number, self.columns = inner, fields, number, _names(output)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.inner.init(handle)
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "number bigint", f"due_ms bigint, {self.fields}")
+        self.next = handle.getValueState("next", "due_ms bigint")
+        self.kinds = dict(part.split() for part in self.fields.split(","))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs()
+        known = self.next.get()[0] if self.next.exists() else None
+        oldest, late = known, []
+        for part in rows:
+            for e in part.itertuples(index=False):
+                due = int(e.due_ms)
+                if due <= passed:
+                    late.append((key[0], int(getattr(e, self.number)), "LATE", *[None] * (len(self.columns) - 3)))
+                    continue
+                self.waiting.updateValue((int(getattr(e, self.number)),), (due, *(_plain(getattr(e, c), kind) for c, kind in self.kinds.items())))
+                oldest = due if oldest is None else min(oldest, due)
+        if oldest != known:
+            self._wake_at(oldest)
+        if late:
+            yield pd.DataFrame(late, columns=self.columns)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs()
+        due, oldest = [], None
+        for number, row in list(self.waiting.iterator()):
+            if row[0] <= passed:
+                due.append(tuple(_naive(v) for v in row[1:]))
+                self.waiting.removeKey(tuple(number))
+            else:
+                oldest = row[0] if oldest is None else min(oldest, row[0])
+        if oldest is None:
+            self.next.clear()
+        else:
+            self._wake_at(oldest)
+        if due:
+            yield from self.inner.handleInputRows(key, iter([pd.DataFrame(due, columns=list(self.kinds))]), timerValues)
+
+    def _wake_at(self, due: int) -> None:
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.next.update((due,))
+        self.handle.registerTimer(due - 1)
+
+    def close(self) -> None:
+        pass
+
+
+def _plain(value, kind: str):
+    """A value from pandas as the plain Python value of a column type; missing ones are None."""
+    if pd.isna(value):
+        return None
+    return {"bigint": int, "int": int, "boolean": bool, "timestamp": lambda v: v.to_pydatetime()}.get(kind, str)(value)
+
+
+def _naive(value):
+    return value.replace(tzinfo=None) if hasattr(value, "tzinfo") else value
+
+
+def in_event_time(events: DataFrame, key: str, inner: StatefulProcessor, fields: str, number: str, output: str, delay: str) -> DataFrame:
+    """Runs ``inner`` over the rows of each key in event time (``ts``), with LATE for rows that come by ``delay`` or more behind the newest."""
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
+    # Of plain numbers: rows behind a watermarked column would be dropped before the processor sees them.
+    rows = timed.select(key, *[F.timestamp_micros(F.unix_micros("ts")).alias("ts") if c == "ts" else F.col(c) for c in _names(fields)], F.unix_millis("ts").alias("due_ms"))
+    return rows.groupBy(key).transformWithStateInPandas(Reordering(inner, fields, number, output), output, "Update", "EventTime")
+
+
+JOB_FIELDS = "seq bigint, status string, progress bigint, current_step string, current_page bigint, total_pages bigint, error_message string"
+
+
+def job_states(events: DataFrame, delay: str | None = None) -> DataFrame:
+    """S1 on a stream of transitions.
+
+    Without ``delay``, the rows of a micro-batch are taken by ``seq``.  With it, rows
+    may arrive in any order within the delay: they are taken in event time once the
+    watermark has passed them, and later ones come out as LATE.
+    """
+    if delay is not None:
+        return in_event_time(events, "job_id", JobProcessor(), JOB_FIELDS, "seq", JOB_OUTPUT, delay)
     return events.groupBy("job_id").transformWithStateInPandas(JobProcessor(), JOB_OUTPUT, "Update", "None")
 
 
@@ -160,8 +254,10 @@ class LoginProcessor(StatefulProcessor):
         pass
 
 
-def login_outcomes(events: DataFrame) -> DataFrame:
-    """S2 on a stream of attempts."""
+def login_outcomes(events: DataFrame, delay: str | None = None) -> DataFrame:
+    """S2 on a stream of attempts; with ``delay``, in event time across micro-batches (see ``job_states``)."""
+    if delay is not None:
+        return in_event_time(events, "user_id", LoginProcessor(), "event_id bigint, ts timestamp, ok boolean", "event_id", LOGIN_OUTPUT, delay)
     return events.groupBy("user_id").transformWithStateInPandas(LoginProcessor(), LOGIN_OUTPUT, "Update", "None")
 
 
@@ -217,16 +313,21 @@ class RotationProcessor(StatefulProcessor):
         for hashed, (at,) in list(self.used.iterator()):
             if at.replace(tzinfo=None) < last - timedelta(days=SESSION_DAYS):
                 self.used.removeKey(tuple(hashed))
-        yield pd.DataFrame(out, columns=["family_id", "seq", "outcome"])
+        yield pd.DataFrame(out, columns=_names(ROTATION_OUTPUT))
 
     def close(self) -> None:
         pass
 
 
-def rotations(events: DataFrame) -> DataFrame:
-    return events.groupBy("family_id").transformWithStateInPandas(
-        RotationProcessor(), "family_id bigint, seq bigint, outcome string", "Update", "None"
-    )
+ROTATION_OUTPUT = "family_id bigint, seq bigint, outcome string"
+
+
+def rotations(events: DataFrame, delay: str | None = None) -> DataFrame:
+    """S3 on a stream of refreshes; with ``delay``, in event time across micro-batches (see ``job_states``)."""
+    if delay is not None:
+        fields = "seq bigint, ts timestamp, presented string, issued string"
+        return in_event_time(events, "family_id", RotationProcessor(), fields, "seq", ROTATION_OUTPUT, delay)
+    return events.groupBy("family_id").transformWithStateInPandas(RotationProcessor(), ROTATION_OUTPUT, "Update", "None")
 
 
 def security_changes(history: DataFrame) -> DataFrame:
