@@ -8,6 +8,7 @@ from docgraph.functions import text as X
 from docgraph.operators import audit as A
 from docgraph.operators import governance as G
 from docgraph.operators import ops as O
+from docgraph.operators import overview as V
 from docgraph.operators.filters import active, contains_needle, equals_all, page
 from docgraph.operators.ordered import first_per_key, top_per_key
 from docgraph.operators.vectors import upsert
@@ -475,3 +476,62 @@ def _(t):
     tasks = row_index(j.select("job_id", "seq", "status", "seg"), ["job_id"], "seg", "seq", "n")
     outputs = t.events.select(F.col("event_id").alias("seq"), F.col("event_type").alias("output"))
     return tasks.join(outputs, "seq").select("job_id", "seq", "status", "output", (F.col("n") + 1).alias("task_order"))
+
+
+@query("C23_analysis_overview", with_views("kg_nodes kg_edges job_events", f"""
+    SELECT c_custkey AS document_id, s.seq AS summary_id, coalesce(n.c, 0) AS nodes, coalesce(e.c, 0) AS edges, coalesce(f.c, 0) AS red_flags, coalesce(f.h, 0) AS high_flags,
+      coalesce(q.c, 0) AS questions, j.status AS processing_status, j.progress AS processing_progress, i.status AS index_status, i.progress AS index_progress
+    FROM customer
+    LEFT JOIN (SELECT document_id, seq FROM job_events WHERE status = 'COMPLETED' QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY ts DESC, seq DESC) = 1) s ON s.document_id = c_custkey
+    LEFT JOIN (SELECT document_id, count(*) AS c FROM kg_nodes GROUP BY 1) n ON n.document_id = c_custkey
+    LEFT JOIN (SELECT document_id, count(*) AS c FROM kg_edges GROUP BY 1) e ON e.document_id = c_custkey
+    LEFT JOIN (SELECT user_id, count(*) AS c, count(*) FILTER (event_id % 4 < 2) AS h FROM events WHERE event_type = 'error' GROUP BY 1) f ON f.user_id = c_custkey
+    LEFT JOIN (SELECT conv_id, count(*) AS c FROM conversations WHERE role = 'user' GROUP BY 1) q ON q.conv_id = c_custkey
+    LEFT JOIN ({_LATEST.replace("status, seq", "status, seq, progress")}) j ON j.document_id = c_custkey
+    LEFT JOIN ({_LATEST_INDEX.replace("status, seq", "status, seq, progress")}) i ON i.document_id = c_custkey"""))
+def _(t):
+    jobs = views.job_events(t)
+    return V.analysis_overview(
+        t.customer.selectExpr("c_custkey document_id"),
+        summaries=jobs.where("status = 'COMPLETED'").selectExpr("document_id", "seq summary_id", "ts created_at"),
+        nodes=views.kg_nodes(t), edges=views.kg_edges(t),
+        flags=t.events.where("event_type = 'error'").selectExpr("user_id document_id", "case event_id % 4 when 0 then 'CRITICAL' when 1 then 'HIGH' else 'LOW' end severity"),
+        questions=t.conversations.where("role = 'user'").selectExpr("conv_id document_id"),
+        processing=jobs, index_jobs=jobs.where("attempt % 2 = 1"),
+    )
+
+
+@query("C25_agent_run_view", """
+    WITH tasks AS (SELECT l_orderkey || '-' || l_linenumber AS task_id, any_value(l_orderkey) AS run_id, any_value(l_linenumber) AS sequence_number, max(l_linestatus) AS status,
+        max(CASE WHEN l_returnflag = 'R' THEN l_linestatus END) AS error FROM lineitem GROUP BY 1)
+    SELECT o_orderkey AS run_id, o_custkey AS document_id, o_orderstatus AS status, substr(o_orderpriority, 1, 1)::INT AS attempt, v.status AS verification_status, v.issues AS verification_issues,
+      k.task_id, 'agent-' || (k.sequence_number % 5) AS agent_name, k.sequence_number, k.status AS task_status, k.error AS task_error, x.result, x.confidence
+    FROM orders LEFT JOIN tasks k ON k.run_id = o_orderkey
+      LEFT JOIN (SELECT l_orderkey, CASE WHEN l_tax > 0.04 THEN 'NEEDS_REVIEW' ELSE 'VERIFIED' END AS status, l_partkey AS issues FROM lineitem WHERE l_discount > 0.05
+        QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate DESC, l_tax > 0.04, l_partkey DESC) = 1) v ON v.l_orderkey = o_orderkey
+      LEFT JOIN (SELECT l_orderkey || '-' || l_linenumber AS task_id, 'r' || l_partkey AS result, l_discount AS confidence FROM lineitem WHERE l_returnflag <> 'R'
+        QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate DESC, 'r' || l_partkey DESC, l_discount DESC) = 1) x ON x.task_id = k.task_id""")
+def _(t):
+    task = "concat(l_orderkey, '-', l_linenumber) task_id"
+    lines = t.lineitem
+    tasks = lines.groupBy("l_orderkey", "l_linenumber").agg(F.max("l_linestatus").alias("status"), F.max(F.when(F.col("l_returnflag") == "R", F.col("l_linestatus"))).alias("error_message"))
+    return V.run_view(
+        t.orders.selectExpr("o_orderkey run_id", "o_custkey document_id", "o_orderstatus status", "cast(substring(o_orderpriority, 1, 1) as int) attempt"),
+        tasks.selectExpr("l_orderkey run_id", task, "concat('agent-', l_linenumber % 5) agent_name", "l_linenumber sequence_number", "status", "error_message"),
+        lines.where("l_returnflag <> 'R'").selectExpr(task, "concat('r', l_partkey) result", "l_discount confidence", "l_shipdate created_at"),
+        lines.where("l_discount > 0.05").selectExpr("l_orderkey run_id", "if(l_tax > 0.04, 'NEEDS_REVIEW', 'VERIFIED') status", "l_partkey issues", "l_shipdate created_at"),
+    )
+
+
+@query("C25_workflow_view", with_views("job_events", """
+    SELECT c_custkey AS workflow_id, c_nationkey AS document_id, c_mktsegment AS status, part, position, name, part_status, error_message
+    FROM customer LEFT JOIN (
+      SELECT document_id, 'STEP' AS part, row_number() OVER (PARTITION BY document_id ORDER BY seq) AS position, seq::VARCHAR AS name, status AS part_status, error_message FROM job_events
+      UNION ALL SELECT user_id, 'EXECUTION', row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id), event_type, CASE WHEN event_id % 7 = 0 THEN 'FAILED' ELSE 'SUCCEEDED' END, NULL FROM events
+    ) ON document_id = c_custkey"""))
+def _(t):
+    return V.workflow_view(
+        t.customer.selectExpr("c_custkey workflow_id", "c_nationkey document_id", "c_mktsegment status"),
+        views.job_events(t).selectExpr("document_id workflow_id", "seq step_id", "seq number", "status", "error_message"),
+        t.events.selectExpr("user_id workflow_id", "event_type model", "ts started_at", "event_id attempt_number", "if(event_id % 7 = 0, 'FAILED', 'SUCCEEDED') status", "cast(null as string) error_message"),
+    )
