@@ -471,41 +471,88 @@ def run_updates(stream: DataFrame, path: str) -> DataFrame:
     return stream.sparkSession.read.parquet(f"{path}/data").drop("batch")
 
 
-def merge_into_buckets(stream: DataFrame, path: str, key: str, buckets: int) -> DataFrame:
+def merge_into_buckets(stream: DataFrame, path: str, key: str, buckets: int, order: list[str] | None = None) -> DataFrame:
     """Keeps the last row of every key; a micro-batch rewrites only the buckets it touches.
 
-    Bucket and version are folders.  A batch reads the newest version of each touched
-    bucket, merges by key and writes that bucket under its own batch id, so a retried
-    batch replaces itself and untouched buckets are neither read nor written.
+    Returns the rows as they stand after all available input (see ``merge_batch``).
     """
+    run_batches(stream, path, lambda batch, number: merge_batch(batch, number, path, key, buckets, order), "append")
+    return bucket_rows(stream.sparkSession, path, stream.schema)
+
+
+def merge_batch(batch: DataFrame, number: int, path: str, key: str, buckets: int, order: list[str] | None = None) -> None:
+    """Merges micro-batch ``number`` (0, 1, ...) into the bucket versions under ``path``.
+
+    Bucket and version are folders; manifest ``number`` names the newest version of
+    every bucket and is written last.  A batch reads the manifest before its own and
+    writes the touched buckets under its own number, so a retried batch replaces
+    itself.  Then the versions that only the manifest before that one named go: a
+    reader of the last two manifests still finds its files, and the rows kept are at
+    most those of two versions of each bucket.
+
+    Of several rows of a key in one batch the one with the largest ``order`` columns
+    wins, by default with the largest values of all its columns.
+    """
+    from docgraph.operators.ordered import last_per_key
     from docgraph.operators.vectors import upsert
 
-    spark = stream.sparkSession
-    schema = stream.schema
-    data = f"{path}/index"
-
-    def newest(before: int | None) -> DataFrame | None:
-        known = spark.read.schema("bucket int, version bigint").parquet(f"{path}/versions/*")
-        known = known if before is None else known.where(F.col("version") < before)
-        return known.groupBy("bucket").agg(F.max("version").alias("version"))
-
-    def write(batch: DataFrame, number: int) -> None:
-        placed = batch.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
-        touched = placed.select("bucket").distinct()
-        new = placed
-        if number:
-            old = spark.read.schema(f"{_ddl(schema)}, bucket int, version bigint").parquet(data)
-            old = old.join(newest(number).join(touched, "bucket"), ["bucket", "version"]).drop("version")
-            new = upsert(old, placed.withColumn("_at", F.lit(number)), [key], "_at").select(*schema.names, "bucket")
-        else:
-            new = new.dropDuplicates([key])
-        out = new.withColumn("version", F.lit(number).cast("bigint"))
-        out.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "version").parquet(data)
-        touched.withColumn("version", F.lit(number).cast("bigint")).write.mode("overwrite").parquet(f"{path}/versions/{number}")
-
-    run_batches(stream, path, write, "append")
-    rows = spark.read.schema(f"{_ddl(schema)}, bucket int, version bigint").parquet(data)
-    return rows.join(newest(None), ["bucket", "version"]).select(*schema.names)
+    spark, names = batch.sparkSession, batch.schema.names
+    ranked = [*(order or []), *[c for c in names if c != key and c not in (order or [])]]
+    placed = last_per_key(batch, [key], [F.col(c) for c in ranked]) if ranked else batch.distinct()
+    placed = placed.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+    # One number a bucket goes to the driver; how many there are is a parameter.
+    touched = [r["bucket"] for r in placed.select("bucket").distinct().collect()]
+    before = _manifest(spark, path, number - 1) if number else {}
+    old = _versions(spark, path, batch.schema, {b: before[b] for b in touched if b in before})
+    new = placed if old is None else upsert(old, placed.withColumn("_at", F.lit(number)), [key], "_at").select(*names, "bucket")
+    out = new.withColumn("version", F.lit(number).cast("bigint"))
+    out.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "version").parquet(f"{path}/index")
+    stands = before | dict.fromkeys(touched, number)
+    spark.createDataFrame(sorted(stands.items()), MANIFEST).coalesce(1).write.mode("overwrite").parquet(f"{path}/manifests/{number}")
+    if number > 1 and str(number - 2) in _folders(spark, f"{path}/manifests"):
+        kept = before.items() | stands.items()
+        for bucket, version in _manifest(spark, path, number - 2).items():
+            if (bucket, version) not in kept:
+                _remove(spark, f"{path}/index/bucket={bucket}/version={version}")
+        _remove(spark, f"{path}/manifests/{number - 2}")
+
+
+def bucket_rows(spark: SparkSession, path: str, schema, number: int | None = None) -> DataFrame:
+    """The rows of the newest manifest, or of ``number``; none if no batch has been merged."""
+    if number is None:
+        number = max((int(n) for n in _folders(spark, f"{path}/manifests")), default=None)
+    rows = None if number is None else _versions(spark, path, schema, _manifest(spark, path, number))
+    return spark.createDataFrame([], schema) if rows is None else rows.select(*schema.names)
+
+
+MANIFEST = "bucket int, version bigint"
+
+
+def _manifest(spark: SparkSession, path: str, number: int) -> dict[int, int]:
+    return {r["bucket"]: r["version"] for r in spark.read.schema(MANIFEST).parquet(f"{path}/manifests/{number}").collect()}
+
+
+def _versions(spark: SparkSession, path: str, schema, wanted: dict[int, int]) -> DataFrame | None:
+    """Rows of the given bucket versions with their bucket; no other version is listed or opened."""
+    if not wanted:
+        return None
+    reader = spark.read.schema(f"{_ddl(schema)}, {MANIFEST}").option("basePath", f"{path}/index")
+    return reader.parquet(*[f"{path}/index/bucket={b}/version={v}" for b, v in sorted(wanted.items())]).drop("version")
+
+
+def _hadoop(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def _folders(spark: SparkSession, path: str) -> list[str]:
+    store, place = _hadoop(spark, path)
+    return [f.getPath().getName() for f in store.listStatus(place) if f.isDirectory()] if store.exists(place) else []
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    store, place = _hadoop(spark, path)
+    store.delete(place, True)
 
 
 def _ddl(schema) -> str:
