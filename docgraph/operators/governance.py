@@ -92,6 +92,19 @@ def visible_documents(actors: DataFrame, documents: DataFrame, grants: DataFrame
     return owned.unionByName(shared).distinct().unionByName(all_of)
 
 
+def visible_counts(actors: DataFrame, documents: DataFrame, grants: DataFrame) -> DataFrame:
+    """Number of documents each actor may read, of those who may read any.
+
+    An administrator reads what his commune holds, so each commune is counted once and
+    no actor is paired with the documents of his commune.
+    """
+    admin = F.col("role") == "ADMIN"
+    own = visible_documents(actors.where(~admin), documents, grants).distinct().groupBy("user_id").agg(F.count("*").alias("visible"))
+    held = documents.where("not is_deleted").select("document_id", "commune_id").distinct().groupBy("commune_id").agg(F.count("*").alias("visible"))
+    who = actors.where(admin & F.col("is_active") & (F.col("status") == "ACTIVE") & role_has(F.col("role"), "documents:read_commune"))
+    return own.unionByName(who.join(held, "commune_id").select("user_id", "visible"))
+
+
 def document_policy(pairs: DataFrame) -> DataFrame:
     """H36, B10.  ``pairs``: actor columns a_*, document columns, has_grant."""
     c = F.col
