@@ -57,19 +57,41 @@ def duplicate_dates(versions: DataFrame) -> DataFrame:
 
 def facts(versions: DataFrame) -> DataFrame:
     """One row per version and fact found in its text."""
+    found = _with_facts(versions.select("version_id", "document_id", "raw_text"))
+    return found.select("version_id", "document_id", F.explode("facts").alias("f")).select("version_id", "document_id", "f.*")
+
+
+def _with_facts(versions: DataFrame) -> DataFrame:
+    """``versions`` with the facts of each text as an array.
+
+    A text is searched once per pattern; the value is taken from the part that matched.
+    """
+    matched = versions.withColumns({f"_{key}": F.regexp_extract("raw_text", pattern, 0) for key, (pattern, _, _) in FACTS.items()})
     found = F.array(
         *[
             F.struct(
-                F.lit(key).alias("fact_key"),
-                X.strip(F.regexp_extract("raw_text", pattern, 1)).alias("value"),
-                X.strip(F.regexp_extract("raw_text", pattern, 0)).alias("quote"),
+                F.lit(key).alias("fact_key"), X.strip(F.regexp_extract(f"_{key}", pattern, 1)).alias("value"),
+                X.strip(F.col(f"_{key}")).alias("quote"),
             )
             for key, (pattern, _, _) in FACTS.items()
         ]
     )
-    return versions.select(
-        "version_id", "document_id", F.explode(F.filter(found, lambda f: f["quote"] != "")).alias("f")
-    ).select("version_id", "document_id", "f.*")
+    return matched.select(*versions.columns, F.filter(found, lambda f: f["quote"] != "").alias("facts"))
+
+
+def located_facts(versions: DataFrame) -> DataFrame:
+    """H28 and H29 in the row of the text: rows of ``facts`` with the location of the first
+    section holding the quote or the value.  Nothing is shuffled; of given facts and
+    sections ``locate`` makes the same."""
+    from docgraph.operators.structure import with_sections
+
+    rows = with_sections(_with_facts(versions.select("version_id", "document_id", "raw_text")))
+    folded = F.transform("sections", lambda s: F.struct(s["legal_location"].alias("location"), X.fold(s["content"]).alias("content")))
+    sought = F.transform("facts", lambda f: F.struct(f.alias("f"), X.fold(f["quote"]).alias("quote"), X.fold(f["value"]).alias("value")))
+    rows = rows.select("version_id", "document_id", folded.alias("sections"), F.explode(sought).alias("x"))
+    holds = lambda s: s["content"].contains(F.col("x.quote")) | s["content"].contains(F.col("x.value"))
+    location = F.coalesce(F.get(F.filter("sections", holds), F.lit(0))["location"], F.lit(WHOLE_TEXT))
+    return rows.select("version_id", "x.f.fact_key", "document_id", "x.f.value", "x.f.quote", location.alias("location"))
 
 
 def locate(found: DataFrame, sections: DataFrame) -> DataFrame:

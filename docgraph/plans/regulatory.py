@@ -24,14 +24,13 @@ def _versions(t):
 
 
 def _located(t):
-    v = _stored(t)
-    return R.locate(R.facts(v), structure.legal_locations(v))
+    return R.located_facts(_stored(t))
 
 
 def _changes(t, located=True):
-    v = _versions(t)
-    found = _located(t) if located else R.facts(v).withColumn("location", F.lit(R.WHOLE_TEXT))
-    return R.diff(v, found)
+    # Written once: a fact stands on the old side of one pair of versions and on the new side of another.
+    found = _located(t) if located else R.facts(_stored(t)).withColumn("location", F.lit(R.WHOLE_TEXT))
+    return R.diff(_versions(t), cut_lineage(found))
 
 
 def _impacts(t):
