@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docgraph.functions import text as X
 from docgraph.operators.ordered import carry_last
+from docgraph.session import cut_lineage
 
 # Fact patterns, the change each fact means, and its shown name.
 FACTS = {
@@ -218,8 +219,10 @@ def impacts(versions: DataFrame, changes: DataFrame, projects: DataFrame, minimu
         }
     )
     v = versions.join(material(changes), "version_id").withColumn("dom", X.slug(F.col("domain")))
-    v = v.select("version_id", "workspace_id", "document_number", *BASE_FLAGS)
-    p_flags = p.select("workspace_id", "project_id", *PROJECT_FLAGS)
+    # Written once, narrow: both are read by the flag combinations, the pairs and the citations.
+    v = cut_lineage(v.select("version_id", "workspace_id", "document_number", *BASE_FLAGS))
+    p = cut_lineage(p.select("workspace_id", "project_id", "legal_bases", *PROJECT_FLAGS))
+    p_flags = p.drop("legal_bases")
     kinds = v.select("workspace_id", *BASE_FLAGS).distinct().join(
         p_flags.select("workspace_id", *PROJECT_FLAGS).distinct(), "workspace_id"
     )

@@ -34,8 +34,8 @@ def _changes(t, located=True):
 
 
 def _impacts(t):
-    # Locations do not enter the score.
-    return R.impacts(_stored(t), cut_lineage(_changes(t, False)), views.projects(t))
+    # Locations do not enter the score, and of a change only its type does.
+    return R.impacts(_stored(t), _changes(t, False), views.projects(t))
 
 
 @query("C10_previous_version", with_views("reg_facts", """

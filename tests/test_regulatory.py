@@ -55,3 +55,13 @@ def test_forced_run_counts_up(spark):
     asked = spark.createDataFrame([("v1", False), ("v2", True), ("v3", False)], "version_id string, force boolean")
     runs = spark.createDataFrame([("v1:p", 1), ("v2:p", 1)], "idempotency_key string, attempt int")
     assert {(r.version_id, r.attempt) for r in R.new_runs(asked, runs, "p").collect()} == {("v2", 2), ("v3", 1)}
+
+
+def test_versions_and_projects_of_the_impacts_are_read_once(spark, monkeypatch):
+    versions, projects = data(spark)
+    changes = R.diff(versions, R.located_facts(versions))
+    written = []
+    monkeypatch.setattr(R, "cut_lineage", lambda df: written.append(df.columns) or df.cache())
+    (impact,) = R.impacts(versions, changes, projects).collect()
+    assert impact.score == 0.9
+    assert [c for columns in written for c in columns if c in ("raw_text", "evidence", "summary")] == [] and len(written) == 2
