@@ -29,9 +29,10 @@ def cosine(a: Column, b: Column) -> Column:
 def _hash_sums(texts: DataFrame, key: str, text: str, model: str, dimension: int) -> DataFrame:
     """Signed token counts per key and dimension.
 
-    Equal tokens are counted before anything is hashed or shuffled by dimension.
+    Texts are dealt out by key once; their tokens are then counted, hashed and summed where
+    they are, so that no token is shuffled.
     """
-    tokens = texts.select(key, F.explode(F.regexp_extract_all(X.fold(F.col(text)), F.lit(X.TERM_PATTERN), F.lit(0))).alias("token"))
+    tokens = texts.select(key, text).repartition(key).select(key, F.explode(F.regexp_extract_all(X.fold(F.col(text)), F.lit(X.TERM_PATTERN), F.lit(0))).alias("token"))
     counted = tokens.groupBy(key, "token").agg(F.count("*").alias("n"))
     digest = F.sha2(F.concat(F.lit(f"{model}:"), "token"), 256)
     number = lambda a, b: F.conv(F.substring("h", a, b), 16, 10).cast("long")
