@@ -37,3 +37,14 @@ def test_bitmaps_hold_what_the_rows_say(spark):
     rows = lambda df: sorted((r["question_id"], r["rank"], r["document_id"], r["order_index"], r["score"]) for r in df.collect())
     got, old = rows(A.scoped_search(chunks, asked, bits, 3)), rows(Q.scoped_top_k(chunks, asked, scope, 3))
     assert got == old and len(got) > 60
+
+
+def test_pairs_of_a_commune_are_dealt_to_many_tasks(spark, monkeypatch):
+    users, documents, grants = tenants(spark)
+    rows = lambda: sorted(map(tuple, G.visible_documents(users, documents, grants).collect()))
+    want = rows()
+    monkeypatch.setattr(G, "PAIRS_PER_TASK", 20)
+    admins = users.where("role = 'ADMIN'").select("user_id", "commune_id")
+    met = G._commune_documents(admins, documents.where("not is_deleted").select("document_id", "commune_id"))
+    sizes = [r["count"] for r in met.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) > 4 and max(sizes) < 100 < sum(sizes) and rows() == want
