@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -126,23 +126,27 @@ def keyword_overlaps(chunks: DataFrame, questions: DataFrame) -> DataFrame:
     return shared.join(sizes, "question_id").select("question_id", "chunk_id", (F.col("shared") / F.col("terms")).alias("score"))
 
 
-def build_queries(questions: DataFrame) -> DataFrame:
-    """The query texts of a question, its own first.  ``questions``: question_id,
-    question, document_count."""
-    q, low = F.col("question"), X.fold(F.col("question"))
-    intent = X.question_intent(q, F.col("document_count"))
+def query_texts(question: Column, document_count: Column) -> Column:
+    """The query texts of a question as an array, its own first."""
+    low, intent = X.fold(question), X.question_intent(question, document_count)
     timed = low.contains("thời hạn") | low.contains("deadline")
     paid = low.contains("kinh phí") | low.contains("ngân sách")
-    texts = F.array_compact(
+    return F.array_compact(
         F.array(
-            q,
-            F.when(timed, F.concat(q, F.lit(" số ngày thời điểm bắt đầu kết thúc"))),
-            F.when(paid, F.concat(q, F.lit(" tổng mức vốn nguồn vốn đơn vị tiền"))),
-            F.when(intent == "COMPREHENSIVE", F.concat(F.lit("quy định trách nhiệm và căn cứ liên quan "), q)),
+            question,
+            F.when(timed, F.concat(question, F.lit(" số ngày thời điểm bắt đầu kết thúc"))),
+            F.when(paid, F.concat(question, F.lit(" tổng mức vốn nguồn vốn đơn vị tiền"))),
+            F.when(intent == "COMPREHENSIVE", F.concat(F.lit("quy định trách nhiệm và căn cứ liên quan "), question)),
         )
     )
+
+
+def build_queries(questions: DataFrame) -> DataFrame:
+    """The query texts of a question, its own first.  ``questions``: question_id,
+    question, document_count."""
+    q, count = F.col("question"), F.col("document_count")
     return questions.select(
-        "question_id", intent.alias("intent"), F.posexplode(texts).alias("nth", "query_text")
+        "question_id", X.question_intent(q, count).alias("intent"), F.posexplode(query_texts(q, count)).alias("nth", "query_text")
     )
 
 
@@ -193,14 +197,16 @@ def provider_scores(pairs: DataFrame, provider: Callable[[list[str], list[str]],
 def conflicts(items: DataFrame, questions: DataFrame) -> DataFrame:
     """Topics for which the kept chunks of several documents name different values.
 
-    ``items``: question_id, document_id, chunk_id, topic, content (at most 15 per question).
+    ``items``: question_id, document_id, chunk_id, topic, content (at most 15 per question); with ``found_values``
+    (``quantified_values`` of the content) the content is not read.
     """
+    named = F.col("found_values") if "found_values" in items.columns else X.quantified_values(F.col("content"))
     wide = items.groupBy("question_id").agg(F.count_distinct("document_id").alias("docs")).where("docs > 1")
     asked = questions.where(~X.fold(F.col("question")).contains("so sánh")).select("question_id")
     listed = items.join(wide.select("question_id"), "question_id", "left_semi").join(asked, "question_id", "left_semi")
     values = listed.select(
         "question_id", X.fold(F.coalesce("topic", F.lit("Nội dung liên quan"))).alias("topic"), "chunk_id",
-        F.explode(X.quantified_values(F.col("content"))).alias("value"),
+        F.explode(named).alias("value"),
     )
     return values.groupBy("question_id", "topic").agg(
         F.array_sort(F.collect_set("value")).alias("values"), F.count_distinct("chunk_id").alias("chunks")

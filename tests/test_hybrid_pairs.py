@@ -31,3 +31,24 @@ def test_rounding_is_that_of_spark(spark):
     df = spark.createDataFrame([(v,) for v in values], "v double").select("v", F.round("v", 6).alias("r"))
     got = df.collect()
     assert H._round6(np.array([r["v"] for r in got])).tolist() == [r["r"] for r in got]
+
+
+def test_a_scoped_question_meets_a_chunk_once(spark, monkeypatch):
+    """All texts of a question are scored in the row of one pair, without stored vectors, as ``scored_pairs`` scores them."""
+    rng = random.Random(8)
+    words = [f"từ{k}" for k in range(30)]
+    chunks = [(f"c{k}", k // 2, " ".join(rng.choices(words, k=25))) for k in range(60)] + [("blank", 30, "")]
+    asked = [(q, " ".join(rng.choices([*words, "deadline", "ngân sách"], k=9)), 1 + q % 2) for q in range(20)] + [(20, "", 1)]
+    chunks = spark.createDataFrame(chunks, "chunk_id string, document_id long, content string")
+    asked = spark.createDataFrame(asked, "question_id long, question string, document_count int")
+    scope = spark.createDataFrame([(q, d) for q in range(21) for d in range(31) if (q + d) % 3], "question_id long, document_id long")
+    texts = H.retrieval.build_queries(asked).withColumn("query_id", F.concat_ws("#", "question_id", "nth"))
+    vectors = [V.hash_vectors(chunks, "chunk_id", "content", "m1", unit=False), V.hash_vectors(texts, "query_id", "query_text", "m1", unit=False)]
+    pairs = texts.join(scope, "question_id").join(chunks, "document_id")
+    want = H.scored_pairs(pairs, chunks, texts, *vectors)
+    monkeypatch.setattr(H, "hybrid_top_k", None)
+    monkeypatch.setattr(H.V, "hash_vectors", None)
+    found = H.scoped_hits(chunks, asked, scope).withColumn("query_id", F.concat_ws("#", "question_id", "nth"))
+    rows = lambda df: sorted(tuple(r) for r in df.select("query_id", "chunk_id", "semantic_score", "keyword_score", "score").collect())
+    assert rows(found) == rows(want) and found.where("nth > 0").count() > 100
+    assert H.retrieve(chunks, asked, scope=scope).count() > 300
