@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from docgraph.functions import text as X
 from docgraph.operators import lexical
 from docgraph.operators.lexical import PHRASE_BONUS, query_tokens, token_frequencies
-from docgraph.operators.ordered import top_per_key
+from docgraph.operators.ordered import dealt_wide, top_per_key
 from docgraph.operators.vectors import keyword_score
 from docgraph.session import cut_lineage
 
@@ -27,36 +27,41 @@ def document_frequencies(frequencies: DataFrame) -> DataFrame:
 def lexical_scores(chunks: DataFrame, questions: DataFrame) -> DataFrame:
     """Every question and chunk that share a token, with their score; for the best chunks see ``lexical``.
 
-    The chunk norm runs over the question's tokens only.  Postings meet the
-    question tokens in one equi join and are summed per pair on the map side.
+    The chunk norm runs over the question's tokens only.  Postings are dealt out by chunk and
+    meet the weights of the question tokens there, so a frequent token is spread over all
+    tasks and the pairs of a chunk are summed where they arise.
     """
     asked = query_tokens(questions)
     # Written once: document frequencies and pair scores both read the postings.
     tf = cut_lineage(token_frequencies(chunks, asked))
     total = chunks.agg(F.count("*").alias("total")).withColumn("one", F.lit(1))
     df = document_frequencies(tf)
-    weights = asked.join(df, "token", "left").withColumn("one", F.lit(1)).join(F.broadcast(total), "one").select(
+    # Written, so that their size is known when the joins below are planned; so are the other small tables.
+    weights = cut_lineage(asked.join(df, "token", "left").withColumn("one", F.lit(1)).join(F.broadcast(total), "one").select(
         "question_id", "token", "n",
         (F.log((1 + F.col("total")) / (1 + F.coalesce("df", F.lit(0)))) + 1.0).alias("idf"),
-    )
-    norms = weights.groupBy("question_id").agg(
+    ))
+    norms = cut_lineage(weights.groupBy("question_id").agg(
         F.sqrt(F.sum(F.pow(F.col("n") * F.col("idf"), 2))).alias("query_norm"), F.count("*").alias("query_terms")
-    )
+    ))
     w = F.col("tf") * F.col("idf")
-    pairs = tf.join(weights, "token").groupBy("question_id", "chunk_id").agg(
+    pairs = dealt_wide(tf, "chunk_id", of=chunks).join(weights, "token").groupBy("question_id", "chunk_id").agg(
         F.sum(F.col("n") * F.col("idf") * w).alias("dot"), F.sqrt(F.sum(w * w)).alias("chunk_norm"), F.count("*").alias("shared")
     )
-    scored = pairs.join(norms, "question_id")
-    # The whole phrase can only occur where every one of its tokens does.
-    full = scored.where("shared = query_terms").select("question_id", "chunk_id")
+    scored = cut_lineage(pairs.join(norms, "question_id").select(
+        "question_id", "chunk_id", (F.col("dot") / (F.col("query_norm") * F.col("chunk_norm"))).alias("cosine"),
+        (F.col("shared") == F.col("query_terms")).alias("full"),
+    ))
+    # The whole phrase can only occur where every one of its tokens does; only these few contents are read again.
     joined = lambda c: F.array_join(X.tokens(F.col(c)), " ")
-    phrased = (
+    full = cut_lineage(scored.where("full").select("question_id", "chunk_id"))
+    phrased = cut_lineage(
         full.join(questions.select("question_id", joined("question").alias("phrase")), "question_id")
-        .join(chunks.select("chunk_id", joined("content").alias("body")), "chunk_id")
-        .where(F.col("body").contains(F.col("phrase")))
+        .join(chunks.select("chunk_id", "content"), "chunk_id")
+        .where(joined("content").contains(F.col("phrase")))
         .select("question_id", "chunk_id", F.lit(PHRASE_BONUS).alias("bonus"))
     )
-    score = F.col("dot") / (F.col("query_norm") * F.col("chunk_norm")) + F.coalesce("bonus", F.lit(0.0))
+    score = F.col("cosine") + F.coalesce("bonus", F.lit(0.0))
     return scored.join(phrased, ["question_id", "chunk_id"], "left").select(
         "question_id", "chunk_id", F.round(score, 9).alias("score")
     )
@@ -115,14 +120,14 @@ def with_quotes(hits: DataFrame, chunks: DataFrame, questions: DataFrame) -> Dat
 def keyword_overlaps(chunks: DataFrame, questions: DataFrame) -> DataFrame:
     """G1: of every question and chunk that share a term, the share of the question's terms found.
 
-    Distinct terms meet in an equi join and are counted per pair on the map side; only
+    Distinct terms meet in an equi join and are counted where their chunk is dealt; only
     terms that a question has leave the chunks.  Pairs without a common term score 0 and are left out.
     """
-    asked = questions.select("question_id", F.explode(X.terms(F.col("question"))).alias("term"))
+    asked = cut_lineage(questions.select("question_id", F.explode(X.terms(F.col("question"))).alias("term")))
     sizes = asked.groupBy("question_id").agg(F.count("*").alias("terms"))
     held = chunks.select("chunk_id", F.explode(X.terms(F.col("content"))).alias("term"))
     held = held.join(asked.select("term").distinct(), "term", "left_semi")
-    shared = held.join(asked, "term").groupBy("question_id", "chunk_id").agg(F.count("*").alias("shared"))
+    shared = dealt_wide(held, "chunk_id").join(asked, "term").groupBy("question_id", "chunk_id").agg(F.count("*").alias("shared"))
     return shared.join(sizes, "question_id").select("question_id", "chunk_id", (F.col("shared") / F.col("terms")).alias("score"))
 
 

@@ -78,3 +78,21 @@ def test_filler_and_empty_tables(spark, corpus):
     got = [tuple(r) for r in L.top_k(L.build_index(c), q, 3).select("question_id", "chunk_id", "score").orderBy("rank").collect()]
     assert got == [(1, "c0000", 0.0), (1, "c0001", 0.0), (1, "c0002", 0.0)]
     assert L.top_k(L.build_index(c.limit(0)), q, 3).collect() == [] and L.search(L.build_index(c), q.limit(0), 3).collect() == []
+
+
+def test_a_frequent_word_is_scored_by_many_tasks(spark, corpus):
+    """Pairs of the word that every chunk holds arise where their chunk is dealt; they are not shuffled and no content is."""
+    from docgraph.operators import retrieval as Q
+
+    chunks, questions = corpus
+    c = spark.createDataFrame(chunks, "chunk_id string, document_id long, order_index long, content string").repartition(4)
+    q = spark.createDataFrame(questions, "question_id long, question string")
+    found = Q.lexical_scores(c, q)
+    got, want = {}, brute(chunks, questions, len(chunks))
+    for r in found.collect():
+        got.setdefault(r["question_id"], {})[r["chunk_id"]] = r["score"]
+    assert {i: set(hits) for i, hits in got.items()} == {i: {h[0] for h in hits} for i, hits in want.items() if hits}
+    assert all(abs(got[i][chunk] - score) < 1e-8 for i, hits in want.items() for chunk, score in hits)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString().replace("BroadcastExchange", "")
+    overlaps = Q.keyword_overlaps(c, q)
+    assert overlaps.where("question_id = 1").count() == len(chunks)
