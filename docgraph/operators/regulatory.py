@@ -302,7 +302,7 @@ def advice(listed: DataFrame) -> DataFrame:
 
 
 def affected_areas(found: DataFrame, changes: DataFrame, projects: DataFrame) -> DataFrame:
-    """I4: one row per impact and material change."""
+    """I4: one row per impact and material change, with the keys of both."""
     first = F.get("sections", 0)
     part = F.coalesce(F.nullif(first, F.lit("")), F.lit("Thông tin đề án"))
     moved = changes.where("change_type <> 'UNCHANGED'")
@@ -310,7 +310,7 @@ def affected_areas(found: DataFrame, changes: DataFrame, projects: DataFrame) ->
     return (
         found.join(moved, "version_id").join(projects.select("project_id", part.alias("project_section")), "project_id")
         .select(
-            "impact_id", "change_id", "project_section", F.col("new_location").alias("document_clause"), "change_type",
+            "impact_id", "change_id", "version_id", "project_id", "fact_key", "project_section", F.col("new_location").alias("document_clause"), "change_type",
             X.lookup(kind, REASONS, F.col("summary")).alias("reason"),
             X.lookup(kind, ACTIONS, F.lit(OTHER_ACTION)).alias("action"),
             F.coalesce("new_location", F.lit(WHOLE_TEXT)).alias("location"),

@@ -65,3 +65,12 @@ def test_versions_and_projects_of_the_impacts_are_read_once(spark, monkeypatch):
     (impact,) = R.impacts(versions, changes, projects).collect()
     assert impact.score == 0.9
     assert [c for columns in written for c in columns if c in ("raw_text", "evidence", "summary")] == [] and len(written) == 2
+
+
+def test_areas_name_their_version_and_project(spark):
+    """The keys come with the area, so that no impact or change has to be met again for them."""
+    versions, projects = data(spark)
+    changes = R.diff(versions, R.located_facts(versions)).cache()
+    areas = R.affected_areas(R.impacts(versions, changes, projects), changes, projects)
+    got = {(r.version_id, r.project_id, r.fact_key, r.change_type) for r in areas.collect()}
+    assert got == {("v26", "p", "approval_threshold", "VALUE_CHANGED"), ("v26", "p", "approving_authority", "RESPONSIBILITY_CHANGED")}
