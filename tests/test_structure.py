@@ -89,3 +89,17 @@ def test_model_batches(spark):
     df = spark.createDataFrame([("d", i, f"c{i}", 20) for i in range(25)], "document_id string, order_index long, chunk_id string, token_count long")
     sizes = chunking.model_batches(df).groupBy("batch_index").count().orderBy("batch_index").collect()
     assert [r["count"] for r in sizes] == [12, 12, 1]
+
+
+def test_levels_alone_are_those_of_the_classification(spark, monkeypatch):
+    """The content of sections needs no label: levels are found without writing the classified blocks."""
+    lines = ["x", "CHƯƠNG\t II", "Số: 12/QĐ", "  Điều  7. Nội dung", "1. Quy định", "thân bài", "a) Điểm", " ", "BỘ TÀI CHÍNH", "CHỦ TỊCH", "Quyết định:", "(iv) mục con", "Phụ lục IV", "Mẫu số 02", "CHỮ HOA MUỘN", "", "　điều 5"] * 3
+    for per_segment in (2, 4096):
+        ordered = structure.order_blocks(blocks(spark, lines, per_page=5), blocks_per_segment=per_segment)
+        full = structure.classify_blocks(ordered)
+        rows = lambda df: sorted(tuple(r) for r in df.collect())
+        want = rows(full.select("ord", "text", "level")), rows(structure.section_content(full))
+        with monkeypatch.context() as m:
+            m.setattr(structure, "cut_lineage", None)
+            found = structure.block_levels(ordered)
+            assert (rows(found.select("ord", "text", "level")), rows(structure.section_content(found))) == want
