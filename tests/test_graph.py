@@ -95,3 +95,26 @@ def test_text_functions(spark):
         X.normalize_content(F.col("a")), X.strip_markers(F.col("b")), X.cited_numbers(F.col("b")), X.display_stem(F.col("c")),
         X.slug(F.lit("Đường  Ớt-1"), "-")).first()
     assert tuple(row) == ("Á b c", "Máy tốt.", [2], "a.b", "duong-ot-1")
+
+
+def test_facts_are_found_before_their_parents(spark, monkeypatch):
+    """Nodes need no parent: what is written for them carries the key of the article, and edges find the parent by it."""
+    from docgraph.operators import graph as G
+
+    chunks = spark.createDataFrame(
+        [("d", 1, "k1", None, "Điều 1. Mở đầu\nBộ Tài chính chủ trì lập báo cáo; theo Luật Đầu tư số 5/2019. Thời hạn là 30 ngày"), ("d", 2, "k2", None, "theo luật đầu tư SỐ 5/2019."), ("none", 3, "k3", None, "Thời hạn là 9 ngày")],
+        "document_id string, chunk_order long, chunk_id string, article string, content string",
+    )
+    docs = spark.createDataFrame([("d", "Tên")], "document_id string, name string")
+    written = []
+    monkeypatch.setattr(G, "cut_lineage", lambda df: written.append(df.columns) or df.cache())
+    nodes, edges = G.extract(chunks, docs)
+    merged, _ = G.merge_mentions(nodes, edges)
+    assert not any("root_id" in columns for columns in written)
+    ids = {r.node_id: r.type for r in nodes.collect()}
+    assert {r.node_id: r.type for r in merged.collect()} == ids and "none" not in {r.document_id for r in merged.collect()}
+    refs = [(ids[r.source_node_id], r.chunk_id) for r in edges.where("type = 'REFERENCES'").collect()]
+    assert sorted(refs) == [("LEGAL_DOCUMENT", "k2"), ("LEGAL_PROVISION", "k1")]
+    source = [ids[r.source_node_id] for r in edges.where("type = 'HAS_DEADLINE'").collect()]
+    assert source == ["LEGAL_PROVISION"]
+    assert "node_key" in nodes.columns
