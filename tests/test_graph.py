@@ -118,3 +118,20 @@ def test_facts_are_found_before_their_parents(spark, monkeypatch):
     source = [ids[r.source_node_id] for r in edges.where("type = 'HAS_DEADLINE'").collect()]
     assert source == ["LEGAL_PROVISION"]
     assert "node_key" in nodes.columns
+
+
+def test_edges_without_an_end_need_no_join_of_their_own(spark, monkeypatch):
+    """I11 keeps the edges that it keeps with the issues of both ends."""
+    from docgraph.operators import graph as G
+    from docgraph.plans import all_queries
+    from docgraph.sources import views
+    from docgraph.sources.tables import Tables
+
+    n, e = views.kg_nodes(Tables(spark, "/root/testdata/sf0.001")), views.kg_edges(Tables(spark, "/root/testdata/sf0.001"))
+    low = n.selectExpr("'NODE' element_type", "node_id element_id", "importance", "confidence").unionByName(e.selectExpr("'EDGE' element_type", "edge_id element_id", "importance", "confidence"))
+    low = low.where("importance in ('HIGH', 'CRITICAL') and confidence < 0.7").selectExpr("'IMPORTANT_ELEMENT_REQUIRES_CITATION' code", "element_type", "element_id")
+    _, want = G.keep_valid(n, e, G.endpoint_issues(n, e).drop("message").unionByName(low))
+    want = sorted(r.edge_id for r in want.collect())
+    monkeypatch.setattr(G, "endpoint_issues", None)
+    got = all_queries()[0]["I11_graph_validation"](spark, "/root/testdata/sf0.001")
+    assert sorted(r.edge_id for r in got.collect()) == want and want
