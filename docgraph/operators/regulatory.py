@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docgraph.functions import text as X
-from docgraph.operators.ordered import carry_last
+from docgraph.operators.ordered import carry_last, exploded
 from docgraph.session import cut_lineage
 
 # Fact patterns, the change each fact means, and its shown name.
@@ -59,7 +59,7 @@ def duplicate_dates(versions: DataFrame) -> DataFrame:
 def facts(versions: DataFrame) -> DataFrame:
     """One row per version and fact found in its text."""
     found = _with_facts(versions.select("version_id", "document_id", "raw_text"))
-    return found.select("version_id", "document_id", F.explode("facts").alias("f")).select("version_id", "document_id", "f.*")
+    return exploded(found, ["version_id", "document_id"], "facts", "f").select("version_id", "document_id", "f.*")
 
 
 def _with_facts(versions: DataFrame) -> DataFrame:
@@ -89,7 +89,7 @@ def located_facts(versions: DataFrame) -> DataFrame:
     rows = with_sections(_with_facts(versions.select("version_id", "document_id", "raw_text")))
     folded = F.transform("sections", lambda s: F.struct(s["legal_location"].alias("location"), X.fold(s["content"]).alias("content")))
     sought = F.transform("facts", lambda f: F.struct(f.alias("f"), X.fold(f["quote"]).alias("quote"), X.fold(f["value"]).alias("value")))
-    rows = rows.select("version_id", "document_id", folded.alias("sections"), F.explode(sought).alias("x"))
+    rows = exploded(rows, ["version_id", "document_id", folded.alias("sections")], sought, "x")
     holds = lambda s: s["content"].contains(F.col("x.quote")) | s["content"].contains(F.col("x.value"))
     location = F.coalesce(F.get(F.filter("sections", holds), F.lit(0))["location"], F.lit(WHOLE_TEXT))
     return rows.select("version_id", "x.f.fact_key", "document_id", "x.f.value", "x.f.quote", location.alias("location"))
@@ -276,7 +276,7 @@ def departments(found: DataFrame, projects: DataFrame) -> DataFrame:
 
 
 def advice(listed: DataFrame) -> DataFrame:
-    """Actions by kind of department."""
+    """Actions by kind of department, with the columns that name its impact."""
     name = X.slug(F.col("department"))
     pick = lambda cond, a, b: F.when(F.col(cond), a).otherwise(b)
     actions = (
@@ -296,9 +296,10 @@ def advice(listed: DataFrame) -> DataFrame:
         )
         .otherwise(F.array(F.lit("Rà soát phần việc thuộc trách nhiệm của đơn vị.")))
     )
-    return listed.select(
-        "impact_id", "department", F.posexplode(actions).alias("nth", "action"), F.lit("HIGH").alias("priority")
-    )
+    keys = [c for c in ("impact_id", "version_id", "project_id") if c in listed.columns]
+    each = F.transform(actions, lambda a, i: F.struct(i.alias("nth"), a.alias("action")))
+    rows = exploded(listed, [*keys, "department"], each, "a")
+    return rows.select(*keys, "department", "a.nth", "a.action", F.lit("HIGH").alias("priority"))
 
 
 def affected_areas(found: DataFrame, changes: DataFrame, projects: DataFrame) -> DataFrame:
@@ -320,8 +321,9 @@ def affected_areas(found: DataFrame, changes: DataFrame, projects: DataFrame) ->
 
 
 def impact_evidence(areas: DataFrame, found: DataFrame, projects: DataFrame) -> DataFrame:
+    keys = ["impact_id", "version_id", "project_id"]
     regulation = areas.select(
-        "impact_id", F.lit("REGULATION").alias("source_type"), F.col("change_id").alias("source_id"), "location", "quote"
+        *keys, F.lit("REGULATION").alias("source_type"), F.col("change_id").alias("source_id"), "location", "quote"
     )
     status = F.concat(
         F.lit("Trạng thái: "), "status", F.lit("; nguồn vốn: "), F.array_join("budget_sources", ", "),
@@ -329,7 +331,7 @@ def impact_evidence(areas: DataFrame, found: DataFrame, projects: DataFrame) ->
     )
     part = F.coalesce(F.nullif(F.get("sections", 0), F.lit("")), F.lit("Thông tin đề án"))
     project = found.join(projects, "project_id").select(
-        "impact_id", F.lit("PROJECT").alias("source_type"), F.col("project_id").cast("string").alias("source_id"),
+        *keys, F.lit("PROJECT").alias("source_type"), F.col("project_id").cast("string").alias("source_id"),
         part.alias("location"), status.alias("quote"),
     )
     return regulation.unionByName(project)
@@ -360,10 +362,13 @@ def verify(versions: DataFrame, changes: DataFrame, evidence: DataFrame, found:
     per_change = changes.groupBy("version_id").agg(
         F.count("*").alias("n_changes"), F.count_if(F.size("evidence") < needed).alias("bad_changes")
     )
-    sided = evidence.groupBy("impact_id").agg(
+    # An impact is a pair of a version and a project; its digest is longer than both.
+    pair = ["version_id", "project_id"]
+    keys = pair if all(c in evidence.columns and c in found.columns for c in pair) else ["impact_id"]
+    sided = evidence.groupBy(*keys).agg(
         (F.bool_or(F.col("source_type") == "REGULATION") & F.bool_or(F.col("source_type") == "PROJECT")).alias("ok")
     )
-    per_impact = found.join(sided, "impact_id", "left").groupBy("version_id").agg(
+    per_impact = found.join(sided, keys, "left").groupBy("version_id").agg(
         F.count("*").alias("n_impacts"), F.count_if(~F.coalesce("ok", F.lit(False))).alias("bad_impacts")
     )
     zero = lambda c: F.coalesce(c, F.lit(0))

@@ -163,9 +163,7 @@ def _(t):
       ('Phòng Tài chính', 1, CASE WHEN i.hr THEN 'Cập nhật đơn vị có thẩm quyền phê duyệt.' ELSE 'Kiểm tra biểu mẫu tài chính.' END),
       ('Văn phòng', 0, 'Rà soát phần việc thuộc trách nhiệm của đơn vị.')) v(dep, nth, action) WHERE v.dep = d.name) a"""))
 def _(t):
-    listed = R.departments(_impacts(t), views.projects(t))
-    ids = listed.select("impact_id", "version_id", "project_id").distinct()
-    return R.advice(listed).join(ids, "impact_id").select("version_id", "project_id", "department", "nth", "action")
+    return R.advice(R.departments(_impacts(t), views.projects(t))).select("version_id", "project_id", "department", "nth", "action")
 
 
 @query("I4_affected_areas", with_views("impacts", """
@@ -215,8 +213,11 @@ def _(t):
     FROM reg_facts v LEFT JOIN (SELECT version_id, count(*) AS n FROM changes GROUP BY 1) c USING (version_id)
     LEFT JOIN (SELECT version_id, count(*) AS n FROM impacts GROUP BY 1) i USING (version_id)"""))
 def _(t):
-    changes, p = cut_lineage(_changes(t, False)), views.projects(t)
-    found = R.impacts(_stored(t), changes, p)
+    # Both are read several times.  Digests and sentences enter no count and are not made.
+    none, p = F.lit(None).cast("string"), views.projects(t)
+    changes = _changes(t, False).select("version_id", "fact_key", "change_type", "evidence")
+    changes = cut_lineage(changes).select("*", *[none.alias(c) for c in ("change_id", "new_location", "summary")])
+    found = cut_lineage(R.impacts(_stored(t), changes, p).select("version_id", "project_id")).withColumn("impact_id", none)
     evidence = R.impact_evidence(R.affected_areas(found, changes, p), found, p)
     return R.verify(_versions(t), changes, evidence, found)
 
