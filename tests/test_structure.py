@@ -103,3 +103,14 @@ def test_levels_alone_are_those_of_the_classification(spark, monkeypatch):
             m.setattr(structure, "cut_lineage", None)
             found = structure.block_levels(ordered)
             assert (rows(found.select("ord", "text", "level")), rows(structure.section_content(found))) == want
+
+
+def test_section_blocks_need_no_labels(spark):
+    c = classified(spark, ["Điều 7. Nội dung", "1. Quy định", "a) Trường hợp A", "tiếp", "Điều 8. Hết", "x"])
+    s = structure.parse_sections(c)
+    narrow = structure.section_blocks(s, c.select("document_id", "seg", "ord", "block_id", "level"))
+    starts = {r.section_id: r.start_block_id for r in s.collect()}
+    got = {}
+    for r in narrow.collect():
+        got.setdefault(starts[r.section_id], set()).add(r.block_id)
+    assert got == {"d-0": {"d-0", "d-1", "d-2", "d-3"}, "d-1": {"d-1", "d-2", "d-3"}, "d-2": {"d-2", "d-3"}, "d-4": {"d-4", "d-5"}}
