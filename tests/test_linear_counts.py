@@ -25,3 +25,14 @@ def test_flags_of_equal_sets_without_a_second_pass_over_drafts(spark):
     kept = R.dedup_drafts(drafts, spark.createDataFrame(links, "flag_id string, kind string, element_id string").repartition(4))
     assert {r.flag_id for r in kept.collect()} == {"b", "c", "d", "f"}
     assert "LeftSemi" not in kept._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_small_sets_meet_in_their_row_and_equal_large_ones(spark, monkeypatch):
+    schema = "flag_id string, kind string, element_id string"
+    drafts = spark.createDataFrame([(f, "X", i) for i, f in enumerate("abcd")], "flag_id string, issue_type string, ord int")
+    # Two links each for a and b, twenty for c with the same two elements, three for d.
+    links = [("a", "N", "1"), ("a", "N", "2"), ("b", "N", "2"), ("b", "N", "1"), *[("c", "N", str(1 + i % 2)) for i in range(20)], *[("d", "N", str(i)) for i in range(3)]]
+    for limit in (1, 5, 1_000):
+        monkeypatch.setattr(R, "ROW_LINKS", limit)
+        kept = R.dedup_drafts(drafts, spark.createDataFrame(links, schema).repartition(3))
+        assert {(r.flag_id, r.merged) for r in kept.collect()} == {("a", 3), ("d", 1)}
